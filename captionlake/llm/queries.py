@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionlake.llm import sharding, token_count, transport_stream, url_filter
+from captionlake.llm import packing, sentence_pieces, sharding, token_count, transport_stream, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 8)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 2048)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -37,6 +41,10 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), 2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_transport_stream, op3_jump_hash, op7_url_filter, op9_token_count)}
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op7_url_filter, op9_token_count, op10_sentence_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
