@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionlake.llm import line_frequency, packing, sentence_pieces, sharding, token_count, toxicity, transport_stream, url_filter
+from captionlake.llm import jaccard_join, line_frequency, packing, sentence_pieces, sharding, token_count, toxicity, transport_stream, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 2048)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(documents(spark, sf_dir))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.digest(documents(spark, sf_dir))
 
@@ -54,6 +58,6 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
