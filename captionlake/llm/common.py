@@ -161,3 +161,26 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Memo(dict):
+    """Values of compute(key), filled as keys come up. Two generations of at most `most` keys bound the memory and keep what
+    is in use; keys over 64 characters are not kept."""
+
+    def __init__(self, most: int = 150_000) -> None:
+        self.most, self.old = most, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.compute(key)
+            if len(key) > 64:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out

@@ -9,6 +9,7 @@ depends on the capacity alone; each piece finds its place by its rank among the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -21,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import partitions, slices, work_table
+from captionlake.llm.common import Memo, partitions, slices, work_table
 
 CAPACITY = 2048
-CACHE_CHUNKS = 200_000
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Cuts a text only where the byte-level pre-tokenizer cuts it as well.
 _CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -40,23 +40,44 @@ def _library(path: str):
     return tok
 
 
-class Ids(dict):
+@cache
+def _merger(path: str):
+    """The same vocabulary and merge order in a library with a cheaper call; None where that is not proved.
+
+    Proved is: byte-level pieces without normaliser or other steps, and merges that make the ids in ascending order.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        tok = json.load(f)
+    model, pre = tok["model"], tok["pre_tokenizer"]
+    plain = tok["normalizer"] is None and tok["post_processor"] is None and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges"))
+    if not plain or pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        return None
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in kept)}
+    special = {t["content"] for t in tok["added_tokens"]}
+    ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made) or len(made) + 256 != len(ranks) or any(ranks[bytes([b])] >= made[0] for b in range(256)):
+        return None
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class Ids(Memo):
     """chunk -> its ids as little-endian unsigned 32-bit numbers, filled as chunks come up."""
 
     def __init__(self, path: str) -> None:
-        self.tok = _library(path)
+        super().__init__()
+        self.tok, self.merger = _library(path), _merger(path)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.whole(chunk)
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+    def compute(self, key: str) -> bytes:
+        return np.array(self.merger.encode_ordinary(key), dtype="<u4").tobytes() if self.merger else self.whole(key)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
@@ -64,6 +85,12 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
 
 
+@cache
+def ids_of(path: str) -> Ids:
+    """One table for all tasks of a Python worker."""
+    return Ids(path)
+
+
 def piece_starts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole but for the first, which takes what is over."""
     first = n % capacity or min(n, capacity)
@@ -75,7 +102,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(path), end_id.to_bytes(4, "little")
+        ids, end = ids_of(path), end_id.to_bytes(4, "little")
         for part in slices(batches):
             rows = []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):

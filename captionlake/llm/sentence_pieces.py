@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import slices
+from captionlake.llm.common import Memo, slices
 
 MARK = "▁"
-CACHE_SEGMENTS = 200_000
 
 
 class Model:
@@ -47,7 +46,7 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses a word boundary")
         self.known: dict[tuple[str, str], bool] = {}
-        self.segments: dict[str, bytes] = {}
+        self.segments = Segments(self)
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE, for the joint text of two pieces: the best-ranked, then leftmost, pair first."""
@@ -112,20 +111,28 @@ class Model:
                     del back[k]
         yield from (self.ids[p] for p in path(at))
 
-    def segment(self, text: str) -> bytes:
-        out = np.fromiter(self.stream(text), dtype="<u4").tobytes()
-        if len(text) <= 64:
-            if len(self.segments) >= CACHE_SEGMENTS:
-                self.segments.clear()
-            self.segments[text] = out
-        return out
+    def search(self, word: str) -> list[int]:
+        """stream() for a word that fits the window, and so needs no early commit: the same backpointers, read at the end."""
+        ids, known, back = self.ids, self.known, [""]
+        for i in range(1, len(word) + 1):
+            if word[i - 1] not in ids:
+                return list(self.stream(word))
+            for j in range(i - 1, -1, -1):
+                piece = word[j:i]
+                if piece in ids and ((fits := known.get((back[j], piece))) or fits is None and self.compatible(back[j], piece)):
+                    back.append(piece)
+                    break
+        out, end = [], len(word)
+        while end:
+            out.append(ids[back[end]])
+            end -= len(back[end])
+        return out[::-1]
 
     def encode(self, text: str) -> bytes:
         """All ids, as little-endian unsigned 32-bit numbers. Words are searched apart: no piece crosses into a mark."""
         if not text:
             return b""
-        known = self.segments
-        return b"".join([known.get(x) or self.segment(x) for x in _SEGMENTS.findall(MARK + text.replace(" ", MARK))])
+        return b"".join(map(self.segments.__getitem__, _SEGMENTS.findall(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids: bytes are joined, marks become spaces, and the dummy prefix goes."""
@@ -133,6 +140,17 @@ class Model:
         return out.replace(MARK, " ")[1:] if out.startswith(MARK) else out.replace(MARK, " ")
 
 
+class Segments(Memo):
+    """A word with its mark -> its ids."""
+
+    def __init__(self, m: Model) -> None:
+        super().__init__()
+        self.model = m
+
+    def compute(self, key: str) -> bytes:
+        return np.array(self.model.search(key) if len(key) <= self.model.longest else list(self.model.stream(key)), dtype="<u4").tobytes()
+
+
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 

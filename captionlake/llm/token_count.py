@@ -17,10 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import slices
+from captionlake.llm.common import Memo, slices
 
-#: Distinct chunks whose counts a worker keeps; the table is then emptied, which changes no result.
-CACHE_CHUNKS = 200_000
 #: White space to str.split(), but not to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -47,26 +45,17 @@ def proved_single(path: str) -> frozenset[str]:
     return frozenset(out)
 
 
-class Counter(dict):
+class Counter(Memo):
     """chunk -> number of tokens, filled as chunks come up."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tok, self.single = library(path), proved_single(path)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
-    def __missing__(self, chunk: str) -> int:
-        if self.tok.normalizer is not None:
-            chunk_in = self.tok.normalizer.normalize_str(chunk)
-        else:
-            chunk_in = chunk
-        n = 0
-        for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(chunk_in):
-            n += 1 if piece in self.single else len(self.tok.model.tokenize(piece))
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = n
-        return n
+    def compute(self, key: str) -> int:
+        text = self.tok.normalizer.normalize_str(key) if self.tok.normalizer is not None else key
+        return sum(1 if piece in self.single else len(self.tok.model.tokenize(piece)) for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text))
 
     def count(self, text: str) -> int:
         if any(s in text for s in self.specials) or _ODD.search(text):
@@ -74,6 +63,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, text.split()))
 
 
+@cache
+def counter_of(path: str) -> Counter:
+    """One table for all tasks of a Python worker."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text.
 
@@ -82,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for part in slices(batches):
             texts = [x or "" for x in part.column(1).to_pylist()]
             counts = [counter.count(x) for x in texts]
