@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionlake.llm import jaccard_join, line_frequency, packing, sentence_pieces, sharding, token_count, toxicity, transport_stream, url_filter
+from captionlake.llm import jaccard_join, line_frequency, packing, sentence_pieces, sharding, substring_dedup, token_count, toxicity, transport_stream, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir), 35)
+
+
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.media_digest(documents(spark, sf_dir))
 
@@ -58,6 +62,6 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
