@@ -1,0 +1 @@
+"""Column functions and per-row text steps."""

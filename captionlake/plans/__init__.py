@@ -1,0 +1 @@
+"""Stages, checkpoints and whole pipelines."""

@@ -1,0 +1 @@
+"""Readers and writers of subtitles, media and configuration."""

@@ -1,0 +1 @@
+"""The row-wise caption steps on unbounded tables."""
