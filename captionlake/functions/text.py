@@ -53,10 +53,14 @@ def is_question(text: Column, mark: str = "？", words=QUESTION_WORDS, negation:
 
 def sentence_spans(text: Column, split_chars: str = SPLIT_CHARS) -> Column:
     """Spans (a, b): b is the place of a split character; the last span ends with the text and may be empty."""
-    cuts = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: (i < F.length(text)) & (F.instr(F.lit(split_chars), F.substring(text, i + 1, F.lit(1))) > 0))
-    ends = F.concat(cuts, F.array(F.length(text)))
-    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    marks = "".join(f"\\{c}" if not c.isalnum() else c for c in split_chars)
+    lengths = F.transform(F.split(text, f"[{marks}]", -1), lambda x: F.length(x))
+
+    def add(acc: Column, n: Column) -> Column:
+        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.try_element_at(acc, F.lit(-1))["b"] + 1)
+        return F.concat(acc, F.array(F.struct(start.alias("a"), (start + n).alias("b"))))
+
+    return F.aggregate(lengths, F.array().cast("array<struct<a:int,b:int>>"), add)
 
 
 def trailing_particles(text: Column, chars: str = PARTICLES) -> tuple[Column, Column, Column]:
@@ -78,8 +82,8 @@ def in_vocabulary(text: Column, vocabulary: list[str], split_chars: str = SPLIT_
     lower = F.lower(text)
     lead = F.length(lower) - F.length(F.regexp_replace(lower, r"(?U)^\s+", ""))
     end = F.length(F.regexp_replace(lower, r"(?U)\s+$", ""))
-    chars = F.transform(F.filter(F.sequence(F.lit(0), F.length(lower)), lambda i: (i >= lead) & (i < end)), lambda i: F.struct(i.alias("i"), F.substring(lower, i + 1, F.lit(1)).alias("c")))
-    return F.filter(chars, lambda x: x["c"].isin(*vocabulary, *split_chars))
+    chars = F.transform(F.split(lower, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    return F.filter(chars, lambda x: (x["i"] >= lead) & (x["i"] < end) & x["c"].isin(*vocabulary, *split_chars))
 
 
 def tokens(chars: Column, ids: dict[str, int], blank: int = 0) -> Column:
