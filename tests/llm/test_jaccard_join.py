@@ -49,26 +49,26 @@ def corpus(seed, n=220):
     return out
 
 
-@pytest.mark.parametrize("percent,words,seed", [(90, 3, 1), (80, 5, 2), (90, 1, 3)])
-def test_components_are_those_of_all_pairs(spark, percent, words, seed):
+@pytest.mark.parametrize("percent,words,seed,parts", [(90, 3, 1, True), (80, 5, 2, False), (80, 1, 3, True)])
+def test_components_are_those_of_all_pairs(spark, percent, words, seed, parts):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id long, text string, node int, n int, key int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(docs, percent, words).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(docs, percent, words, parts).collect()}
     assert got == brute(texts, percent, words)
 
 
-@given(st.integers(10, 130), st.integers(0, 14), st.integers(0, 10**6), st.sampled_from([80, 90]), st.sampled_from([10, 20]))
+@given(st.integers(10, 130), st.integers(0, 14), st.integers(0, 10**6), st.sampled_from([80, 90]), st.sampled_from([10, 20]), st.booleans(), st.sampled_from([1, 2, 7]))
 @settings(max_examples=400, deadline=None)
-def test_linked_sets_share_a_key(n, changes, seed, percent, small_below):
+def test_linked_sets_share_a_key(n, changes, seed, percent, small_below, parts, hot):
     rng = np.random.default_rng(seed)
     pool = np.unique(mix(rng.integers(0, 2**62, n + changes + 5).astype(np.uint64)))
     a, cut = pool[:n], rng.integers(0, changes + 1)
     b = np.sort(np.concatenate([a[cut:], pool[n : n + changes - cut]]))
     t = jj.Threshold(percent)
-    rank = (np.arange(jj.COUNTERS) % 7 == 0).astype(np.int8)
+    rank = (np.arange(jj.COUNTERS) % hot == 0).astype(np.int8)
     both = len(np.intersect1d(a, b))
     if len(b) and t.linked(both, len(a), len(b)) and not np.array_equal(a, b):
-        assert len(np.intersect1d(jj.list_keys(a, rank, t, small_below), jj.list_keys(b, rank, t, small_below)))
+        assert len(np.intersect1d(jj.list_keys(a, rank, t, small_below, parts), jj.list_keys(b, rank, t, small_below, parts)))
         size = min(len(jj.sketch(a)), len(jj.sketch(b)))
         x, y = (jj.folded(np.frombuffer(jj.sketch(s), np.uint8), size) for s in (a, b))
         assert int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b) - 2 * both
