@@ -58,6 +58,15 @@ def release_work_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a few numbers that may be broadcast: about 30 MB. More of them go through a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most `most` rows; pass a written table of narrow rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -115,7 +115,10 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> t
     each get a row and count as one document; no rows give none; other columns are not read.
     """
     measured = work_table(measure(docs, host), "lines")
-    heavy = frequent_lines(measured, limits)
+    return judged(measured, frequent_lines(measured, limits), limits)
+
+
+def judged(measured: DataFrame, heavy: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     # each row's lines once: repeated rows share _rk, so they are made distinct before the join back
     lines = measured.select("doc_id", "_rk", "host", F.explode("lines").alias("line")).select("doc_id", "_rk", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     removed = lines.join(heavy, ["host", "h"], "left_semi").distinct()
@@ -131,9 +134,54 @@ def digest(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return judge(docs, limits)[0].select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
+#: Frequent lines that are sent to all workers at most (24 bytes each); more of them are joined to the documents.
+MOST_SENT = 200_000
+
+
 def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
     """The kept documents, in the columns given, without the lines above the limits; n_chars, if there, follows the text."""
-    rows, removed = judge(docs, limits, host)
+    measured = work_table(measure(docs, host), "lines")
+    heavy = work_table(frequent_lines(measured, limits), "heavy")
+    sent = heavy.limit(MOST_SENT + 1).collect()
+    touched = _strip_sent(docs, {(r["host"], r["h"]) for r in sent}, limits, host) if len(sent) <= MOST_SENT else _strip_joined(docs, measured, heavy, limits)
+    return touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else touched
+
+
+def _without(text: str, gone) -> tuple[str, int]:
+    """(text without the lines whose hash is gone, words removed)."""
+    lines = text.split("\n")
+    out = [(x in gone and bool(x), y) for x, y in zip(line_hashes(lines).tolist(), lines, strict=True)]
+    return "\n".join(y for off, y in out if not off), sum(len(y.encode("utf-8", "replace").split()) for off, y in out if off)
+
+
+def _strip_sent(docs: DataFrame, heavy: set, limits: Limits, host: str) -> DataFrame:
+    """One pass over the texts, without a shuffle."""
+    at, where, schema = docs.columns.index("text"), docs.columns.index(host), docs.schema
+    by_host: dict[str, set[int]] = {}
+    for h, line in heavy:
+        by_host.setdefault(h, set()).add(line)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (b.rename_columns([f"c{k}" if k != at else "text" for k in range(len(schema))]) for b in batches)
+        for part in slices(named):
+            counts = base_counts(*string_bytes(part.column(at)))
+            texts, keep = part.column(at).to_pylist(), []
+            for k, (text, source) in enumerate(zip(texts, part.column(where).cast(pa.string()).to_pylist(), strict=True)):
+                n, removed = int(counts["n_words"][k]), 0
+                if text and (gone := by_host.get(source or "")):
+                    cut, removed = _without(text, gone)
+                    texts[k] = cut if removed else text
+                failed = n < limits.min_words or 100 * int(counts["n_repeat_words"][k]) > limits.max_repeat_percent * n
+                keep.append(not failed and n - removed >= n * limits.min_kept_share)
+            cols = [part.column(k) for k in range(len(schema))]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _strip_joined(docs: DataFrame, measured: DataFrame, heavy: DataFrame, limits: Limits) -> DataFrame:
+    rows, removed = judged(measured, heavy, limits)
     kept = rows.where("kept").select(F.col("doc_id").alias("_id"), F.col("_rk").alias("_k")).distinct()
     gone = removed.groupBy("doc_id", "_rk").agg(F.collect_set("h").alias("_gone"))
     kept = kept.join(gone, (F.col("_k") == F.col("_rk")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left").select("_id", "_k", "_gone")
@@ -142,15 +190,14 @@ def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
     at, schema = docs.columns.index("text"), docs.schema
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        named = (b.rename_columns([f"c{k}" if k != at else "text" for k in range(len(schema) + 1)]) for b in batches)
+        for part in slices(named):
             texts, gones = part.column(at).to_pylist(), part.column(len(schema)).to_pylist()
             for k, g in enumerate(gones):
                 if g:
-                    g, lines = set(g), texts[k].split("\n")
-                    texts[k] = "\n".join(x for x, h in zip(lines, line_hashes(lines).tolist(), strict=True) if h not in g or not h)
+                    texts[k] = _without(texts[k], set(g))[0]
             cols = [part.column(k) for k in range(len(schema))]
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    touched = joined.select(*docs.columns, "_gone").mapInArrow(strip, schema)
-    return touched.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else touched
+    return joined.select(*docs.columns, "_gone").mapInArrow(strip, schema)

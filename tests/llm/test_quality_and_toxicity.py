@@ -55,7 +55,9 @@ def corpus():
     return rows + [(200 + k, rows[30][1], "a") for k in range(20)]
 
 
-def test_rules_equal_plain_counting(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_rules_equal_plain_counting(spark, monkeypatch, sent):
+    monkeypatch.setattr(lf, "MOST_SENT", sent)
     rows, limits = corpus(), lf.Limits(min_documents=10, host_share=0.2, min_words=20)
     docs = spark.createDataFrame([(*r, 9, 1) for r in rows], "doc_id long, text string, source string, h long, w long").repartition(3)
     want = judged(rows, limits)
