@@ -71,20 +71,40 @@ class Words:
         return {"doc": self.doc[lo], "at": at[new], "lo": lo, "hi": hi, "anchor": signed(g[at[new]]), "block": signed(self.two.hashes(lo, hi + window) ^ (at[new] - lo).astype(np.uint64))}
 
 
+def folded(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Each (doc, anchor, block) once, with its count n; what a document repeats in itself follows as ranges with n = 0.
+
+    So a document that says one thing a thousand times gives a few rows, not a thousand rows of one anchor.
+    """
+    order = np.lexsort((a["lo"], a["block"], a["anchor"], a["doc"]))
+    x = {k: v[order] for k, v in a.items()}
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([x[k][1:] != x[k][:-1] for k in ("doc", "anchor", "block")], axis=0)
+    group = np.cumsum(new) - 1
+    n = np.bincount(group)
+    again = np.sort(order[n[group] > 1]) if len(order) else order
+    doc, lo, hi = (a[k][again] for k in ("doc", "lo", "hi"))
+    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1)])) if len(again) else again
+    ends = np.concatenate([starts[1:], [len(again)]])[: len(starts)] - 1
+    none = np.zeros(len(starts), dtype=np.int64)
+    own = {k: x[k][new] for k in ("doc", "lo", "hi", "anchor", "block")} | {"n": n}
+    return {k: np.concatenate([own[k], v]) for k, v in {"doc": doc[starts], "lo": lo[starts], "hi": hi[ends], "anchor": none, "block": none, "n": none}.items()}
+
+
 def anchor_rows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, rk, lo, hi (window starts, counted from the document's first word), anchor, block."""
-    names = ["doc_id", "rk", "lo", "hi", "anchor", "block"]
+    """doc_id, rk, lo, hi (window starts, counted from the document's first word), anchor, block, n; see folded()."""
+    names = ["doc_id", "rk", "lo", "hi", "anchor", "block", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w = Words(part.column(2))
-            a = w.anchors(window, gram)
+            a = folded(w.anchors(window, gram))
             doc = pa.array(a["doc"])
             base = w.first[a["doc"]]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array((a["lo"] - base).astype(np.int32)), pa.array((a["hi"] - base).astype(np.int32)), pa.array(a["anchor"]), pa.array(a["block"])], names)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array((a["lo"] - base).astype(np.int32)), pa.array((a["hi"] - base).astype(np.int32)), pa.array(a["anchor"]), pa.array(a["block"]), pa.array(a["n"].astype(np.int64))], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, rk long, lo int, hi int, anchor long, block long")
+    return rows.mapInArrow(run, "doc_id long, rk long, lo int, hi int, anchor long, block long, n long")
 
 
 def _same(a: str, b: str):
@@ -119,17 +139,17 @@ def window_rows(docs: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, rk, s: the factors copied from elsewhere, as word ranges b to e, ascending; they may overlap (see _kept)."""
     index = work_table(anchor_rows(docs, window, gram), "anchors")
-    often = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("differ")).where("n > 1").select("anchor", "differ")
-    again = work_table(index.join(often, "anchor"), "again")
+    often = index.where("n > 0").groupBy("anchor").agg(F.sum("n").alias("all"), (F.min("block") != F.max("block")).alias("differ")).where("all > 1").select("anchor", "differ")
+    again = work_table(index.where("n > 0").join(often, "anchor"), "again")
     # blocks of anchors that have different ones: each once, with its count and one place
-    blocks = again.where("differ").groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("lo", "hi", "rk", "doc_id")).alias("x"))
+    blocks = again.where("differ").groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min(F.struct("lo", "hi", "rk", "doc_id")).alias("x"))
     blocks = work_table(blocks.select("anchor", "block", "n", "x.lo", "x.hi", "x.rk", "x.doc_id"), "blocks")
     whole = again.where("NOT differ").select("doc_id", "rk", "lo", "hi").unionByName(again.where("differ").join(blocks.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("doc_id", "rk", "lo", "hi"))
     windows = work_table(window_rows(docs, blocks, window), "windows")
     found = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash")
     edge = windows.join(found, ["anchor", "hash"], "left_semi").select("doc_id", "rk", F.col("start").alias("lo"), F.col("start").alias("hi"))
     # a document's factors are as many as its words at most
-    return whole.unionByName(edge).groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct(F.col("lo").alias("b"), (F.col("hi") + window).alias("e")))).alias("s"))
+    return whole.unionByName(edge).unionByName(index.where("n = 0").select("doc_id", "rk", "lo", "hi")).groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct(F.col("lo").alias("b"), (F.col("hi") + window).alias("e")))).alias("s"))
 
 
 def _kept(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], list[bytes], list[tuple[int, int]]]:
