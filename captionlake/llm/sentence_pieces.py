@@ -42,6 +42,7 @@ class Model:
                 self.ids[sp.id_to_piece(i)] = i
         self.ranks = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.chars = {p for p in self.ids if len(p) == 1}
         self.pieces = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses a word boundary")
@@ -114,9 +115,9 @@ class Model:
     def search(self, word: str) -> list[int]:
         """stream() for a word that fits the window, and so needs no early commit: the same backpointers, read at the end."""
         ids, known, back = self.ids, self.known, [""]
+        if not self.chars.issuperset(word):
+            return list(self.stream(word))
         for i in range(1, len(word) + 1):
-            if word[i - 1] not in ids:
-                return list(self.stream(word))
             for j in range(i - 1, -1, -1):
                 piece = word[j:i]
                 if piece in ids and ((fits := known.get((back[j], piece))) or fits is None and self.compatible(back[j], piece)):
@@ -144,7 +145,7 @@ class Segments(Memo):
     """A word with its mark -> its ids."""
 
     def __init__(self, m: Model) -> None:
-        super().__init__()
+        super().__init__(500_000)  # words are many; about 250 MB a worker
         self.model = m
 
     def compute(self, key: str) -> bytes:
