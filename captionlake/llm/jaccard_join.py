@@ -2,13 +2,20 @@
 
 A link needs |r & s| >= t |r | s|, so each side lacks at most (1 - t) of its own elements. Small sets enumerate the
 subsets that could be the intersection: the set without each choice of that many elements; linked sets share such a
-subset. Large sets go into inverted lists: with all elements in one order, linked sets share an element among their
-first (1 - t) n + 1, so only these are listed. The order puts frequent elements last, so that a line which a third of
-all documents share lists none of them; frequencies come from a fixed number of counters over all documents, and any
-order gives whole results. The size from which sets count as large is where, by a cost model, enumerating comes to cost
-more than scanning lists.
+subset. Large sets go into inverted lists, of which there are two kinds, both whole:
 
-Copies are one node. In each list first only the links to its smallest node are verified; components follow, and then
+- by elements: with all elements in one order, linked sets share an element among their first (1 - t) n + 1, so only
+  these are listed. The order puts frequent elements last. It suits long shingles, which few documents share by chance;
+- by parts: elements are hashed into more parts than the symmetric difference, at most (1 - t) / t of the smaller size,
+  can touch, so linked sets agree on some part that is not empty. Frequent elements are first dealt to few parts, where
+  rare ones join them. It suits short shingles: several must agree at once. Sizes fall into classes of a common number of
+  parts, and a set near the top of its class is listed in the next one too.
+
+So a line that a third of all documents share lists none of them by itself. Frequencies come from a fixed number of
+counters over all documents, and any frequencies give whole results. The size from which sets count as large is where,
+by a cost model, enumerating comes to cost more than scanning lists.
+
+Copies are one node. In each list first only the links to its best-connected node are verified; components follow, and then
 just the pairs of a list that still lie in different components, unless a sketch of parities proves them too far
 apart. No list is expanded into all its pairs, and no link between different sets is lost.
 """
@@ -16,18 +23,22 @@ apart. No list is expanded into all its pairs, and no link between different set
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from functools import cache
+from math import comb, exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import BASE2, BASE3, Prefix, lower_ascii, mix, row_key, signed, slices, string_bytes, word_hashes, word_spans, work_table
+from captionlake.llm.common import BASE2, BASE3, Prefix, checked_broadcast, lower_ascii, mix, partitions, row_key, signed, slices, string_bytes, word_hashes, word_spans, work_table
 
 #: Sizes at which sets may come to count as large, and the most subsets of one set that are enumerated.
 EDGES, MOST_SUBSETS = (10, 20, 30, 40), 10_000
+_CLASSES = [10]
+while _CLASSES[-1] < 1 << 40:
+    _CLASSES.append(_CLASSES[-1] * 3 // 2)
+_CLASSES = np.array(_CLASSES, dtype=np.int64)
 #: The cost model's chance that a set lists one rare element of another, unlinked set.
 SHARED = 1e-5
 #: Counters of element frequencies; elements of one counter share its count.
@@ -110,21 +121,62 @@ def subset_keys(h: np.ndarray, drops: int) -> np.ndarray:
     return mix(np.concatenate(out) ^ np.uint64(0x5BD1E995))
 
 
-def list_keys(h: np.ndarray, rank: np.ndarray, t: Threshold, small_below: int) -> np.ndarray:
+def classes_of(n: int, t: Threshold, small_below: int) -> list[int]:
+    """The size classes in which a set of n meets every set it may link to, from small_below elements on."""
+    k = max(0, int(np.searchsorted(_CLASSES, n, "right")) - 1)
+    own = [k] if n >= _CLASSES[k] else []
+    near = [k + 1 - (not own)] if n >= t.least(int(_CLASSES[k + 1 - (not own)])) else []
+    return [c for c in own + near if _CLASSES[c + 1] > small_below]
+
+
+@cache
+def parts_of(k: int, t: Threshold) -> tuple[int, int]:
+    """(most elements of a symmetric difference in class k, a number of parts of which that leaves some non-empty one)."""
+    d = int((_CLASSES[k + 1] - 1) * (100 - t.percent) // t.percent)
+    low, m = t.least(int(_CLASSES[k])), d + 2
+    while m < 20 * low and m - (e := m * exp(-low / m)) < d + 1 + 2 * sqrt(e):
+        m += 1 + m // 100
+    return d, m
+
+
+def part_keys(h: np.ndarray, hot: np.ndarray, k: int, t: Threshold) -> np.ndarray:
+    """Keys of the parts that are not empty. Where too many are, further dealings follow; linked sets meet in one of them.
+
+    A dealing is enough if fewer than parts - d are empty: a linked set that is dealt alike then agrees on a full part.
+    """
+    d, parts = parts_of(k, t)
+    out = []
+    for deal in range(64):
+        x = mix(h + np.uint64(BASE3 * (2 * deal + 1) & (1 << 64) - 1))
+        part = (x % np.where(hot & (deal == 0), np.uint64(max(1, parts // 16)), np.uint64(parts))).astype(np.int64)
+        sums = np.zeros(parts, dtype=np.uint64)
+        np.add.at(sums, part, mix(x))
+        full = np.flatnonzero(np.bincount(part, minlength=parts))
+        out.append(mix(sums[full] + full.astype(np.uint64) * np.uint64(BASE2) + np.uint64(k * 1_000_003 + deal * 7919)))
+        if parts - len(full) < parts - d:
+            return np.concatenate(out)
+    # no dealing was enough: lists by all elements
+    return np.concatenate([*out, h])
+
+
+def list_keys(h: np.ndarray, rank: np.ndarray, t: Threshold, small_below: int, parts: bool = False) -> np.ndarray:
     """All keys under which a set meets every set that it may link to. rank: of each counter, the frequent ones last."""
     n = len(h)
     out = [np.empty(0, np.uint64)]
     if 0 < n < small_below:
         out.append(subset_keys(h, t.drops(n)))
     if n >= t.least(small_below):
-        first = np.lexsort((h, rank[h & np.uint64(COUNTERS - 1)]))[: t.drops(n) + 1]
-        out.append(h[first])
+        r = rank[h & np.uint64(COUNTERS - 1)]
+        if parts:
+            out += [part_keys(h, r > 0, k, t) for k in classes_of(n, t, small_below)]
+        else:
+            out.append(h[np.lexsort((h, r))[: t.drops(n) + 1]])
     return np.unique(np.concatenate(out))
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of counts of elements in 2**b cells, 2**b >= n: cells that differ are at most the symmetric difference."""
-    bits = max(64, 1 << max(0, (len(h) - 1).bit_length()))
+    """Parities of counts of elements in 2**b cells, 2**b >= 4 n: cells that differ are at most the symmetric difference."""
+    bits = max(64, 4 << max(0, (len(h) - 1).bit_length()))
     return np.packbits((np.bincount((mix(h) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -152,7 +204,7 @@ def frequency_ranks(docs: DataFrame, words: int) -> np.ndarray:
     return np.where(over >= 4, np.log2(np.maximum(over, 1)), 0).astype(np.int8)
 
 
-def measure(docs: DataFrame, t: Threshold, words: int, small_below: int, rank: np.ndarray) -> DataFrame:
+def measure(docs: DataFrame, t: Threshold, words: int, small_below: int, rank: np.ndarray, parts: bool) -> DataFrame:
     """doc_id, rk, node (names the set), n, sketch and keys of each row; n = 0 without words."""
     names = ["doc_id", "rk", "node", "n", "sketch", "keys"]
 
@@ -160,7 +212,7 @@ def measure(docs: DataFrame, t: Threshold, words: int, small_below: int, rank: n
         for part in slices(batches):
             h, offs = shingle_sets(*string_bytes(part.column(2)), words)
             own = [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            keys = [list_keys(x, rank, t, small_below) for x in own]
+            keys = [list_keys(x, rank, t, small_below, parts) for x in own]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -179,6 +231,7 @@ def sets_of(docs: DataFrame, measured: DataFrame, nodes: DataFrame, words: int)
     """(node, items): the sorted hashes of each named set, from one document that has it."""
     want = measured.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("rk", "doc_id")).alias("x")).select("node", F.col("x.rk").alias("k"), F.col("x.doc_id").alias("id"))
     text = docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
+    want = checked_broadcast(work_table(want, "want"))
     found = text.join(want, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +260,24 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, info: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow: whole sets are joined only to these. info: node, n, sketch."""
+    side = lambda k: info.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t.percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if len(x) != len(y):
+                    size = min(len(x), len(y))
+                    x, y = (folded(np.frombuffer(z, np.uint8), size).tobytes() for z in (x, y))
+                keep.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= min(n, m) * (100 - t.percent) // t.percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge; label is the component's smallest node.
 
@@ -252,53 +323,104 @@ def apart(members: DataFrame, t: Threshold) -> DataFrame:
     # block i meets every block j: a row goes to the pairs (min, max) of its own and each other block
     met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        i, j = int(frame["_i"].iloc[0]), int(frame["_j"].iloc[0])
-        node, label, n = (frame[c].to_numpy(np.int64) for c in ("node", "label", "n"))
-        block = frame["_b"].to_numpy()
-        sk = [np.frombuffer(x, np.uint8) for x in frame["sketch"]]
-        size = min(map(len, sk))
-        least = np.stack([folded(x, size) for x in sk])
-        out_a, out_b = [], []
-        left = np.flatnonzero(block == i)
-        for a in left:
-            others = np.flatnonzero((block == j) & (label != label[a]) & (node > node[a] if i == j else True))
-            lo, hi = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
-            others, lo = others[100 * lo >= t.percent * hi], lo[100 * lo >= t.percent * hi]
-            if len(others):
-                far = np.bitwise_count(least[others] ^ least[a]).sum(axis=1, dtype=np.int64)
-                for b, room in zip(others[far <= lo * (100 - t.percent) // t.percent], lo[far <= lo * (100 - t.percent) // t.percent], strict=True):
-                    m = min(len(sk[a]), len(sk[b]))
-                    if m == size or int(np.bitwise_count(folded(sk[a], m) ^ folded(sk[b], m)).sum(dtype=np.int64)) <= room:
-                        out_a.append(min(node[a], node[b])), out_b.append(max(node[a], node[b]))
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return met.select("key", "_i", "_j", "_b", "node", "label", "n", "sketch").groupBy("key", "_i", "_j").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
+    def near(group: pa.RecordBatch, seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Pairs of one group (a block, or two that meet) that are not in `seen`."""
+        i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        block, node, label, n = (group.column(k).to_pylist() for k in range(3, 7))
+        sk, out = group.column(7).to_pylist(), []
+        if len(node) > 32:
+            size = min(map(len, sk))
+            least = np.stack([folded(np.frombuffer(x, np.uint8), size) for x in sk])
+            blocks, labels, sizes = np.array(block), np.array(label), np.array(n)
+        right = [b for b in range(len(node)) if block[b] == j]
+        for a in range(len(node)):
+            if block[a] != i:
+                continue
+            if len(node) > 32:
+                lo, hi = np.minimum(sizes, n[a]), np.maximum(sizes, n[a])
+                far = np.bitwise_count(least ^ least[a]).sum(axis=1, dtype=np.int64)
+                others = np.flatnonzero((blocks == j) & (labels != label[a]) & (100 * lo >= t.percent * hi) & (far <= lo * (100 - t.percent) // t.percent)).tolist()
+            else:
+                others = right
+            for b in others:
+                lo, hi = (n[a], n[b]) if n[a] < n[b] else (n[b], n[a])
+                if label[a] == label[b] or (i == j and b <= a) or 100 * lo < t.percent * hi:
+                    continue
+                pair = (node[a], node[b]) if node[a] < node[b] else (node[b], node[a])
+                if pair in seen:
+                    continue
+                seen.add(pair)
+                x, y = sk[a], sk[b]
+                if len(x) != len(y):
+                    m = min(len(x), len(y))
+                    x, y = (folded(np.frombuffer(z, np.uint8), m).tobytes() for z in (x, y))
+                if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= lo * (100 - t.percent) // t.percent:
+                    out.append(pair)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # the same two nodes share many lists
+        open_ = None
+
+        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if open_ is not None:
+                batch = pa.Table.from_batches([open_, batch]).combine_chunks().to_batches()[0]
+            ids = [batch.column(k).to_numpy() for k in range(3)]
+            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], axis=0)]))
+            found = []
+            for begin, end in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                found += near(batch.slice(begin, end - begin), seen)
+            if len(seen) > 500_000:
+                seen.clear()
+            open_ = batch.slice(int(new[-1]))  # the last group may go on; groups have 2 * BLOCK rows or so
+            yield emit(found)
+        if open_ is not None:
+            yield emit(near(open_, seen))
+
+    dealt = met.select("key", "_i", "_j", "_b", "node", "label", "n", "sketch").repartition(partitions(members.sparkSession), "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def stars(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each list's pivot with its other members.
+
+    The pivot is the member that meets most others over all its lists: among near copies that is the text they were made
+    from, to which nearly all of them link, so that one round leaves little for the pairs of a list.
+    """
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    return lists.join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def join(docs: DataFrame, percent: int = 90, words: int = 3, parts: bool = True) -> DataFrame:
     """doc_id, rk, n_shingles and component_id (the smallest doc_id that links reach) of every row.
 
     Defined cases: a null or wordless text has n_shingles 0 and links to nothing; equal sets link; repeated rows each
     give a row; a null doc_id takes part, but never names a component that has another id; no rows give none; other
-    columns are not read. Shingles are compared by 64-bit hashes.
+    columns are not read. parts: lists by parts, else by elements. Shingles are compared by 64-bit hashes.
     """
     t = Threshold(percent)
     rows = docs.count()
-    measured = work_table(measure(docs, t, words, boundary(rows, t), frequency_ranks(docs, words)), "sets")
+    measured = work_table(measure(docs, t, words, boundary(rows, t), frequency_ranks(docs, words), parts), "sets")
     entries = measured.select("node", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("key", "pivot")
-    lists = work_table(entries.join(shared, "key").distinct(), "lists")
+    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    lists = work_table(entries.join(shared, "key", "left_semi").distinct(), "lists")
+    info = work_table(measured.select("node", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "info")
+    star = stars(lists)
+    near = work_table(plausible(star, info, t), "near")
     sets = work_table(sets_of(docs, measured, lists.select("node").distinct(), words), "items")
-    star = lists.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = work_table(verified(star, sets, t), "links")
+    links = work_table(verified(near, sets, t), "links")
     labels = components(links)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    info = measured.select("node", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     rest = apart(named.join(open_, "key", "left_semi").join(info, "node"), t)
-    more = work_table(verified(rest.join(star, ["a", "b"], "left_anti"), sets, t), "links")
+    more = work_table(verified(rest.join(near, ["a", "b"], "left_anti"), sets, t), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     flat = measured.where("n > 0").select("doc_id", "rk", "node", "n").join(labels, "node", "left").select("doc_id", "rk", "n", F.coalesce("label", "node").alias("label"))
@@ -311,9 +433,19 @@ def digest(docs: DataFrame) -> DataFrame:
     return join(docs, 90, 3).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """One document of each component, that of the smallest doc_id; rows of equal id and text are one, too."""
-    ids = join(docs, percent, words).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_k")).distinct()
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, parts: bool = False) -> DataFrame:
+    """One document of each component, that of the smallest doc_id; rows of equal id and text are one, too.
+
+    The rows to drop are few against the texts: they are sent to the texts, if counted to be small, and not the other way.
+    """
+    rows = work_table(join(docs, percent, words, parts), "classes")
+    own = (F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull())
+    key = [F.col("doc_id").alias("_id"), F.col("rk").alias("_k")]
+    drop = checked_broadcast(work_table(rows.where(~F.coalesce(own, F.lit(False))).select(*key), "drop"))
+    twice = checked_broadcast(work_table(rows.groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*key), "twice"))
     keyed = docs.withColumn("_rk", row_key())
-    kept = keyed.join(ids, (F.col("_rk") == F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_rk"]).drop("_rk")
+    same = (F.col("_rk") == F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id"))
+    kept = keyed.join(drop, same, "left_anti")
+    if twice.isEmpty():
+        return kept.drop("_rk")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_rk"])).drop("_rk")
