@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,17 +22,35 @@ def char_error_rate(pairs: DataFrame, hypothesis: str = "hypothesis", reference:
 def align_words(hypothesis: list[str], reference: list[str]) -> list[int]:
     """For each hypothesis word the index of the reference word that a cheapest alignment puts it at (insertions: the one before)."""
     n, m = len(hypothesis), len(reference)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
+    names: dict[str, int] = {}
+    h, r = (np.array([names.setdefault(w, len(names)) for w in x], dtype=np.int64) for x in (hypothesis, reference))
+    at = np.arange(m + 1, dtype=np.int64)
+
+    def row(i: int, above: np.ndarray) -> np.ndarray:
+        new = above + 1
+        new[1:] = np.minimum(new[1:], above[:-1] + (r != h[i - 1]))
+        return np.minimum.accumulate(new - at) + at  # words of the reference left out
+
+    # of about the square root of n rows one is kept; the rows after it are found again when the way back comes to them
+    step = max(1, isqrt(n))
+    kept = [last := at]
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (hypothesis[i - 1] != reference[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+        last = row(i, last)
+        if i % step == 0:
+            kept.append(last)
     out, i, j = [0] * n, n, m
+    block: dict[int, np.ndarray] = {}
     while i:
-        if j and cost[i, j] == cost[i - 1, j - 1] + (hypothesis[i - 1] != reference[j - 1]):
+        if i - 1 not in block:
+            first = (i - 1) // step
+            block = {first * step: kept[first]}
+            for k in range(first * step + 1, i + 1):
+                block[k] = row(k, block[k - 1])
+        cost, above = block[i], block[i - 1]
+        if j and cost[j] == above[j - 1] + (h[i - 1] != r[j - 1]):
             i, j = i - 1, j - 1
             out[i] = j
-        elif cost[i, j] == cost[i - 1, j] + 1:
+        elif cost[j] == above[j] + 1:
             i -= 1
             out[i] = max(0, j - 1)
         else:
@@ -43,20 +62,22 @@ def align_to_reference(hypothesis: DataFrame, reference: DataFrame) -> DataFrame
     """The hypothesis' words dealt to the reference's lines: file_id, seg_idx, text. Both: file_id, seg_idx, text."""
     kind = reference.schema["file_id"].dataType.simpleString()
 
-    def fold(h: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values("seg_idx")
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seg_idx")
+        h, r = rows[rows["said"]], rows[~rows["said"]]
         words, owner = [], []
         for k, t in enumerate(r["text"]):
             for w in (t or "").split():
                 words.append(w), owner.append(k)
-        said = [w for t in h.sort_values("seg_idx")["text"] for w in (t or "").split()]
+        said = [w for t in h["text"] for w in (t or "").split()]
         lines: list[list[str]] = [[] for _ in range(len(r))]
         if words:
             for w, at in zip(said, align_words(said, words), strict=True):
                 lines[owner[at]].append(w)
         return pd.DataFrame({"file_id": r["file_id"], "seg_idx": r["seg_idx"], "text": [" ".join(x) for x in lines]})
 
-    return hypothesis.select("file_id", "seg_idx", "text").groupBy("file_id").cogroup(reference.select("file_id", "seg_idx", "text").groupBy("file_id")).applyInPandas(fold, f"file_id {kind}, seg_idx long, text string")
+    side = lambda x, said: x.select("file_id", "seg_idx", "text", F.lit(said).alias("said"))
+    return side(hypothesis, True).unionByName(side(reference, False)).groupBy("file_id").applyInPandas(fold, f"file_id {kind}, seg_idx long, text string")
 
 
 def subtitle_edit_rate(hypothesis: list[tuple[float, float, str]], reference: list[tuple[float, float, str]]) -> float:

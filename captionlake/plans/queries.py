@@ -423,6 +423,11 @@ def audio_slices(spark, sf):
 # ------------------------------------------------------------------------ text
 
 
+def caption_parts(column: str):
+    """(part, line): the caption lines of a text, cut after sentence marks and line ends; together they are the whole text."""
+    return F.posexplode(text.split_segments(F.col(column), ".!?\n")).alias("part", "line")
+
+
 BASIC = (rules.Rule("[\r\n\t]+", " "), rules.Rule("[*#$%&]{2,}", ""), rules.Rule("([.,!?])[.,!?]+", r"\1"), rules.Rule(" {2,}", " "), rules.Rule(r"(\w+)ing\b", r"\1in'"))
 
 
@@ -477,7 +482,9 @@ def numerals(spark, sf):
 
 @query()
 def linebreak(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", steps.python_step(lambda t: steps.break_line(t, 42))(F.left("text", F.lit(60))).alias("broken"))
+    """Every caption line of every turn."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", caption_parts("text"))
+    return rows.select("conv_id", "turn", "part", steps.python_step(lambda t: steps.break_line(t, 42))(F.trim("line")).alias("broken"))
 
 
 @query("WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '[.!?]', chr(1), 'g'), chr(1)) AS parts FROM documents) SELECT doc_id, len(parts) AS n, list_sum(list_transform(parts, lambda x, i: i * length(x))) AS weighted FROM p")
@@ -560,6 +567,72 @@ def media_paths(spark, sf):
     return table(spark, sf, "pages").select("page_id", media.is_media(F.regexp_replace("url", "[?#].*$", ""), ("html", "mp4")).alias("wanted"))
 
 
+# ------------------------------------- whole texts of all rows, where the SQL above holds a prefix of some
+
+
+@query()
+def rules_basic_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(rules.apply_rules(F.col("text"), BASIC)).alias("cleaned"))
+
+
+@query()
+def trailing_particles_whole(spark, sf):
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word", "w"))
+    _, run, at = text.trailing_particles(F.col("w"), "aeiou")
+    return w.select("doc_id", "word", run.alias("run"), at.cast("bigint").alias("at"))
+
+
+def shifted_lines(spark, sf):
+    """Every caption line of every document, and the line without its first two characters."""
+    d = table(spark, sf, "documents").select("doc_id", caption_parts("text"))
+    return d.select("doc_id", "part", F.col("line").alias("a"), F.expr("substring(line, 3)").alias("b"))
+
+
+@query()
+def edit_distance_whole(spark, sf):
+    return shifted_lines(spark, sf).select("doc_id", "part", F.levenshtein("a", "b").cast("bigint").alias("distance"))
+
+
+@query()
+def sanitize_whole(spark, sf):
+    r = F.when(F.col("part") % 4 == 0, F.col("b")).when(F.col("part") % 4 == 1, F.lit("")).when(F.col("part") % 4 == 2, F.concat("a", "a")).otherwise(F.replace(F.col("a"), F.lit("e"), F.lit("x")))
+    return shifted_lines(spark, sf).select("doc_id", "part", text.accept_reference(F.col("a"), r, guarded="eo").alias("accepted"))
+
+
+@query()
+def char_error_rate_whole(spark, sf):
+    rows = shifted_lines(spark, sf).select((F.col("doc_id") % 10).alias("grp"), F.col("a").alias("hypothesis"), F.col("b").alias("reference"))
+    return metrics.char_error_rate(rows, by=["grp"]).withColumn("cer", F.round("cer", 6))
+
+
+def substitution_lines(spark, sf):
+    """Every word of every document, four to a line, with a response made of them."""
+    w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    fours = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int")), lambda k: F.slice("w", k * 4 + 1, F.lit(4)))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", w.alias("w")).select("doc_id", F.posexplode(fours).alias("line", "w"))
+    at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
+    resp = F.concat(at(1), F.lit("→"), at(2), F.lit("\nno arrow\n"), at(3), F.lit("→"), at(3), F.lit("\n"), at(4), F.lit("→ok"))
+    return d.select("doc_id", "line", F.array_join("w", " ").alias("text"), resp.alias("resp"))
+
+
+@query()
+def parse_substitutions_whole(spark, sf):
+    rows = substitution_lines(spark, sf).select("doc_id", "line", F.explode(text.parse_substitutions(F.col("resp"))).alias("p"))
+    return rows.select("doc_id", "line", F.col("p.wrong").alias("wrong"), F.col("p.right").alias("right"))
+
+
+@query()
+def apply_substitutions_whole(spark, sf):
+    return substitution_lines(spark, sf).select("doc_id", "line", F.md5(text.apply_substitutions(F.col("text"), text.parse_substitutions(F.col("resp")))).alias("fixed"))
+
+
+@query()
+def vocabulary_tokens_whole(spark, sf):
+    vocab = {"a": 1, "e": 2, "o": 3, "t": 4, "h": 5}
+    d = table(spark, sf, "documents").select("doc_id", text.in_vocabulary(F.col("text"), list(vocab), ".").alias("c")).where("size(c) > 0")
+    return d.select("doc_id", F.array_join(F.transform(text.tokens(F.col("c.c"), vocab), lambda x: x.cast("string")), " ").alias("ids"))
+
+
 # --------------------------------------------------------- kernels and layers
 
 
@@ -589,7 +662,7 @@ def layered_config(spark, sf):
 @query()
 def reference_word_alignment(spark, sf):
     c = table(spark, sf, "conversations")
-    rows = c.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_idx"), F.array_join(F.slice(F.split(F.col("text"), r"\s+"), 1, 40), " ").alias("text"))
+    rows = c.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_idx"), "text")
     return metrics.align_to_reference(rows.withColumn("text", F.regexp_replace("text", "e", "")), rows)
 
 
