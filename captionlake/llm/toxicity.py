@@ -1,7 +1,7 @@
 """Toxicity of restored text: a noisy channel undoes leetspeak, spacing and repetition, then a linear model scores.
 
-Most words pass unchanged: they have only letters and no long repetition, so their lattice has one path. Any other word,
-and any run of single characters set apart, becomes a lattice: each sign may stand for itself or for the letters that it
+Most words pass unchanged: they have only letters and none twice in a row, so their lattice has one path. Any other word,
+and any run of single characters set apart, whatever its length, becomes a lattice: each sign may stand for itself or for the letters that it
 is used for, marks between letters may be nothing, and a repeated letter may be one. Viterbi search picks the path that
 a character trigram model, counted over all documents, and the channel's prices make likeliest. The score is a logistic
 regression on presence of words and word beginnings of the restored text.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ KEEP, SUBSTITUTE, DROP_MARK, DROP_REPEAT, BREAK = -0.05, -1.0, -0.3, -0.2, -6.0
 CLASSES = 64
 #: A run of three or more single signs set apart by spaces; else a word.
 _TOKEN = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}|\S+")
-_ODD = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
+#: A letter twice in a row, blanks, and signs that may stand for something else or for nothing: a lattice of several paths.
+_ODD = re.compile(rf"([^\W\d_])\1|[ \t{re.escape(''.join(LEET) + MARKS)}]")
+#: Signs after which the search sets aside what all its paths have in common.
+COMMIT = 32
 
 
 def _class_table() -> np.ndarray:
@@ -88,11 +92,13 @@ class Restorer:
 
     def __init__(self, lm: np.ndarray) -> None:
         self.lm = lm
+        self._flat = lm.ravel().tolist()
+        self._code: dict[str, int] = {}
 
     @staticmethod
     def suspicious(word: str) -> bool:
         """Whether the lattice of a word (without marks at its ends) has more than one path."""
-        return not word.isalpha() and any(c.isalpha() for c in word) or " " in word or bool(_ODD.search(word))
+        return bool(_ODD.search(word))
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -113,19 +119,27 @@ class Restorer:
         return out
 
     def decode(self, word: str) -> str:
-        """The likeliest path; a state is the last two classes, and ties keep the path found first."""
-        code = lambda c: int(classes(c)[0])
+        """The likeliest path; a state is the last two classes, and ties keep the path found first.
+
+        What all paths have in common is set aside as the search goes on, so a path holds only its own end.
+        """
+        lm, codes, done = self._flat, self._code, []
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for arcs in self.lattice(word):
+        for at, arcs in enumerate(self.lattice(word), 1):
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for c, price in arcs:
-                k = code(c) if c else -1
+                if c and c not in codes:
+                    codes[c] = int(classes(c)[0])
+                k = codes[c] if c else -1
                 for (a, b), (p, said) in best.items():
-                    state, q = ((a, b), p + price) if k < 0 else ((b, k), p + price + float(self.lm[a, b, k]))
+                    state, q = ((a, b), p + price) if k < 0 else ((b, k), p + price + lm[(a * CLASSES + b) * CLASSES + k])
                     if state not in step or q > step[state][0]:
                         step[state] = (q, said + c)
             best = step
-        return max(best.items(), key=lambda x: x[1][0] + float(self.lm[x[0][0], x[0][1], 0]))[1][1]
+            if at % COMMIT == 0 and (common := commonprefix([said for _, said in best.values()])):
+                done.append(common)
+                best = {state: (p, said[len(common) :]) for state, (p, said) in best.items()}
+        return "".join(done) + max(best.items(), key=lambda x: x[1][0] + lm[(x[0][0] * CLASSES + x[0][1]) * CLASSES])[1][1]
 
     def word(self, token: str) -> list[str]:
         """Restored words of a token, without marks at their ends."""
@@ -133,8 +147,6 @@ class Restorer:
         bare = token.strip(".,;:?\"'()[]{}<>*%&#~_-=/\\`…«»¿")
         if not self.suspicious(bare):
             return [bare] if bare else []
-        if len(bare) > 64:  # longer than any word: numbers, keys and addresses, cut at their marks
-            return [x for x in re.split(r"[\W_]+", bare) if x]
         return [x for x in (y.strip(".,;:!?") for y in self.decode(bare).split()) if x]
 
     def restore(self, text: str) -> str:

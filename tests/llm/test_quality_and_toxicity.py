@@ -157,6 +157,29 @@ def test_search_takes_the_best_path(spark, talk):
         assert r.decode(word) in said
 
 
+def test_long_and_lightly_repeated_words_are_restored(spark, talk):
+    model = tox.train(talk[0], talk[1])
+    r = tox.Restorer(model.lm)
+    hit = lambda t: model.score({f for w in r.restore(t).split() for f in tox.word_features(w) if f in model.features}) > model.score(set())
+    for given, want in (("stuupid", "stupid"), ("iddiot", "idiot"), ("moronn", "moron"), ("stu" + "u" * 80 + "pid", "stupid"), ("s" + "." * 90 + "tupid", "stupid")):
+        assert r.restore(given) == want and hit(given), (given, r.restore(given))
+    spaced = " ".join("stupid" * 12)
+    assert len(spaced) > 64 and hit(spaced) and len(r.restore(spaced)) > 20 and "stupid" in r.restore(spaced), r.restore(spaced)
+
+
+def test_every_lattice_of_several_paths_is_searched_and_commits_change_nothing(spark, talk, monkeypatch):
+    r = tox.Restorer(tox.language_model(tox.trigram_counts(talk[0])))
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeo01$.-é_¿ ", k=rng.randrange(1, 6))).strip() for _ in range(400)]
+    for w in words:
+        assert r.suspicious(w) == any(len(arcs) > 1 for arcs in r.lattice(w)), w
+    long = ["".join(rng.choices("aabbdiot01$.", k=300)) for _ in range(20)]
+    monkeypatch.setattr(tox, "COMMIT", 10**9)
+    whole = [r.decode(w) for w in long]
+    monkeypatch.setattr(tox, "COMMIT", 7)
+    assert [r.decode(w) for w in long] == whole
+
+
 def test_no_labels_no_rows(spark, talk):
     docs, labels, _ = talk
     model = tox.train(docs.limit(0), labels.limit(0))
