@@ -124,9 +124,12 @@ def subset_keys(h: np.ndarray, drops: int) -> np.ndarray:
 def classes_of(n: int, t: Threshold, small_below: int) -> list[int]:
     """The size classes in which a set of n meets every set it may link to, from small_below elements on."""
     k = max(0, int(np.searchsorted(_CLASSES, n, "right")) - 1)
-    own = [k] if n >= _CLASSES[k] else []
-    near = [k + 1 - (not own)] if n >= t.least(int(_CLASSES[k + 1 - (not own)])) else []
-    return [c for c in own + near if _CLASSES[c + 1] > small_below]
+    out = [k] if n >= _CLASSES[k] else []
+    c = k + len(out)
+    while c < len(_CLASSES) - 1 and n >= t.least(int(_CLASSES[c])):  # classes are 1.5 wide: at low thresholds links skip one
+        out.append(c)
+        c += 1
+    return [c for c in out if _CLASSES[c + 1] > small_below]
 
 
 @cache

@@ -86,3 +86,11 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert sorted((r.n_shingles, r.component_id) for r in rows if r.n_shingles) == [(38, 7)] * 3 + [(39, 7)]
     assert jj.join(docs.limit(0), 90, 3).count() == 0
     assert sorted(r.doc_id or -1 for r in jj.keep_one(docs, 90, 3).collect()) in ([-1, -1, 7], [-1, 7])
+
+
+@pytest.mark.parametrize("percent", [51, 55, 60, 65, 67, 80, 90])
+def test_sets_of_all_linked_sizes_share_a_class(percent):
+    t = jj.Threshold(percent)
+    for n in range(1, 300):
+        for m in range(max(n, 10), n * 100 // percent + 1):  # below 10 elements sets meet by their subsets
+            assert set(jj.classes_of(n, t, 0)) & set(jj.classes_of(m, t, 0)), (n, m)
