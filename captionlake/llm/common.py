@@ -22,9 +22,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
-_tables: list[str] = []
-
-
 # ---------------------------------------------------------------- work tables
 
 
@@ -39,23 +36,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors, and slow Python runs once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/captionlake-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(schema).parquet(path)
+class Scratch:
+    """The work tables of one call. A table goes when its last reader has run (drop) or when the result is written (release)."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write once to the shared folder and read back: cuts lineage, survives lost executors, and slow Python runs once."""
+        path = f"{shared_folder(self.spark)}/captionlake-{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            del self.paths[path]
+            self._delete(path)
+
+    def release(self) -> None:
+        """Only for callers that have already written what they returned."""
+        for path in list(self.paths):
+            del self.paths[path]
+            self._delete(path)
 
 
-def release_work_tables(spark: SparkSession) -> None:
-    """Delete the tables of earlier calls. Only for callers that have already written what they returned."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(conf).delete(path, True)
+def renamed(df: DataFrame) -> DataFrame:
+    """df with its columns called _0, _1 and so on: what is joined to it can't clash with them, whatever they are called."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
+def renamed_column(df: DataFrame, name: str) -> Column:
+    """Column `name` of df, as renamed(df) calls it."""
+    return F.col(f"_{df.columns.index(name)}")
 
 
 #: Rows of a few numbers that may be broadcast: about 30 MB. More of them go through a shuffle.
@@ -89,12 +108,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about `most` bytes of text, so that memory follows the longest text, not the batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offs = string_bytes(batch.column(batch.schema.get_field_index(text)))
+        _, offs = string_bytes(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
         begin = 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(offs, offs[begin] + most, "right")) - 1)
@@ -102,6 +121,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             begin = end
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with one value in column `key`, across batches."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist() + [batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and ids[a] != value:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            value = ids[a]
+    if held:
+        yield held
+
+
 # --------------------------------------------------------------- word arrays
 
 

@@ -1,48 +1,46 @@
 """N-gram Jaccard self-join by a size-aware heavy-light scheme, and its connected components.
 
-A link needs |r & s| >= t |r | s|, so each side lacks at most (1 - t) of its own elements. Small sets enumerate the
-subsets that could be the intersection: the set without each choice of that many elements; linked sets share such a
-subset. Large sets go into inverted lists, of which there are two kinds, both whole:
+A link needs |r & s| >= t |r | s|, so each side lacks at most (1 - t) of its own elements.
 
-- by elements: with all elements in one order, linked sets share an element among their first (1 - t) n + 1, so only
-  these are listed. The order puts frequent elements last. It suits long shingles, which few documents share by chance;
-- by parts: elements are hashed into more parts than the symmetric difference, at most (1 - t) / t of the smaller size,
-  can touch, so linked sets agree on some part that is not empty. Frequent elements are first dealt to few parts, where
-  rare ones join them. It suits short shingles: several must agree at once. Sizes fall into classes of a common number of
-  parts, and a set near the top of its class is listed in the next one too.
+- Small sets enumerate subsets of fixed size: the set without each choice of as many elements as it may lack. Linked sets
+  share such a subset.
+- Large sets go into inverted lists of elements. With all elements in one order, linked sets share one among their first
+  (1 - t) n + 1, so only these are listed. The order is by the number of documents that hold an element, which is counted
+  for every element: a document whose own words suffice for the first places is in no list at all, however many passages
+  it shares with others.
 
-So a line that a third of all documents share lists none of them by itself. Frequencies come from a fixed number of
-counters over all documents, and any frequencies give whole results. The size from which sets count as large is where,
-by a cost model, enumerating comes to cost more than scanning lists.
+The boundary between the two is the size at which, summed over the sizes that the corpus has, enumerating subsets comes to
+cost more than counting elements and scanning lists (see boundary()).
+
+Counting moves four bytes an element, not the documents: a slice of documents sends, for each bucket of elements, the
+elements' hashes and their places, and gets back the shared ones with their counts. The number of buckets follows the
+number of elements, so a bucket stays as large as it is. Elements that a bounded table of counters shows to be in very many
+documents are not sent: they come last in the order, and are listed only for sets that have too few others.
 
 Copies are one node. In each list first only the links to its best-connected node are verified; components follow, and then
-just the pairs of a list that still lie in different components, unless a sketch of parities proves them too far
-apart. No list is expanded into all its pairs, and no link between different sets is lost.
+just the pairs of a list that still lie in different components, unless a sketch of parities proves them too far apart. No
+list is expanded into all its pairs, and no link between different sets is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from math import comb, exp, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import BASE2, BASE3, Prefix, checked_broadcast, lower_ascii, mix, partitions, row_key, signed, slices, string_bytes, word_hashes, word_spans, work_table
-
-#: Sizes at which sets may come to count as large, and the most subsets of one set that are enumerated.
-EDGES, MOST_SUBSETS = (10, 20, 30, 40), 10_000
-_CLASSES = [10]
-while _CLASSES[-1] < 1 << 40:
-    _CLASSES.append(_CLASSES[-1] * 3 // 2)
-_CLASSES = np.array(_CLASSES, dtype=np.int64)
-#: The cost model's chance that a set lists one rare element of another, unlinked set.
-SHARED = 1e-5
-#: Counters of element frequencies; elements of one counter share its count.
-COUNTERS = 1 << 18
+from captionlake.llm.common import BASE2, BASE3, Prefix, Scratch, checked_broadcast, lower_ascii, mix, partitions, renamed, renamed_column, row_key, runs_of, signed, slices, string_bytes, word_hashes, word_spans
+
+#: Sizes below which a set may count as small, and the most subsets of one set that are enumerated.
+MOST_SMALL, MOST_SUBSETS = 64, 10_000
+#: Counters of element frequencies; elements of one counter share its count, and are common from so many times the mean.
+COUNTERS, COMMON = 1 << 18, 4
+#: Elements of one bucket on average, and of the sample whose lists are measured for the boundary.
+BUCKET, SAMPLE = 4_000_000, 50_000
 #: Members of one list that meet in a task at most; larger lists are cut into blocks, and blocks meet in pairs.
 BLOCK = 512
 
@@ -51,11 +49,11 @@ class Threshold:
     """Jaccard similarity of percent / 100 or more, in whole numbers."""
 
     def __init__(self, percent: int) -> None:
-        if not 50 < percent <= 100:
-            raise ValueError("similarity must be over 50 %")
+        if not 0 < percent <= 100:
+            raise ValueError("similarity must be a percentage over 0")
         self.percent = percent
 
-    def drops(self, n: int) -> int:
+    def drops(self, n):
         """Elements of a set of n that a linked set may lack."""
         return n * (100 - self.percent) // 100
 
@@ -66,14 +64,30 @@ class Threshold:
         """The smallest size that may link to one of n."""
         return -(-n * self.percent // 100)
 
+    def apart(self, n):
+        """Elements that two linked sets, the smaller of n, may differ in."""
+        return n * (100 - self.percent) // self.percent
+
+
+def subsets(n: int, t: Threshold) -> int:
+    return sum(comb(n, i) for i in range(t.drops(n) + 1))
 
-def boundary(rows: int, t: Threshold) -> int:
-    """The first edge from which enumerating the subsets of a set costs more than scanning its lists."""
-    for low, high in zip(EDGES, EDGES[1:], strict=False):
-        light = sum(comb(high - 1, i) for i in range(t.drops(high - 1) + 1))
-        if light > min(MOST_SUBSETS, (t.drops(low) + 1) * (1 + rows * SHARED)):
-            return low
-    return EDGES[-1]
+
+def boundary(sizes: dict[int, int], list_length: float, t: Threshold) -> int:
+    """The size from which sets count as large: where all sets of the corpus cost least. sizes: how many sets of each size.
+
+    A small set costs its subsets, which are rows; a large one its elements, which are counted, and the scan of the lists
+    it is in. Sets just under the boundary may link across it, and cost both.
+    """
+    best, found = None, 1
+    for below in range(1, MOST_SMALL + 1):
+        if below > 1 and subsets(below - 1, t) > MOST_SUBSETS:
+            break
+        cost = sum(c * subsets(n, t) for n, c in sizes.items() if n < below)
+        cost += sum(c * (n + (t.drops(n) + 1) * list_length) for n, c in sizes.items() if n >= t.least(below))
+        if best is None or cost <= best:
+            best, found = cost, below
+    return found
 
 
 # ----------------------------------------------------------------- sets
@@ -99,8 +113,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.nda
     return h, np.concatenate([[0], np.cumsum(np.bincount(d, minlength=n))])
 
 
-def set_name(h: np.ndarray) -> int:
-    return int(mix(np.array([np.sum(mix(h ^ np.uint64(BASE3)))], dtype=np.uint64)).view(np.int64)[0]) if len(h) else 0
+def set_names(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set; 0 for an empty one."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(BASE3)))])
+    return np.where(np.diff(offs) > 0, signed(mix(sums[offs[1:]] - sums[offs[:-1]])), 0)
 
 
 def subset_keys(h: np.ndarray, drops: int) -> np.ndarray:
@@ -121,62 +137,6 @@ def subset_keys(h: np.ndarray, drops: int) -> np.ndarray:
     return mix(np.concatenate(out) ^ np.uint64(0x5BD1E995))
 
 
-def classes_of(n: int, t: Threshold, small_below: int) -> list[int]:
-    """The size classes in which a set of n meets every set it may link to, from small_below elements on."""
-    k = max(0, int(np.searchsorted(_CLASSES, n, "right")) - 1)
-    out = [k] if n >= _CLASSES[k] else []
-    c = k + len(out)
-    while c < len(_CLASSES) - 1 and n >= t.least(int(_CLASSES[c])):  # classes are 1.5 wide: at low thresholds links skip one
-        out.append(c)
-        c += 1
-    return [c for c in out if _CLASSES[c + 1] > small_below]
-
-
-@cache
-def parts_of(k: int, t: Threshold) -> tuple[int, int]:
-    """(most elements of a symmetric difference in class k, a number of parts of which that leaves some non-empty one)."""
-    d = int((_CLASSES[k + 1] - 1) * (100 - t.percent) // t.percent)
-    low, m = t.least(int(_CLASSES[k])), d + 2
-    while m < 20 * low and m - (e := m * exp(-low / m)) < d + 1 + 2 * sqrt(e):
-        m += 1 + m // 100
-    return d, m
-
-
-def part_keys(h: np.ndarray, hot: np.ndarray, k: int, t: Threshold) -> np.ndarray:
-    """Keys of the parts that are not empty. Where too many are, further dealings follow; linked sets meet in one of them.
-
-    A dealing is enough if fewer than parts - d are empty: a linked set that is dealt alike then agrees on a full part.
-    """
-    d, parts = parts_of(k, t)
-    out = []
-    for deal in range(64):
-        x = mix(h + np.uint64(BASE3 * (2 * deal + 1) & (1 << 64) - 1))
-        part = (x % np.where(hot & (deal == 0), np.uint64(max(1, parts // 16)), np.uint64(parts))).astype(np.int64)
-        sums = np.zeros(parts, dtype=np.uint64)
-        np.add.at(sums, part, mix(x))
-        full = np.flatnonzero(np.bincount(part, minlength=parts))
-        out.append(mix(sums[full] + full.astype(np.uint64) * np.uint64(BASE2) + np.uint64(k * 1_000_003 + deal * 7919)))
-        if parts - len(full) < parts - d:
-            return np.concatenate(out)
-    # no dealing was enough: lists by all elements
-    return np.concatenate([*out, h])
-
-
-def list_keys(h: np.ndarray, rank: np.ndarray, t: Threshold, small_below: int, parts: bool = False) -> np.ndarray:
-    """All keys under which a set meets every set that it may link to. rank: of each counter, the frequent ones last."""
-    n = len(h)
-    out = [np.empty(0, np.uint64)]
-    if 0 < n < small_below:
-        out.append(subset_keys(h, t.drops(n)))
-    if n >= t.least(small_below):
-        r = rank[h & np.uint64(COUNTERS - 1)]
-        if parts:
-            out += [part_keys(h, r > 0, k, t) for k in classes_of(n, t, small_below)]
-        else:
-            out.append(h[np.lexsort((h, r))[: t.drops(n) + 1]])
-    return np.unique(np.concatenate(out))
-
-
 def sketch(h: np.ndarray) -> bytes:
     """Parities of counts of elements in 2**b cells, 2**b >= 4 n: cells that differ are at most the symmetric difference."""
     bits = max(64, 4 << max(0, (len(h) - 1).bit_length()))
@@ -189,60 +149,212 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def frequency_ranks(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter, the power of two by which its count is over the mean, from 4 times on; 0 for all others."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
+
+
+def survey(docs: DataFrame, words: int, rows: int) -> DataFrame:
+    """One pass over the texts. kind 0: a row's set (key: its name, n, sketch, items of small ones); 1: an element counter and
+    its count; 2: an element of a sample of the hash space that shrinks as rows grow, and its count."""
+    names = ["kind", "key", "n", "doc_id", "rk", "sketch", "items"]
+    sample = np.uint64(max(1, rows * 500 // SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for part in slices(batches):
-            h, _ = shingle_sets(*string_bytes(part.column(0)), words)
+            h, offs = shingle_sets(*string_bytes(part.column(2)), words)
             total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            own = [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            kept = [x.tobytes() if len(x) < MOST_SMALL else None for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(own), np.int32)), pa.array(set_names(h, offs)), pa.array(np.diff(offs)), part.column(0), part.column(1), pa.array([sketch(x) for x in own], pa.binary()), pa.array(kept, pa.binary())], names
+            )
+            some, count = np.unique(h[(h >> np.uint64(20)) % sample == 0], return_counts=True)
+            if len(some):
+                yield counts(2, signed(some), count)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["counter", "n"])
+        yield counts(1, at, total[at])
+
+    def counts(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(key), x) for x in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n.astype(np.int64)), *none], names)
+
+    return _keyed(docs).mapInArrow(run, "kind int, key long, n long, doc_id long, rk long, sketch binary, items binary")
+
 
-    table = docs.select(F.col("text").cast("string")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows of 12 bytes
+def statistics(surveyed: DataFrame) -> tuple[np.ndarray, int, dict[int, int], float]:
+    """(rank of each counter, elements, how many small sets of each size, mean length of an element's list).
+
+    A counter's rank is the power of two by which its count is over the mean, for common ones; 0 for all others. What comes
+    to the driver is bounded: COUNTERS counts, MOST_SMALL sizes, and two sums.
+    """
+    table = surveyed.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS)
-    counts[table["counter"].to_numpy(np.int64)] = table["n"].to_numpy(float)
+    counts[table["key"].to_numpy(np.int64)] = table["n"].to_numpy(float)
     over = counts / max(1.0, counts.mean())
-    return np.where(over >= 4, np.log2(np.maximum(over, 1)), 0).astype(np.int8)
+    rank = np.where(over >= COMMON, np.log2(np.maximum(over, 1)), 0).astype(np.int8)
+    sizes = {r["n"]: r["c"] for r in surveyed.where(f"kind = 0 AND n > 0 AND n < {MOST_SMALL}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    x = surveyed.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).first()
+    return rank, int(counts.sum()), sizes, (x["all"] or 1) / (x["different"] or 1)
+
 
+# --------------------------------------------------------------- lists
 
-def measure(docs: DataFrame, t: Threshold, words: int, small_below: int, rank: np.ndarray, parts: bool) -> DataFrame:
-    """doc_id, rk, node (names the set), n, sketch and keys of each row; n = 0 without words."""
-    names = ["doc_id", "rk", "node", "n", "sketch", "keys"]
+
+def _grouped(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct `by`, offsets into values): values come sorted by `by`."""
+    new = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.empty(0, np.int64)
+    return by[new], np.append(new, len(values))
+
+
+def _binaries(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """values[offs[i]:offs[i + 1]] as bytes, one array of binaries."""
+    data = np.ascontiguousarray(values)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer((offs * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+_ENTRY = "bucket int, slice long, low binary, place binary, freq binary"
+
+
+def element_entries(docs: DataFrame, t: Threshold, words: int, below: int, rank: np.ndarray, buckets: int) -> DataFrame:
+    """What a slice of documents sends. For each bucket: low and place, the hash's low 32 bits and the document's number in
+    the slice, of each element of a large set that is not common. And for the slice itself, once (bucket -1): in `low` the
+    name of each set, in `place` how many of its elements may be shared before it must be listed, and in `freq` the
+    (number, key) of common elements that are listed in any case."""
+    names = ["bucket", "slice", "low", "place", "freq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        task = TaskContext.get().partitionId() << 32
+        for at, part in enumerate(slices(batches, most=4 << 20)):
             h, offs = shingle_sets(*string_bytes(part.column(2)), words)
-            own = [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            keys = [list_keys(x, rank, t, small_below, parts) for x in own]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([set_name(x) for x in own], pa.int64()), pa.array(np.diff(offs), pa.int64()), pa.array([sketch(x) for x in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))],
-                names,
-            )
+            n = np.diff(offs)
+            doc = np.repeat(np.arange(len(n)), n)
+            r = rank[h & np.uint64(COUNTERS - 1)]
+            large = (n >= t.least(below))[doc]
+            cold = np.flatnonzero(large & (r == 0))
+            have = np.bincount(doc[cold], minlength=len(n))
+            slack = have - np.minimum(have, t.drops(n) + 1)
+            # sets with too few other elements list common ones, the least common first
+            lacks = np.where(n >= t.least(below), np.maximum(t.drops(n) + 1 - have, 0), 0)
+            hot = np.flatnonzero(large & (r > 0) & (lacks[doc] > 0))
+            hot = hot[np.lexsort((h[hot], r[hot], doc[hot]))]
+            first = np.searchsorted(doc[hot], doc[hot])
+            hot = hot[np.arange(len(hot)) - first < lacks[doc[hot]]]
+            direct = np.stack([doc[hot], signed(h[hot])], axis=1).astype(np.int64) if len(hot) else np.empty((0, 2), np.int64)
+            x = mix(h[cold])
+            bucket = ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            which, ends = _grouped(order, bucket[order])
+            number = task + at
+            rows = [pa.array(np.append(which, -1).astype(np.int32)), pa.array(np.full(len(which) + 1, number))]
+            low, place = x[order].astype(np.uint32), doc[cold][order].astype(np.uint32)
+            own = (set_names(h, offs), slack.astype(np.uint32), direct)
+            cols = [pa.concat_arrays([_binaries(v, ends), pa.array([o.tobytes()], pa.binary())]) for v, o in zip((low, place), own, strict=False)]
+            yield pa.RecordBatch.from_arrays([*rows, *cols, pa.array([None] * len(which) + [direct.tobytes()], pa.binary())], names)
+
+    return _keyed(docs).mapInArrow(run, _ENTRY)
+
+
+def shared_entries(entries: DataFrame, buckets: int) -> DataFrame:
+    """The entries whose element is in two documents or more, with freq; slices' own rows as they are."""
+    names = ["bucket", "slice", "low", "place", "freq"]
+
+    def counted(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(group).combine_chunks()
+        if table.column(0)[0].as_py() < 0:
+            yield from group
+            return
+        low, offs = _flat(table.column(2).chunk(0), np.uint32)
+        place, _ = _flat(table.column(3).chunk(0), np.uint32)
+        order = np.argsort(low)
+        s = low[order]
+        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        freq = np.empty(len(low), np.uint32)
+        freq[order] = np.repeat(np.diff(np.append(new, len(s))), np.diff(np.append(new, len(s)))).astype(np.uint32)
+        at = np.flatnonzero(freq > 1)
+        row = np.searchsorted(offs, at, "right") - 1
+        which, ends = _grouped(at, row)
+        if len(which):
+            yield pa.RecordBatch.from_arrays([table.column(0).chunk(0).take(pa.array(which)), table.column(1).chunk(0).take(pa.array(which)), *(_binaries(v[at], ends) for v in (low, place, freq))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, 0):
+            yield from counted(group)
+
+    # a slice's own row has no bucket, and may lie anywhere
+    dealt = entries.repartitionById(min(buckets, partitions(entries.sparkSession)), F.pmod(F.when(F.col("bucket") < 0, _spread()).otherwise(F.col("bucket")), F.lit(min(buckets, partitions(entries.sparkSession)))).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, _ENTRY)
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, rk long, node long, n long, sketch binary, keys array<long>")
+
+def _spread() -> Column:
+    """Slices are numbered by task and then by place in it: neighbours go to different partitions."""
+    return F.shiftright("slice", 32) + F.col("slice").bitwiseAND((1 << 32) - 1) * 7
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of binaries, offsets)."""
+    data, offs = string_bytes(column)
+    return np.frombuffer(data.tobytes(), dtype=kind), offs // np.dtype(kind).itemsize
+
+
+def element_lists(shared: DataFrame) -> DataFrame:
+    """(node, key) of the large sets in their elements' lists: each set's first elements, by frequency, that are shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, 1):
+            table = pa.Table.from_batches(group).combine_chunks()
+            bucket = table.column(0).to_numpy()
+            own = int(np.flatnonzero(bucket < 0)[0])
+            nodes = np.frombuffer(table.column(2)[own].as_py(), np.int64)
+            slack = np.frombuffer(table.column(3)[own].as_py(), np.uint32).astype(np.int64)
+            direct = np.frombuffer(table.column(4)[own].as_py(), np.int64).reshape(-1, 2)
+            rest = table.filter(pa.array(bucket >= 0)).combine_chunks()
+            out_node, out_key = [nodes[direct[:, 0]]], [direct[:, 1]]
+            if rest.num_rows:
+                low, offs = _flat(rest.column(2).chunk(0), np.uint32)
+                place = _flat(rest.column(3).chunk(0), np.uint32)[0].astype(np.int64)
+                freq, _ = _flat(rest.column(4).chunk(0), np.uint32)
+                key = np.repeat(rest.column(0).to_numpy().astype(np.uint64), np.diff(offs)) << np.uint64(32) | low
+                lists = np.bincount(place, minlength=len(nodes)) - slack  # how many of its shared elements a set lists
+                some = np.flatnonzero((lists > 0)[place])
+                some = some[np.lexsort((key[some], freq[some], place[some]))]
+                p = place[some]
+                some = some[np.arange(len(some)) - np.searchsorted(p, p) < lists[p]]
+                out_node.append(nodes[place[some]]), out_key.append(signed(mix(key[some])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_node, out_key)], ["node", "key"])
+
+    n = partitions(shared.sparkSession)
+    return shared.repartitionById(n, F.pmod(_spread(), F.lit(n)).cast("int")).sortWithinPartitions("slice").mapInArrow(run, "node long, key long")
+
+
+def subset_lists(surveyed: DataFrame, t: Threshold, below: int) -> DataFrame:
+    """(node, key) of the small sets by the subsets that they enumerate."""
+    small = surveyed.where(f"kind = 0 AND n > 0 AND n < {below}").groupBy("key").agg(F.first("items").alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(items, np.uint64)
+                keys = subset_keys(h, t.drops(len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node, np.int64)), pa.array(signed(keys))], ["node", "key"])
+
+    return small.mapInArrow(run, "node long, key long")
 
 
 # ----------------------------------------------------------- verification
 
 
-def sets_of(docs: DataFrame, measured: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def sets_of(docs: DataFrame, surveyed: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """(node, items): the sorted hashes of each named set, from one document that has it."""
-    want = measured.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("rk", "doc_id")).alias("x")).select("node", F.col("x.rk").alias("k"), F.col("x.doc_id").alias("id"))
-    text = docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
-    want = checked_broadcast(work_table(want, "want"))
-    found = text.join(want, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    want = surveyed.where("kind = 0").withColumnRenamed("key", "node").join(checked_broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min(F.struct("rk", "doc_id")).alias("x"))
+    want = checked_broadcast(scratch.table(want.select("node", F.col("x.rk").alias("k"), F.col("x.doc_id").alias("id")), "want"))
+    found = _keyed(docs).join(want, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, offs = shingle_sets(*string_bytes(part.column(1)), words)
-            own = [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            same = pa.array([set_name(x) == n for x, n in zip(own, part.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"]).filter(same)
+            same = pa.array(set_names(h, offs) == part.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column(0), _binaries(h, offs)], ["node", "items"]).filter(same)
 
     return found.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
@@ -275,17 +387,18 @@ def plausible(pairs: DataFrame, info: DataFrame, t: Threshold) -> DataFrame:
                 if len(x) != len(y):
                     size = min(len(x), len(y))
                     x, y = (folded(np.frombuffer(z, np.uint8), size).tobytes() for z in (x, y))
-                keep.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= min(n, m) * (100 - t.percent) // t.percent)
+                keep.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= t.apart(min(n, m)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of every node with an edge; label is the component's smallest node.
 
     Each round a node takes the smallest label among its own and its neighbours' and then that label's label; rounds
-    end when no label changes. Edges are first thinned to a forest within each partition. Every round is a written table.
+    end when no label changes. Edges are first thinned to a forest within each partition. Every round is a written table;
+    labels are sent to all workers where they are counted to be few, so that a hub's edges need not meet in one task.
     """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,18 +417,20 @@ def components(edges: DataFrame) -> DataFrame:
                     up[max(a, b)] = min(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(up, pa.int64()), pa.array([root(x) for x in up], pa.int64())], ["a", "b"])
 
-    thin = work_table(edges.select("a", "b").mapInArrow(forest, "a long, b long").where("a != b").distinct(), "edges")
+    thin = scratch.table(edges.select("a", "b").mapInArrow(forest, "a long, b long").where("a != b").distinct(), "edges")
     both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = work_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("m"))
+        near = both.join(checked_broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("l"))), "b").groupBy("a").agg(F.min("l").alias("m"))
         took = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        took = work_table(took, "labels")
-        jumped = took.join(took.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", "old", F.least("label", "next").alias("label"))
-        jumped = work_table(jumped, "labels")
-        labels = jumped.select("node", "label")
+        took = scratch.table(took, "labels")
+        jumped = took.join(checked_broadcast(took.select(F.col("node").alias("label"), F.col("label").alias("next"))), "label").select("node", "old", F.least("label", "next").alias("label"))
+        jumped = scratch.table(jumped, "labels")
+        scratch.drop(labels, took)
+        labels = jumped
         if jumped.where("old != label").isEmpty():
-            return labels
+            scratch.drop(thin)
+            return jumped.select("node", "label")
 
 
 def apart(members: DataFrame, t: Threshold) -> DataFrame:
@@ -342,7 +457,7 @@ def apart(members: DataFrame, t: Threshold) -> DataFrame:
             if len(node) > 32:
                 lo, hi = np.minimum(sizes, n[a]), np.maximum(sizes, n[a])
                 far = np.bitwise_count(least ^ least[a]).sum(axis=1, dtype=np.int64)
-                others = np.flatnonzero((blocks == j) & (labels != label[a]) & (100 * lo >= t.percent * hi) & (far <= lo * (100 - t.percent) // t.percent)).tolist()
+                others = np.flatnonzero((blocks == j) & (labels != label[a]) & (100 * lo >= t.percent * hi) & (far <= t.apart(lo))).tolist()
             else:
                 others = right
             for b in others:
@@ -357,7 +472,7 @@ def apart(members: DataFrame, t: Threshold) -> DataFrame:
                 if len(x) != len(y):
                     m = min(len(x), len(y))
                     x, y = (folded(np.frombuffer(z, np.uint8), m).tobytes() for z in (x, y))
-                if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= lo * (100 - t.percent) // t.percent:
+                if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= t.apart(lo):
                     out.append(pair)
         return out
 
@@ -401,54 +516,79 @@ def stars(lists: DataFrame) -> DataFrame:
     return lists.join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def join(docs: DataFrame, percent: int = 90, words: int = 3, parts: bool = True) -> DataFrame:
+def classes(docs: DataFrame, percent: int, words: int, scratch: Scratch) -> DataFrame:
+    """doc_id, rk, n and label (shared by all rows that links connect; null for rows without words) of every row."""
+    t = Threshold(percent)
+    surveyed = scratch.table(survey(docs, words, docs.count()), "sets")
+    rank, elements, sizes, list_length = statistics(surveyed)
+    below = boundary(sizes, list_length, t)
+    parts = partitions(docs.sparkSession)
+    buckets = parts * max(1, -(-elements // (BUCKET * parts)))
+    shared = shared_entries(element_entries(docs, t, words, below, rank, buckets), buckets)
+    entries = scratch.table(element_lists(shared).unionByName(subset_lists(surveyed, t, below)), "entries")
+    both = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    lists = scratch.table(entries.join(both, "key", "left_semi").distinct(), "lists")
+    scratch.drop(entries)
+    named = scratch.table(lists.select("node").distinct(), "nodes")
+    info = surveyed.where("kind = 0").select(F.col("key").alias("node"), "n", "sketch")
+    info = scratch.table(info.join(checked_broadcast(named), "node", "left_semi").dropDuplicates(["node"]), "info")
+    near = scratch.table(plausible(stars(lists), info, t), "near")
+    ends = scratch.table(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "ends")
+    links = scratch.table(verified(near, sets_of(docs, surveyed, ends, words, scratch), t), "links")
+    scratch.drop(ends)
+    labels = components(links, scratch)
+    marked = lists.join(checked_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    rest = apart(marked.join(open_, "key", "left_semi").join(info, "node"), t)
+    rest = scratch.table(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    scratch.drop(near)
+    if not rest.isEmpty():
+        ends = scratch.table(rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct(), "ends")
+        more = scratch.table(verified(rest, sets_of(docs, surveyed, ends, words, scratch), t), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), scratch)
+    scratch.drop(lists, named, info, links, rest)
+    sets = surveyed.where("kind = 0").select("doc_id", "rk", F.col("key").alias("node"), "n")
+    return sets.join(checked_broadcast(labels), "node", "left").select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def join(docs: DataFrame, percent: int = 90, words: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, rk, n_shingles and component_id (the smallest doc_id that links reach) of every row.
 
     Defined cases: a null or wordless text has n_shingles 0 and links to nothing; equal sets link; repeated rows each
     give a row; a null doc_id takes part, but never names a component that has another id; no rows give none; other
-    columns are not read. parts: lists by parts, else by elements. Shingles are compared by 64-bit hashes.
+    columns are not read. Shingles are compared by 64-bit hashes.
     """
-    t = Threshold(percent)
-    rows = docs.count()
-    measured = work_table(measure(docs, t, words, boundary(rows, t), frequency_ranks(docs, words), parts), "sets")
-    entries = measured.select("node", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
-    lists = work_table(entries.join(shared, "key", "left_semi").distinct(), "lists")
-    info = work_table(measured.select("node", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "info")
-    star = stars(lists)
-    near = work_table(plausible(star, info, t), "near")
-    sets = work_table(sets_of(docs, measured, lists.select("node").distinct(), words), "items")
-    links = work_table(verified(near, sets, t), "links")
-    labels = components(links)
-    named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    rest = apart(named.join(open_, "key", "left_semi").join(info, "node"), t)
-    more = work_table(verified(rest.join(near, ["a", "b"], "left_anti"), sets, t), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    flat = measured.where("n > 0").select("doc_id", "rk", "node", "n").join(labels, "node", "left").select("doc_id", "rk", "n", F.coalesce("label", "node").alias("label"))
-    least = flat.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = flat.join(least, "label").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(measured.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = classes(docs, percent, words, scratch)
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least")
+    least = checked_broadcast(scratch.table(least, "least"))
+    alone = F.coalesce("least", "doc_id")
+    return rows.join(least, "label", "left").select("doc_id", "rk", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return join(docs, 90, 3).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, parts: bool = False) -> DataFrame:
-    """One document of each component, that of the smallest doc_id; rows of equal id and text are one, too.
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """One row of each component, in the columns given: that of the smallest doc_id; null ids come last, then the text decides.
 
-    The rows to drop are few against the texts: they are sent to the texts, if counted to be small, and not the other way.
+    Rows of equal id and text are one; rows without words stay, but for such repeats. The rows to drop are few against the
+    texts: they are sent to the texts, if counted to be small, and not the other way.
     """
-    rows = work_table(join(docs, percent, words, parts), "classes")
-    own = (F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull())
-    key = [F.col("doc_id").alias("_id"), F.col("rk").alias("_k")]
-    drop = checked_broadcast(work_table(rows.where(~F.coalesce(own, F.lit(False))).select(*key), "drop"))
-    twice = checked_broadcast(work_table(rows.groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*key), "twice"))
-    keyed = docs.withColumn("_rk", row_key())
-    same = (F.col("_rk") == F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.table(classes(docs, percent, words, scratch), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = checked_broadcast(scratch.table(first.select("label", F.col("x.doc_id").alias("first"), F.col("x.rk").alias("frk")), "first"))
+    key = [F.col("doc_id").alias("id"), F.col("rk").alias("k")]
+    drop = checked_broadcast(scratch.table(rows.join(first, "label").where((F.col("rk") != F.col("frk")) | ~F.col("doc_id").eqNullSafe(F.col("first"))).select(*key).distinct(), "drop"))
+    twice = scratch.table(rows.groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*key), "twice")
+    keyed = renamed(docs).withColumn("own", renamed_column(docs, "doc_id").cast("long")).withColumn("own_rk", F.xxhash64(renamed_column(docs, "doc_id"), renamed_column(docs, "text")))
+    same = (F.col("own_rk") == F.col("k")) & F.col("own").eqNullSafe(F.col("id"))
     kept = keyed.join(drop, same, "left_anti")
-    if twice.isEmpty():
-        return kept.drop("_rk")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_rk"])).drop("_rk")
+    if not twice.isEmpty():
+        twice = checked_broadcast(twice)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["own", "own_rk"]))
+    return kept.drop("own", "own_rk").toDF(*docs.columns)

@@ -3,7 +3,8 @@
 A line that many different documents of one host share is boilerplate. Lines are normalised and hashed where the
 documents lie; for each (host, line) the distinct documents are counted; lines above the limits are removed, and a
 document that loses most of its words is rejected, as is one that fails the base rules. Exact copies of a document count
-once, so that a copied document is not taken for boilerplate.
+once, so that a copied document is not taken for boilerplate. The limit is a number of documents, alike for hosts of
+every size: a line that 11 documents of a host share goes whether the host has 30 documents or 30 million.
 """
 
 from __future__ import annotations
@@ -16,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import BASE2, Prefix, row_key, signed, slices, string_bytes, word_hashes, word_spans, work_table
+from captionlake.llm.common import BASE2, Prefix, Scratch, renamed, renamed_column, row_key, signed, slices, string_bytes, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes if over max(min_documents, host_share * documents of the host) hold it; see verdict() for the rest."""
+    """A line goes if more than max_documents different documents of its host hold it; see verdict() for the rest."""
 
-    min_documents: int = 50
-    host_share: float = 0.1
+    max_documents: int = 10
     min_kept_share: float = 0.3
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -97,9 +97,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(measured: DataFrame, limits: Limits) -> DataFrame:
     """(host, h) of the lines above the limits. Counts are pre-aggregated; no host or line meets in one task unsummed."""
     exploded = measured.select("host", "_tk", F.explode("lines").alias("line")).select("host", F.col("line.h").alias("h"), "_tk")
-    counts = exploded.groupBy("host", "h").agg(F.countDistinct("_tk").alias("n")).where(F.col("n") > limits.min_documents)
-    hosts = measured.groupBy("host").agg(F.countDistinct("_tk").alias("all"))
-    return counts.join(hosts, "host").where(F.col("n") > F.col("all") * limits.host_share).select("host", "h")
+    return exploded.groupBy("host", "h").agg(F.countDistinct("_tk").alias("n")).where(F.col("n") > limits.max_documents).select("host", "h")
 
 
 def verdict(limits: Limits, words: Column, repeats: Column, removed: Column) -> tuple[Column, Column]:
@@ -108,13 +106,13 @@ def verdict(limits: Limits, words: Column, repeats: Column, removed: Column) ->
     return failed, ~failed & (words - removed >= words * limits.min_kept_share)
 
 
-def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _rk, base counts, n_removed_words, base_failed, kept; removed line hashes by doc_id and _rk).
 
     Defined cases: a null text has no words and fails; a null host is the empty host; null ids stay null; repeated rows
     each get a row and count as one document; no rows give none; other columns are not read.
     """
-    measured = work_table(measure(docs, host), "lines")
+    measured = (scratch or Scratch(docs.sparkSession)).table(measure(docs, host), "lines")
     return judged(measured, frequent_lines(measured, limits), limits)
 
 
@@ -138,13 +136,19 @@ def digest(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 MOST_SENT = 200_000
 
 
-def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
-    """The kept documents, in the columns given, without the lines above the limits; n_chars, if there, follows the text."""
-    measured = work_table(measure(docs, host), "lines")
-    heavy = work_table(frequent_lines(measured, limits), "heavy")
+def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """The kept documents, in the columns given, without the lines above the limits; n_chars, if there, follows the text.
+
+    Defined cases: those of judge(); repeated rows are judged alike, and stay or go together; columns may have any names.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    measured = scratch.table(measure(docs, host), "lines")
+    heavy = scratch.table(frequent_lines(measured, limits), "heavy")
     sent = heavy.limit(MOST_SENT + 1).collect()
-    touched = _strip_sent(docs, {(r["host"], r["h"]) for r in sent}, limits, host) if len(sent) <= MOST_SENT else _strip_joined(docs, measured, heavy, limits)
-    return touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else touched
+    if len(sent) <= MOST_SENT:
+        scratch.drop(measured, heavy)
+        return _strip_sent(docs, {(r["host"], r["h"]) for r in sent}, limits, host)
+    return _strip_joined(docs, measured, heavy, limits)
 
 
 def _without(text: str, gone) -> tuple[str, int]:
@@ -154,16 +158,26 @@ def _without(text: str, gone) -> tuple[str, int]:
     return "\n".join(y for off, y in out if not off), sum(len(y.encode("utf-8", "replace").split()) for off, y in out if off)
 
 
+def _rewritten(part: pa.RecordBatch, docs_columns: list[str], schema, texts: list) -> pa.RecordBatch:
+    """The batch's first columns with other texts; n_chars follows."""
+    cols = [part.column(k) for k in range(len(schema))]
+    for k, name in enumerate(docs_columns):
+        if name == "text":
+            cols[k] = pa.array(texts, cols[k].type)
+        elif name == "n_chars":
+            cols[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[k].type)
+    return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+
 def _strip_sent(docs: DataFrame, heavy: set, limits: Limits, host: str) -> DataFrame:
     """One pass over the texts, without a shuffle."""
-    at, where, schema = docs.columns.index("text"), docs.columns.index(host), docs.schema
+    at, where, schema, names = docs.columns.index("text"), docs.columns.index(host), docs.schema, docs.columns
     by_host: dict[str, set[int]] = {}
     for h, line in heavy:
         by_host.setdefault(h, set()).add(line)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = (b.rename_columns([f"c{k}" if k != at else "text" for k in range(len(schema))]) for b in batches)
-        for part in slices(named):
+        for part in slices(batches, at):
             counts = base_counts(*string_bytes(part.column(at)))
             texts, keep = part.column(at).to_pylist(), []
             for k, (text, source) in enumerate(zip(texts, part.column(where).cast(pa.string()).to_pylist(), strict=True)):
@@ -173,31 +187,26 @@ def _strip_sent(docs: DataFrame, heavy: set, limits: Limits, host: str) -> DataF
                     texts[k] = cut if removed else text
                 failed = n < limits.min_words or 100 * int(counts["n_repeat_words"][k]) > limits.max_repeat_percent * n
                 keep.append(not failed and n - removed >= n * limits.min_kept_share)
-            cols = [part.column(k) for k in range(len(schema))]
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep, pa.bool_()))
+            yield _rewritten(part, names, schema, texts).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 
 
 def _strip_joined(docs: DataFrame, measured: DataFrame, heavy: DataFrame, limits: Limits) -> DataFrame:
     rows, removed = judged(measured, heavy, limits)
-    kept = rows.where("kept").select(F.col("doc_id").alias("_id"), F.col("_rk").alias("_k")).distinct()
-    gone = removed.groupBy("doc_id", "_rk").agg(F.collect_set("h").alias("_gone"))
-    kept = kept.join(gone, (F.col("_k") == F.col("_rk")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left").select("_id", "_k", "_gone")
-    keyed = docs.withColumn("_key", row_key())
-    joined = keyed.join(kept, (F.col("_key") == F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")))
-    at, schema = docs.columns.index("text"), docs.schema
+    kept = rows.where("kept").select(F.col("doc_id").alias("id"), F.col("_rk").alias("k")).distinct()
+    gone = removed.groupBy("doc_id", "_rk").agg(F.collect_set("h").alias("gone"))
+    kept = kept.join(gone, (F.col("k") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("doc_id")), "left").select("id", "k", "gone")
+    own = renamed_column(docs, "doc_id")
+    joined = renamed(docs).join(kept, (F.xxhash64(own, renamed_column(docs, "text")) == F.col("k")) & own.cast("long").eqNullSafe(F.col("id")))
+    at, schema, names = docs.columns.index("text"), docs.schema, docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = (b.rename_columns([f"c{k}" if k != at else "text" for k in range(len(schema) + 1)]) for b in batches)
-        for part in slices(named):
+        for part in slices(batches, at):
             texts, gones = part.column(at).to_pylist(), part.column(len(schema)).to_pylist()
             for k, g in enumerate(gones):
                 if g:
                     texts[k] = _without(texts[k], set(g))[0]
-            cols = [part.column(k) for k in range(len(schema))]
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            yield _rewritten(part, names, schema, texts)
 
-    return joined.select(*docs.columns, "_gone").mapInArrow(strip, schema)
+    return joined.select(*renamed(docs).columns, "gone").mapInArrow(strip, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import Memo, partitions, slices, work_table
+from captionlake.llm.common import Memo, Scratch, partitions, slices
 
 CAPACITY = 2048
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -263,10 +263,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(find, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Defined cases: a null text is empty and gives a piece of its end id alone; a null doc_id stays null; repeated rows
     are packed each; no rows give none; other columns are not read.
     """
-    return place(work_table(token_pieces(docs, path, capacity), "pieces"), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = (scratch or Scratch(docs.sparkSession)).table(token_pieces(docs, path, capacity), "pieces")
+    return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

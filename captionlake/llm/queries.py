@@ -89,8 +89,7 @@ _OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '
  g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
  r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g), range(3) x(k) WHERE c > 1 GROUP BY doc_id),
  lines AS (SELECT doc_id, host, t, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS x, len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')) AS n FROM (SELECT doc_id, host, t, unnest(l) AS x FROM d)),
- hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
- heavy AS (SELECT host, x FROM (SELECT host, x, count(DISTINCT t) AS n FROM lines WHERE x <> '' GROUP BY host, x) JOIN hosts USING (host) WHERE n > 50 AND n > 0.1 * docs),
+ heavy AS (SELECT host, x FROM lines WHERE x <> '' GROUP BY host, x HAVING count(DISTINCT t) > 10),
  lost AS (SELECT doc_id, sum(n) AS n FROM lines SEMI JOIN heavy USING (host, x) GROUP BY doc_id),
  o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id)

@@ -28,7 +28,7 @@ def judged(rows, limits):
         for x in {lf.normal_line(x) for x in (t or "").split("\n")} - {""}:
             texts.setdefault((source or "", x), set()).add(t)
     hosts = Counter(h for h, _ in {(s or "", t) for _, t, s in rows})
-    heavy = {k for k, v in texts.items() if len(v) > limits.min_documents and len(v) > limits.host_share * hosts[k[0]]}
+    heavy = {k for k, v in texts.items() if len(v) > limits.max_documents}
     out = {}
     for doc_id, t, source in rows:
         b = base(t)
@@ -58,7 +58,7 @@ def corpus():
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_rules_equal_plain_counting(spark, monkeypatch, sent):
     monkeypatch.setattr(lf, "MOST_SENT", sent)
-    rows, limits = corpus(), lf.Limits(min_documents=10, host_share=0.2, min_words=20)
+    rows, limits = corpus(), lf.Limits(max_documents=10, min_words=20)
     docs = spark.createDataFrame([(*r, 9, 1) for r in rows], "doc_id long, text string, source string, h long, w long").repartition(3)
     want = judged(rows, limits)
     assert any(g for _, _, g in want.values()) and {k for _, k, _ in want.values()} == {True, False}
@@ -77,7 +77,7 @@ def test_rules_equal_plain_counting(spark, monkeypatch, sent):
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = "\n".join(f"line {k} of many words here" for k in range(20))
     docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, text, None)], "doc_id long, text string, source string")
-    rows = lf.digest(docs, lf.Limits(min_documents=0)).collect()
+    rows = lf.digest(docs, lf.Limits(max_documents=0)).collect()
     assert len(rows) == 3 and lf.digest(docs.limit(0)).count() == 0
     assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 120), (1, 120), (1, 120)]
 
