@@ -40,7 +40,7 @@ MOST_SMALL, MOST_SUBSETS = 64, 10_000
 #: Counters of element frequencies; elements of one counter share its count, and are common from so many times the mean.
 COUNTERS, COMMON = 1 << 18, 4
 #: Elements of one bucket on average, and of the sample whose lists are measured for the boundary.
-BUCKET, SAMPLE = 4_000_000, 50_000
+BUCKET, SAMPLE = 1_500_000, 50_000
 #: Members of one list that meet in a task at most; larger lists are cut into blocks, and blocks meet in pairs.
 BLOCK = 512
 
@@ -225,7 +225,7 @@ def element_entries(docs: DataFrame, t: Threshold, words: int, below: int, rank:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for at, part in enumerate(slices(batches, most=4 << 20)):
+        for at, part in enumerate(slices(batches)):
             h, offs = shingle_sets(*string_bytes(part.column(2)), words)
             n = np.diff(offs)
             doc = np.repeat(np.arange(len(n)), n)
@@ -269,8 +269,9 @@ def shared_entries(entries: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(low)
         s = low[order]
         new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        count = np.diff(np.append(new, len(s))).astype(np.uint32)
         freq = np.empty(len(low), np.uint32)
-        freq[order] = np.repeat(np.diff(np.append(new, len(s))), np.diff(np.append(new, len(s)))).astype(np.uint32)
+        freq[order] = np.repeat(count, count)
         at = np.flatnonzero(freq > 1)
         row = np.searchsorted(offs, at, "right") - 1
         which, ends = _grouped(at, row)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import Memo, slices
+from captionlake.llm.common import Memo, Scratch, slices
 
 #: What a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "§": "s", "¢": "c", "#": "h", "%": "o", "&": "a"}
@@ -209,45 +209,49 @@ def scorer_of(model: Model) -> Scorer:
     return _scorer[0]
 
 
-def fit(rows: list[tuple[int, np.ndarray]], lm: np.ndarray, settings: Settings) -> Model:
-    """Logistic regression on the features most tied to the label (by G-test); rows are (label, distinct features)."""
+def chosen_features(found: DataFrame, n_pos: int, n: int, settings: Settings) -> list[int]:
+    """The features most tied to the label, by G-test; ties by number. found: doc rows of toxic and found (distinct features)."""
+    counts = found.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= settings.min_documents)
+    pos, neg, all_ = (x.cast("double") for x in (F.col("pos"), F.col("all") - F.col("pos"), F.col("all")))
+    g = F.lit(0.0)
+    for seen, rows in ((pos, n_pos), (neg, n - n_pos)):
+        for o, e in ((seen, all_ * rows / n), (F.lit(rows) - seen, (F.lit(n) - all_) * rows / n)):
+            g = g + F.when(o > 0, 2 * o * F.log(o / F.greatest(e, F.lit(1e-9)))).otherwise(0.0)
+    best = counts.withColumn("g", F.round(g, 9)).where(F.col("g") >= settings.min_association).orderBy(F.desc("g"), "f").limit(settings.max_features)
+    return [r["f"] for r in best.select("f").collect()]
+
+
+def fit(rows: list[tuple[int, np.ndarray]], features: list[int], lm: np.ndarray) -> Model:
+    """Logistic regression; rows are (label, places of its features in `features`)."""
     labels = np.array([y for y, _ in rows], dtype=float)
     n_pos, n = labels.sum(), len(rows)
     if not n or n_pos in (0, n):
         return Model(lm, {}, float(np.log((n_pos + 0.5) / (n - n_pos + 0.5))))
-    flat = np.concatenate([f for _, f in rows])
-    owner = np.repeat(np.arange(n), [len(f) for _, f in rows])
-    names, at = np.unique(flat, return_inverse=True)
-    pos = np.bincount(at, labels[owner], len(names))
-    both = np.bincount(at, minlength=len(names)).astype(float)
-    g = np.zeros(len(names))
-    for seen, all_ in ((pos, n_pos), (both - pos, n - n_pos)):
-        for o, e in ((seen, both * all_ / n), (all_ - seen, (n - both) * all_ / n)):
-            g += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-    order = np.lexsort((names, -g))
-    chosen = [k for k in order[: settings.max_features] if g[k] >= settings.min_association and both[k] >= settings.min_documents]
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[at] >= 0
-    r, c = owner[keep], column[at][keep]
-    w, b = np.zeros(len(chosen)), 0.0
+    c = np.concatenate([f for _, f in rows]).astype(np.int64)
+    r = np.repeat(np.arange(n), [len(f) for _, f in rows])
+    w, b = np.zeros(len(features)), 0.0
     share = np.where(labels == 1, 0.5 / n_pos, 0.5 / (n - n_pos))
-    sum_w, sum_b = np.full(len(chosen), 1e-8), 1e-8
+    sum_w, sum_b = np.full(len(features), 1e-8), 1e-8
     for _ in range(400):
         z = b + np.bincount(r, w[c], n)
         e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) * share
-        gw, gb = np.bincount(c, e[r], len(chosen)) + 1e-5 * w, e.sum()
+        gw, gb = np.bincount(c, e[r], len(features)) + 1e-5 * w, e.sum()
         sum_w, sum_b = sum_w + gw**2, sum_b + gb**2
         w, b = w - 0.5 * gw / np.sqrt(sum_w), b - 0.5 * gb / np.sqrt(sum_b)
-    return Model(lm, {int(names[k]): float(x) for k, x in zip(chosen, w, strict=True)}, float(b))
+    return Model(lm, dict(zip(features, w.tolist(), strict=True)), float(b))
 
 
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """The language model of all documents, and the classifier of a bounded sample of the labelled rows not held out."""
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> Model:
+    """The language model of all documents, and the classifier of a bounded sample of the labelled rows not held out.
+
+    A label without its document, without an id or other than 0 and 1 is left out; of an id labelled twice the higher label
+    counts; different texts of one id are all used, repeated rows once, and never more texts than ids could be picked. What comes to the driver:
+    64**3 counts, max_features features, and for each sampled text the places of those among them.
+    """
     lm = language_model(trigram_counts(docs))
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     picks = None
@@ -259,19 +263,33 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(lm)
         for part in slices(batches):
-            out = []
-            for text in part.column(1).to_pylist():
-                found = {f for t in set(_TOKEN.findall(text or "")) for w in restorer.word(t) for f in word_features(w)}
-                out.append(np.array(sorted(found), dtype=np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], ["doc_id", "toxic", "found"])
-
-    # repeated ids: the rows of one id are all used, but never more texts than ids were picked
-    rows = sample.select("doc_id", F.col("text").cast("string"), "toxic").mapInArrow(run, "doc_id long, toxic int, found binary").orderBy("doc_id", "found").limit(2 * settings.sample_per_label)
-    return fit([(r["toxic"], np.frombuffer(r["found"], dtype=np.int64)) for r in rows.toLocalIterator()], lm, settings)
+            out = [sorted({f for t in set(_TOKEN.findall(text or "")) for w in restorer.word(t) for f in word_features(w)}) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "key", "found"])
+
+    found = sample.select("doc_id", F.col("text").cast("string"), "toxic", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "doc_id long, toxic int, key long, found array<long>")
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = scratch.table(found, "features")
+    # the order is by numbers alone: the texts' features don't pass through it
+    kept = scratch.table(found.select("doc_id", "key").distinct().orderBy("doc_id", "key").limit(2 * settings.sample_per_label), "sampled")
+    tables = (found, kept)
+    found = found.join(F.broadcast(kept), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    totals = found.agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    n_pos, n = totals["pos"] or 0, totals["n"]
+    features = chosen_features(found, n_pos, n, settings) if 0 < n_pos < n else []
+    at = {f: k for k, f in enumerate(features)}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.array([at[f] for f in found if f in at], dtype="<u2").tobytes() for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "places"])
+
+    rows = [(r["toxic"], np.frombuffer(r["places"], "<u2")) for r in found.select("toxic", "found").mapInArrow(places, "toxic int, places binary").collect()]
+    scratch.drop(*tables)
+    return fit(sorted(rows, key=lambda x: (x[0], x[1].tobytes())), features, lm)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, _text-free scores of every row: (doc_id, held_out, score, predicted).
+    """doc_id, held_out, score and predicted of every row.
 
     Defined cases: a null or empty text has the score of no features; null ids stay null and count as held out;
     repeated rows each give a row; no rows give none; other columns are not read.
@@ -287,17 +305,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is under the threshold, in the columns given."""
+    """The rows whose score is under the threshold, in the columns given, whatever their names; see score()."""
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for part in slices(batches):
+        for part in slices(batches, at):
             yield part.filter(pa.array([scorer.score(x or "") < threshold for x in part.column(at).to_pylist()], pa.bool_()))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = (b.rename_columns(["text" if k == at else f"c{k}" for k in range(len(schema))]) for b in batches)
-        for b in run(inner):
-            yield b.rename_columns(schema.names)
-
-    return docs.mapInArrow(named, schema)
+    return docs.mapInArrow(run, schema)

@@ -82,6 +82,26 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 120), (1, 120), (1, 120)]
 
 
+def test_depleted_documents_are_rejected_as_in_sql(spark):
+    """The query's SQL on a table where lines go and documents are depleted."""
+    import duckdb
+
+    from captionlake.llm.queries import ORACLE_SQL
+
+    rng = random.Random(2)
+    line = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(15))
+    nav = [line() for _ in range(5)]
+    rows = [(i, "\n".join([*nav, line()] if i % 3 == 0 else [nav[i % 5], *(line() for _ in range(6))]), f"h{i % 2}") for i in range(60)]
+    rows += [(100, "\n".join(nav), "h9"), (101, None, None), (102, rows[1][1], "h1")]
+    got = sorted(tuple(r) for r in lf.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "n_words", "n_removed_words", "base_failed", "kept").collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = sorted(db.sql(f"SELECT doc_id, n_words, n_removed_words, base_failed, kept FROM ({ORACLE_SQL['op6_line_frequency']})").fetchall())
+    assert got == want
+    assert sum(not failed and not kept for *_, failed, kept in got) == 20 and sum(removed > 0 and kept for _, _, removed, _, kept in got) > 20
+
+
 TOXIC = ["idiot", "moron", "stupid", "pathetic", "worthless"]
 
 
@@ -180,6 +200,48 @@ def test_every_lattice_of_several_paths_is_searched_and_commits_change_nothing(s
     assert [r.decode(w) for w in long] == whole
 
 
+def test_scores_are_those_of_a_plain_fit(spark, talk):
+    """Features, G-test, gradient steps and scores, restated with dictionaries and loops."""
+    docs, labels, truth = talk
+    docs = docs.where("doc_id < 240 AND doc_id <> 5")
+    model = tox.train(docs, labels, tox.Settings(max_features=60))
+    r, truth = tox.Restorer(model.lm), dict(truth)
+    found = {d.doc_id: {f for w in r.restore(d.text).split() for f in tox.word_features(w)} for d in docs.collect()}
+    fitted = sorted(i for i in found if zlib.crc32(str(i).encode()) % 5)
+    n, pos = len(fitted), sum(truth[i] for i in fitted)
+    g = {}
+    for f in set().union(*found.values()):
+        a, c = sum(f in found[i] and truth[i] for i in fitted), sum(f in found[i] for i in fitted)
+        if c >= 4:
+            cells = [(a, c * pos / n), (pos - a, (n - c) * pos / n), (c - a, c * (n - pos) / n), (n - pos - c + a, (n - c) * (n - pos) / n)]
+            g[f] = round(sum(2 * o * np.log(o / max(e, 1e-9)) for o, e in cells if o), 9)
+    chosen = [f for f in sorted(g, key=lambda f: (-g[f], f)) if g[f] >= 12][:60]
+    assert set(chosen) == set(model.features) and chosen
+    w, b, sw, sb = dict.fromkeys(chosen, 0.0), 0.0, dict.fromkeys(chosen, 1e-8), 1e-8
+    for _ in range(400):
+        gw, gb = {f: 1e-5 * w[f] for f in chosen}, 0.0
+        for i in fitted:
+            z = b + sum(w[f] for f in found[i] if f in w)
+            e = (1 / (1 + np.exp(-z)) - truth[i]) * (0.5 / pos if truth[i] else 0.5 / (n - pos))
+            gb += e
+            for f in found[i] & w.keys():
+                gw[f] += e
+        sb += gb**2
+        b -= 0.5 * gb / sb**0.5
+        for f in chosen:
+            sw[f] += gw[f] ** 2
+            w[f] -= 0.5 * gw[f] / sw[f] ** 0.5
+    for row in tox.score(docs, model).collect():
+        assert abs(row.score - 1 / (1 + np.exp(-b - sum(w.get(f, 0) for f in found[row.doc_id])))) < 1e-6
+
+
+def test_odd_texts_have_a_score(spark, talk):
+    model = tox.train(*talk[:2])
+    odd = [(1, "... --- !!! ***"), (2, "@" * 300), (3, "s" + "t" * 5000 + "upid"), (4, " ".join("stupid" * 400)), (5, "\U0001f600 \u202e \x00")]
+    rows = {x.doc_id: x.score for x in tox.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert len(rows) == 5 and all(0 <= x <= 1 for x in rows.values()) and rows[1] == model.score(set()) and rows[4] > rows[1]
+
+
 def test_no_labels_no_rows(spark, talk):
     docs, labels, _ = talk
     model = tox.train(docs.limit(0), labels.limit(0))

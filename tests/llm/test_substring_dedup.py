@@ -37,8 +37,10 @@ def corpus(seed):
     return texts + rng.sample(texts, 10)
 
 
-@pytest.mark.parametrize("window,seed", [(35, 1), (12, 2)])
-def test_removed_words_are_those_of_all_windows(spark, window, seed):
+@pytest.mark.parametrize("window,seed,crowd", [(35, 1, 4096), (12, 2, 4096), (35, 3, 3), (12, 4, 0)])
+def test_removed_words_are_those_of_all_windows(spark, monkeypatch, window, seed, crowd):
+    """Also where anchors count as crowded from a few different blocks on, and their windows are counted instead."""
+    monkeypatch.setattr(sd, "CROWD", crowd)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)], "doc_id long, text string, lo int, s string").repartition(3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sd.digest(docs, window).collect()}
@@ -59,6 +61,40 @@ def test_repeated_rows_and_no_rows(spark):
     assert sd.digest(docs.limit(0)).count() == 0
 
 
+def test_factors_are_greedy_longest_matches():
+    """parse() against a plain greedy parse of blocks of one anchor."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    blocks = []  # (words before the anchor, words); the anchor is base[30:33], and windows of 8 words hold it
+    for _ in range(40):
+        a, b = rng.randrange(25, 31), rng.randrange(33, 39)
+        w = base[a:b]
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w))
+            if not 30 <= a + k < 33:
+                w[k] = f"x{rng.randrange(4)}"
+        if len(w) >= 8 and (30 - a, w) not in blocks:
+            blocks.append((30 - a, w))
+    window, want = 8, []
+    for x, (lead, w) in enumerate(blocks):
+        i = 0
+        while i + window <= len(w):
+            best = 0
+            for y, (other, v) in enumerate(blocks):
+                j = i - lead + other
+                n = 0
+                while x != y and 0 <= j and i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                best = max(best, n)
+            if best >= window:
+                want.append((x, i, i + best))
+            i += best - window + 1 if best >= window else 1
+    got = sd.parse(np.zeros(len(blocks), np.int64), np.array([x for x, _ in blocks]), pa.array([" ".join(w).encode() for _, w in blocks], pa.binary()), window)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want) and max(e - b for _, b, e in want) > window
+
+
 def test_smallest_is_the_first_of_each_stretch():
     h = np.array([5, 3, 3, 9, 1, 1, 7, 2], dtype=np.uint64)
     for width in range(1, 9):
