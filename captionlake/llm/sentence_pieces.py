@@ -3,9 +3,13 @@
 The model at hand is a BPE model, whose encoding is not the best-scored split. But it is the one path through the
 lattice of pieces on which every two neighbours are compatible, that is, merging their joint text gives back just the
 two. So the search runs over the same lattice with that condition in place of a sum of scores: each boundary keeps one
-backpointer, namely the last piece of the encoding of the text up to there. A window of the last boundaries, as long as
-the longest piece, is kept; whenever all backpointer paths from it meet in one boundary, the ids before it are
-committed and forgotten. Characters outside the vocabulary are bytes and end every path.
+backpointer, namely the last piece of the encoding of the text up to there.
+
+A window holds the boundaries that a later piece can still reach: those from which the text read so far begins some piece,
+none further back than the longest piece, and those on the paths to them. Each boundary counts what hangs on it; one on
+which nothing hangs any more goes, and as soon as a single path leaves the oldest boundary, its piece is certain and its id
+is committed. Characters outside the vocabulary are bytes and end every path. A text is read once, from left to right;
+where the window is empty before a mark, what it committed for the same word before is taken from a table.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from captionlake.llm.common import Memo, slices
 
 MARK = "▁"
+#: Pairs of pieces whose compatibility a worker remembers; about 100 bytes each.
+MOST_PAIRS = 1_000_000
 
 
 class Model:
@@ -41,12 +46,20 @@ class Model:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[sp.id_to_piece(i)] = i
         self.ranks = {p: -sp.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
-        self.chars = {p for p in self.ids if len(p) == 1}
         self.pieces = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses a word boundary")
-        self.known: dict[tuple[str, str], bool] = {}
+        #: character -> [the same of longer pieces, the piece that ends here, whether it is compatible with a piece before it]
+        self.trie: dict[str, list] = {}
+        for p in self.ids:
+            nodes = self.trie
+            for c in p:
+                node = nodes.setdefault(c, [{}, None, {}])
+                nodes = node[0]
+            node[1] = p
+        if any(node[1] is None for node in self.trie.values()):
+            raise ValueError("a piece begins with a character that is none itself")
+        self.pairs = 0
         self.segments = Segments(self)
 
     def merge(self, text: str) -> list[str]:
@@ -60,77 +73,33 @@ class Model:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if (out := self.known.get(key)) is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            out = self.known[key] = self.merge(a + b) == [a, b] if a else self.merge(b) == [b]
+        """Whether the encoding of the joint text is these two; b alone at the start."""
+        if not a:
+            return self.merge(b) == [b]
+        return a + b not in self.ids and self.merge(a + b) == [a, b]  # a pair that is a piece merges
+
+    def fit(self, fits: dict[str, bool], a: str, b: str) -> bool:
+        """compatible(), kept in fits, which is b's; at most MOST_PAIRS are kept."""
+        self.pairs += 1
+        if self.pairs > MOST_PAIRS:
+            self.pairs, todo = 0, [self.trie]
+            while todo:
+                for node in todo.pop().values():
+                    node[2].clear()
+                    todo.append(node[0])
+        out = fits[a] = self.compatible(a, b)
         return out
 
-    def stream(self, text: str) -> Iterator[int]:
-        """Ids of a marked text, each as soon as it is certain; memory is bounded by the longest piece."""
-        done = at = 0  # boundaries: committed up to, read up to
-        tail = ""  # the piece that ends at `done`; empty at the start and after bytes
-        back: dict[int, str] = {}  # boundary -> last piece of the encoding up to it, from `done` on
-        recent: deque[str] = deque(maxlen=self.longest)
-
-        def path(end: int) -> list[str]:
-            out = []
-            while end > done:
-                out.append(back[end])
-                end -= len(back[end])
-            return out[::-1]
-
-        for c in text:
-            at += 1
-            if c not in self.ids:
-                yield from (self.ids[p] for p in path(at - 1))
-                yield from (self.bytes[b] for b in c.encode())
-                done, tail = at, ""
-                back.clear()
-                recent.clear()
-                continue
-            recent.append(c)
-            piece = ""
-            for n, c in enumerate(reversed(recent), 1):
-                piece, start = c + piece, at - n
-                if start < done:
-                    break
-                if piece in self.ids and self.compatible(tail if start == done else back[start], piece):
-                    back[at] = piece
-                    break
-            if len(back) >= 3 * self.longest:
-                # each later piece starts at one of the last `longest` boundaries; what all their paths share is certain
-                paths = [path(k) for k in range(at - self.longest + 1, at + 1)]
-                for same in zip(*paths, strict=False):
-                    if len(set(same)) > 1:
-                        break
-                    tail = same[0]
-                    done += len(tail)
-                    yield self.ids[tail]
-                for k in [k for k in back if k <= done]:
-                    del back[k]
-        yield from (self.ids[p] for p in path(at))
-
-    def search(self, word: str) -> list[int]:
-        """stream() for a word that fits the window, and so needs no early commit: the same backpointers, read at the end."""
-        ids, known, back = self.ids, self.known, [""]
-        if not self.chars.issuperset(word):
-            return list(self.stream(word))
-        for i in range(1, len(word) + 1):
-            for j in range(i - 1, -1, -1):
-                piece = word[j:i]
-                if piece in ids and ((fits := known.get((back[j], piece))) or fits is None and self.compatible(back[j], piece)):
-                    back.append(piece)
-                    break
-        out, end = [], len(word)
-        while end:
-            out.append(ids[back[end]])
-            end -= len(back[end])
-        return out[::-1]
+    def stream(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """(characters read, ids that this makes certain) of a marked text, and at its end the rest."""
+        w = Window(self)
+        for at, c in enumerate(text, 1):
+            if ids := w.read(c):
+                yield at, ids
+        yield len(text), w.rest()
 
     def encode(self, text: str) -> bytes:
-        """All ids, as little-endian unsigned 32-bit numbers. Words are searched apart: no piece crosses into a mark."""
+        """All ids, as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         return b"".join(map(self.segments.__getitem__, _SEGMENTS.findall(MARK + text.replace(" ", MARK))))
@@ -141,15 +110,97 @@ class Model:
         return out.replace(MARK, " ")[1:] if out.startswith(MARK) else out.replace(MARK, " ")
 
 
+class Window:
+    """The boundaries that the search still needs; see the module."""
+
+    def __init__(self, m: Model) -> None:
+        self.m, self.at = m, 0
+        self._empty("")
+
+    def _empty(self, tail: str) -> None:
+        """Everything up to `at` is certain; tail is the piece that ends there, or nothing after bytes."""
+        self.done, self.tail = self.at, tail
+        self.back: dict[int, str] = {}  # boundary -> last piece of the encoding up to it
+        self.hang = {self.at: 1}  # boundary -> pieces that start there, and 1 while a later one may
+        self.live = [(self.at, self.m.trie)]  # boundaries where a later piece may start, oldest first; the pieces begun there
+
+    def read(self, text: str) -> list[int]:
+        """Read on; the ids that are certain now and were not before."""
+        m, trie, out = self.m, self.m.trie, []
+        back, hang, live, at = self.back, self.hang, self.live, self.at
+        for c in text:
+            if c not in trie:
+                self.at = at
+                out += self.rest()
+                out += [m.bytes[b] for b in c.encode()]
+                at = self.at = at + 1
+                self._empty("")
+                back, hang, live = self.back, self.hang, self.live
+                continue
+            at += 1
+            now, gone, piece = [], [], None
+            for s, nodes in live:
+                node = nodes.get(c)
+                if node is None:
+                    gone.append(s)
+                    continue
+                nodes, p, fits = node
+                if piece is None and p is not None:
+                    a = back[s] if s in back else self.tail
+                    fit = fits.get(a)
+                    if fit is None:
+                        fit = m.fit(fits, a, p)
+                    if fit:
+                        piece, start = p, s
+                if nodes:
+                    now.append((s, nodes))
+                else:
+                    gone.append(s)
+            back[at] = piece
+            hang[start] += 1
+            hang[at] = 1
+            now.append((at, trie))
+            live = now
+            for s in gone:
+                n = hang[s] = hang[s] - 1
+                while not n and s != self.done:
+                    del hang[s]
+                    s -= len(back.pop(s))
+                    n = hang[s] = hang[s] - 1
+            while live[0][0] != self.done and hang[self.done] == 1:
+                done = next(k for k, p in back.items() if k - len(p) == self.done)
+                del hang[self.done]
+                self.done, self.tail = done, back.pop(done)
+                out.append(m.ids[self.tail])
+        self.live, self.at = live, at
+        return out
+
+    def rest(self) -> list[int]:
+        """The ids that are certain if the text ends here."""
+        out, end = [], self.at
+        while end > self.done:
+            out.append(self.m.ids[self.back[end]])
+            end -= len(self.back[end])
+        return out[::-1]
+
+
 class Segments(Memo):
-    """A word with its mark -> its ids."""
+    """A word with its mark -> the ids that an empty window commits for it when the next mark comes."""
 
     def __init__(self, m: Model) -> None:
         super().__init__(500_000)  # words are many; about 250 MB a worker
         self.model = m
 
     def compute(self, key: str) -> bytes:
-        return np.array(self.model.search(key) if len(key) <= self.model.longest else list(self.model.stream(key)), dtype="<u4").tobytes()
+        w = Window(self.model)
+        ids = w.read(key)
+        if key[-1] == MARK:  # marks at the end of a text
+            ids += w.rest()
+        else:
+            ids += w.read(MARK)
+            if w.done != len(key):
+                raise ValueError("paths do not meet before a mark")
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
