@@ -77,8 +77,10 @@ def renamed_column(df: DataFrame, name: str) -> Column:
     return F.col(f"_{df.columns.index(name)}")
 
 
-#: Rows of a few numbers that may be broadcast: about 30 MB. More of them go through a shuffle.
-BROADCAST_ROWS = 400_000
+#: Rows of a few numbers that may be broadcast: about 15 MB. More of them go through a shuffle.
+BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch between Spark and Python: texts are long, and several batches are in memory at once.
+BATCH_BYTES = 4 << 20
 
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -86,6 +88,13 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session sets a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,6 +128,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: in
             end = max(begin + 1, int(np.searchsorted(offs, offs[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[pa.RecordBatch]]:

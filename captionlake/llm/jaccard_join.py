@@ -494,7 +494,7 @@ def apart(members: DataFrame, t: Threshold) -> DataFrame:
             found = []
             for begin, end in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
                 found += near(batch.slice(begin, end - begin), seen)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             open_ = batch.slice(int(new[-1]))  # the last group may go on; groups have 2 * BLOCK rows or so
             yield emit(found)

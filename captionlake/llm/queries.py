@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from captionlake.llm import jaccard_join, line_frequency, packing, sentence_pieces, sharding, substring_dedup, token_count, toxicity, transport_stream, url_filter
+from captionlake.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -34,7 +34,7 @@ from captionlake.llm.common import BASE2, BASE3, Prefix, Scratch, checked_broadc
 
 WINDOW, GRAM = 35, 10
 #: Different blocks of one anchor that are parsed in one task at most, and words of blocks that are parsed at once.
-CROWD, AT_ONCE = 4096, 1 << 17
+CROWD, AT_ONCE = 1024, 1 << 17
 #: Bytes of spans that are sent to all workers at most.
 SENT = 16 << 20
 
@@ -263,7 +263,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scr
     # blocks of anchors that have different ones: each once, with its count and one place
     blocks = again.where("differ").groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "place")).alias("x"))
     blocks = scratch.table(blocks.select("anchor", "block", "n", "x.rk", "x.place"), "blocks")
-    copied = checked_broadcast(blocks.where("n > 1").select("anchor", "block"))
+    copied = checked_broadcast(blocks.where("n > 1").select("anchor", "block"), 100_000)
     whole = scratch.table(_unpacked(again.where("NOT differ").select("rk", "place").unionByName(again.where("differ").join(copied, ["anchor", "block"], "left_semi").select("rk", "place"))), "whole")
     scratch.drop(again)
     crowds = scratch.table(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("anchor"), "crowds")

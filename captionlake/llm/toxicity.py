@@ -185,7 +185,7 @@ class Scorer(Memo):
     """token -> the model's features in its restored words, filled as tokens come up."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
+        super().__init__(100_000)
         self.model, self.restorer = model, Restorer(model.lm)
 
     def compute(self, key: str) -> tuple[int, ...]:
