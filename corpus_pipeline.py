@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from captionlake.llm import jaccard_join, line_frequency, packing, substring_dedup, toxicity
-from captionlake.llm.common import Scratch, shared_folder
+from captionlake.llm.common import Scratch, shared_folder, small_batches
 from captionlake.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,6 +20,7 @@ def _scratch(spark: SparkSession) -> Scratch:
     """Work tables of a stage. Those of the stage before it in this thread go, as its result has been written."""
     if before := getattr(_last, "scratch", None):
         before.release()
+    small_batches(spark)
     _last.scratch = Scratch(spark)
     return _last.scratch
 
@@ -30,8 +31,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have the score of a text without features; null ids are never fitted on; repeated rows go or stay
     together; no rows give none.
     """
-    _scratch(spark)
-    return toxicity.reject_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch=_scratch(spark))
+    return toxicity.reject_toxic(docs, model)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
