@@ -17,9 +17,10 @@ elements' hashes and their places, and gets back the shared ones with their coun
 number of elements, so a bucket stays as large as it is. Elements that a bounded table of counters shows to be in very many
 documents are not sent: they come last in the order, and are listed only for sets that have too few others.
 
-Copies are one node. In each list first only the links to its best-connected node are verified; components follow, and then
-just the pairs of a list that still lie in different components, unless a sketch of parities proves them too far apart. No
-list is expanded into all its pairs, and no link between different sets is lost.
+Copies are one node. In each list first only the links to its best-connected node are verified; components follow. Members
+that still lie in different components of a list, unless a sketch of parities proves them too far apart from all others, are
+held against each other in blocks by their whole sets, and a block gives a forest of links. No list is expanded into rows of
+pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ COUNTERS, COMMON = 1 << 18, 4
 BUCKET, SAMPLE = 1_500_000, 50_000
 #: Members of one list that meet in a task at most; larger lists are cut into blocks, and blocks meet in pairs.
 BLOCK = 512
+#: Elements whose incidence is held at once, for at most 2 * BLOCK sets.
+COLUMNS = 2048
 
 
 class Threshold:
@@ -434,75 +437,91 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return jumped.select("node", "label")
 
 
-def apart(members: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b) of one list (key, node, label, n, sketch) in different components that size and sketch allow."""
+def in_blocks(members: DataFrame, columns: list[str], judge, out: str) -> DataFrame:
+    """judge(rows of one block, or of two that meet; the blocks i and j) over every two members of each list `key`.
+
+    Lists over BLOCK members are cut into blocks, and a member goes to the groups of its own and each other block. judge
+    gets arrays of `columns` and two index arrays, the rows to be held against each other, and returns arrays for `out`.
+    """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_g"))
-    blocks = F.ceil(F.col("_g") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(sizes, "key").withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    # block i meets every block j: a row goes to the pairs (min, max) of its own and each other block
-    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
-
-    def near(group: pa.RecordBatch, seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Pairs of one group (a block, or two that meet) that are not in `seen`."""
-        i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        block, node, label, n = (group.column(k).to_pylist() for k in range(3, 7))
-        sk, out = group.column(7).to_pylist(), []
-        if len(node) > 32:
-            size = min(map(len, sk))
-            least = np.stack([folded(np.frombuffer(x, np.uint8), size) for x in sk])
-            blocks, labels, sizes = np.array(block), np.array(label), np.array(n)
-        right = [b for b in range(len(node)) if block[b] == j]
-        for a in range(len(node)):
-            if block[a] != i:
-                continue
-            if len(node) > 32:
-                lo, hi = np.minimum(sizes, n[a]), np.maximum(sizes, n[a])
-                far = np.bitwise_count(least ^ least[a]).sum(axis=1, dtype=np.int64)
-                others = np.flatnonzero((blocks == j) & (labels != label[a]) & (100 * lo >= t.percent * hi) & (far <= t.apart(lo))).tolist()
-            else:
-                others = right
-            for b in others:
-                lo, hi = (n[a], n[b]) if n[a] < n[b] else (n[b], n[a])
-                if label[a] == label[b] or (i == j and b <= a) or 100 * lo < t.percent * hi:
-                    continue
-                pair = (node[a], node[b]) if node[a] < node[b] else (node[b], node[a])
-                if pair in seen:
-                    continue
-                seen.add(pair)
-                x, y = sk[a], sk[b]
-                if len(x) != len(y):
-                    m = min(len(x), len(y))
-                    x, y = (folded(np.frombuffer(z, np.uint8), m).tobytes() for z in (x, y))
-                if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= t.apart(lo):
-                    out.append(pair)
-        return out
+    dealt = members.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_g") / F.lit(BLOCK)).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", (F.least("_b", "_o") * F.col("_blocks") + F.greatest("_b", "_o")).alias("pair"), F.col("_b").alias("block"), *columns)
+    met = met.repartition(partitions(members.sparkSession), "key", "pair").withColumn("group", F.xxhash64("key", "pair")).sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # the same two nodes share many lists
-        open_ = None
+        for group in runs_of(batches, 0):
+            t = pa.Table.from_batches(group).combine_chunks()
+            block = t.column(1).to_numpy()
+            # rows of the lower block against those of the higher; within one block, all against all
+            yield judge(t, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()))
 
-        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+    return met.select("group", "block", *columns).mapInArrow(run, out)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if open_ is not None:
-                batch = pa.Table.from_batches([open_, batch]).combine_chunks().to_batches()[0]
-            ids = [batch.column(k).to_numpy() for k in range(3)]
-            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], axis=0)]))
-            found = []
-            for begin, end in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-                found += near(batch.slice(begin, end - begin), seen)
-            if len(seen) > 100_000:
-                seen.clear()
-            open_ = batch.slice(int(new[-1]))  # the last group may go on; groups have 2 * BLOCK rows or so
-            yield emit(found)
-        if open_ is not None:
-            yield emit(near(open_, seen))
-
-    dealt = met.select("key", "_i", "_j", "_b", "node", "label", "n", "sketch").repartition(partitions(members.sparkSession), "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def hopeful(members: DataFrame, t: Threshold) -> DataFrame:
+    """(key, node) of members (key, node, label, n, sketch) for which size and sketch allow a link across components."""
+
+    def judge(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        label, n = table.column(4).to_numpy(), table.column(5).to_numpy()
+        sk = table.column(6).to_pylist()
+        size = min(map(len, sk))
+        cells = np.stack([folded(np.frombuffer(x, np.uint8), size) for x in sk])
+        found = np.zeros(len(sk), dtype=bool)
+        for a in left.tolist():
+            lo, hi = np.minimum(n[right], n[a]), np.maximum(n[right], n[a])
+            other = right[(label[right] != label[a]) & (100 * lo >= t.percent * hi)]
+            if len(other):
+                far = np.bitwise_count(cells[other] ^ cells[a]).sum(axis=1, dtype=np.int64)
+                other = other[far <= t.apart(np.minimum(n[other], n[a]))]
+                found[other] = True
+                found[a] |= len(other) > 0
+        return pa.RecordBatch.from_arrays([table.column(k).combine_chunks().filter(pa.array(found)) for k in (2, 3)], ["key", "node"])
+
+    return in_blocks(members.withColumn("list", F.col("key")), ["list", "node", "label", "n", "sketch"], judge, "key long, node long").distinct()
+
+
+def links_across(members: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) between components, by whole sets: enough of them to connect what any link connects within a block.
+
+    members: key, node, label, items. Common elements are counted by products of incidence matrices, COLUMNS at a time.
+    """
+
+    def judge(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        node, label = table.column(2).to_numpy(), table.column(3).to_numpy()
+        flat, offs = _flat(table.column(4).combine_chunks(), np.uint64)
+        n = np.diff(offs)
+        row = np.repeat(np.arange(len(n)), n)
+        _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[element]
+        both = np.zeros((len(n), len(n)), dtype=np.float32)
+        row, rank = row[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        row, rank = row[order], rank[order]
+        for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+            x, y = np.searchsorted(rank, (low, low + COLUMNS))
+            has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            has[row[x:y], rank[x:y] - low] = 1
+            both += has @ has.T
+        both = both[np.ix_(left, right)].astype(np.int64)
+        linked = (100 * both >= t.percent * (n[left][:, None] + n[right] - both)) & (label[left][:, None] != label[right])
+        up = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            a, b = int(left[a]), int(right[b])
+            x, y = root(int(label[a])), root(int(label[b]))
+            if x != y:
+                up[x] = y
+                out.append((int(node[a]), int(node[b])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return in_blocks(members, ["node", "label", "items"], judge, "a long, b long").distinct()
 
 
 def stars(lists: DataFrame) -> DataFrame:
@@ -540,14 +559,16 @@ def classes(docs: DataFrame, percent: int, words: int, scratch: Scratch) -> Data
     labels = components(links, scratch)
     marked = lists.join(checked_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    rest = apart(marked.join(open_, "key", "left_semi").join(info, "node"), t)
-    rest = scratch.table(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    scratch.drop(near)
+    across = scratch.table(marked.join(open_, "key", "left_semi"), "across")
+    rest = scratch.table(hopeful(across.join(info, "node"), t), "rest")
     if not rest.isEmpty():
-        ends = scratch.table(rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct(), "ends")
-        more = scratch.table(verified(rest, sets_of(docs, surveyed, ends, words, scratch), t), "links")
+        ends = scratch.table(rest.select("node").distinct(), "ends")
+        members = rest.join(across, ["key", "node"]).join(sets_of(docs, surveyed, ends, words, scratch), "node")
+        more = scratch.table(links_across(members, t), "links")
+        scratch.drop(ends)
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
+    scratch.drop(near, across)
     scratch.drop(lists, named, info, links, rest)
     sets = surveyed.where("kind = 0").select("doc_id", "rk", F.col("key").alias("node"), "n")
     return sets.join(checked_broadcast(labels), "node", "left").select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
