@@ -12,104 +12,80 @@ from pyspark.sql.functions import pandas_udf
 
 from captionlake.functions import text as T
 
-_CAPS = re.compile(r"[A-Z](?:[A-Z.\s]*[A-Z])?")
-
-
 def acronyms(text: str) -> str:
-    """'U. S. A' becomes 'USA'. A capital that touches a lower-case letter stays out; 'A. B' across a sentence end is cut there."""
-
-    def fix(m: re.Match) -> str:
-        run, a, b = m[0], m.start(), m.end()
-        head = tail = ""
-        if a and text[a - 1].islower():
-            head, run = run[0], run[1:]
-        if run and b < len(text) and text[b].islower():
-            run, tail = run[:-1], run[-1]
-        parts = re.split(r"(?<=[A-Z]{2}\.)(\s+)(?=[A-Z])", run)
-        out = []
-        for p in parts:
-            lead, body, rest = re.match(r"([.\s]*)(.*?)([.\s]*)\Z", p, re.S).groups()
-            out.append(lead + (re.sub(r"[.\s]", "", body) if sum(c.isupper() for c in body) >= 2 else body) + rest)
-        return head + "".join(out) + tail
-
-    return _CAPS.sub(fix, text)
-
-
-#: Numerals and units.
-DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-UNITS = {"十": 10, "百": 100, "千": 1000}
-BIG = {"萬": 10_000, "億": 100_000_000}
-_RUN = re.compile("[零〇一二兩三四五六七八九十百千萬億]+[月號]?")
-_YEAR = re.compile("([零〇一二三四五六七八九]{2,4})(?=年)")
-
-
-def parse_number(s: str) -> int | None:
-    """The value of a numeral; None for digit strings, or what is no numeral."""
-    if not s or s[0] not in DIGITS and s[0] != "十":
+    """'U. S.A' becomes 'USA'. Capitals belong together across stops and blanks, but not across the end of a sentence (a stop
+    and one blank). A capital that touches a lower-case letter stays out, at either end of such a run."""
+    capitals = [i for i, c in enumerate(text) if "A" <= c <= "Z"]
+    runs: list[list[int]] = []
+    for i in capitals:
+        gap = text[runs[-1][-1] + 1 : i] if runs else None
+        if gap is not None and all(c == "." or c.isspace() for c in gap):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    gone: set[int] = set()
+    for run in runs:
+        low, high = text[run[0] - 1 : run[0]] if run[0] else "", text[run[-1] + 1 : run[-1] + 2]
+        run = run["a" <= low <= "z" :] if len(low) else run
+        run = run[: len(run) - ("a" <= high <= "z")] if len(high) else run
+        for a, b in zip(run, run[1:], strict=False):
+            gap = text[a + 1 : b]
+            if not (len(gap) == 2 and gap[0] == "." and gap[1].isspace()):
+                gone.update(range(a + 1, b))
+    return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+#: Numerals, units, and the round numbers that stay.
+DIGITS = {"零": 0, "一": 1, "二": 2, "兩": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+UNITS = {"十": 10, "百": 100, "千": 1000, "萬": 10000}
+ROUND_NUMBERS = {100, 1000, 10000, 20000, 30000, 40000, 50000, 60000, 70000, 80000, 90000, 100000}
+_RUN = re.compile("([零一二兩两三四五六七八九十百千萬]+)([月號]?)")
+_YEAR = re.compile("([零一二三四五六七八九]{2,4})(?=年)")
+
+
+def parse_number(s: str, dated: bool = False) -> int | None:
+    """The sum of a numeral's digits times their units. A unit without a digit counts at the start only. None for what begins
+    with another unit than ten, for digits in a row (but after a zero), and, if dated, for what does not end with a digit."""
+    if not s or s[0] not in DIGITS and s[0] != "十" or dated and s[-1] not in DIGITS:
         return None
-    total = section = 0
-    digit, last_unit, prev = None, 10**9, ""
-    for c in s:
+    total, before = 0, ""  # before: the digit that stands without a unit just before
+    for k, c in enumerate(s):
         if c in DIGITS:
-            if digit is not None and prev not in "零〇":
+            if before and before != "零":
                 return None
-            digit = DIGITS[c]
-        elif c in UNITS:
-            unit = UNITS[c]
-            if unit >= last_unit:
-                return None
-            if digit is None and unit != 10:
-                return None
-            section += (1 if digit is None else digit) * unit
-            digit, last_unit = None, unit
-        elif c in BIG:
-            section += digit or 0
-            if not section:
-                return None
-            total += section * BIG[c]
-            section, digit, last_unit = 0, None, 10**9
+            unit = UNITS.get(s[k + 1 : k + 2])
+            total += DIGITS[c] * (unit or 1)
+            before = "" if unit else c
         else:
-            return None
-        prev = c
-    return total + section + (digit or 0)
-
-
-def _round(n: int) -> bool:
-    while n % 10 == 0 and n:
-        n //= 10
-    return n < 10
+            total += UNITS[c] if k == 0 else 0
+            before = ""
+    return total
 
 
 def numerals(text: str) -> str:
-    """Numerals over 10 and under 100000 that are not round become digits; before 月 or 號 all do, and years digit by digit."""
+    """Numerals over 10 and under 100000 that are not round become digits, as do all that end with a digit before 月 or 號;
+    then years, digit by digit. What is not converted keeps its date suffix once."""
 
     def fix(m: re.Match) -> str:
-        s = m[0]
-        suffix = s[-1] if s[-1] in "月號" else ""
-        n = parse_number(s[: len(s) - len(suffix)])
-        if n is None or not suffix and (not 10 < n < 100_000 or _round(n)):
-            return s
-        return f"{n}{suffix}"
+        n = parse_number(m[1], bool(m[2]))
+        return m[0] if n is None or not m[2] and (not 10 < n < 100_000 or n in ROUND_NUMBERS) else f"{n}{m[2]}"
 
-    return _RUN.sub(fix, _YEAR.sub(lambda m: "".join(str(DIGITS[c]) for c in m[1]), text))
+    return _YEAR.sub(lambda m: "".join(str(DIGITS[c]) for c in m[1]), _RUN.sub(fix, text))
 
 
-def break_line(text: str, width: int = 18, is_word: Callable[[str], bool] | None = None, marks: str = "，？！…。：；") -> str:
-    """At most one break in a line over `width`: after a mark near the middle, else further right, else between words."""
+def break_line(text: str, width: int = 21, is_word: Callable[[str], bool] | None = None, marks: str = "，？！…。：；", punctuation: str = "，？！…：；-") -> str:
+    """At most one break in a line over `width`: after a mark near the middle, else further right, else after punctuation or a
+    blank, or where two characters are no word together. All characters stay."""
     n = len(text)
     if n <= width or "\n" in text:
         return text
     low, high, far = max(n // 4, 4), min(n // 2, width - 1), min(n // 4 * 3, width)
-    for span in (range(high, low - 1, -1), range(high, far)):
-        for i in span:
-            if text[i] in marks:
-                return text[: i + 1] + "\n" + text[i + 1 :].lstrip()
-    for i in range(high, low - 1, -1):
-        if text[i] == " ":
-            return text[:i] + "\n" + text[i + 1 :]
-        if not (is_word and is_word(text[i : i + 2])) and not (text[i].isascii() and text[i].isalnum() and text[i + 1].isascii() and text[i + 1].isalnum()):
-            return text[: i + 1] + "\n" + text[i + 1 :]
-    return text
+    joined = is_word or (lambda two: two.isascii() and two.isalnum() and len(two) == 2)
+    back = range(high, low - 1, -1)
+    place = next((i for span in (back, range(high, far + 1)) for i in span if text[i] in marks), None)
+    if place is None:
+        place = next((i for i in back if text[i] in punctuation or text[i].isspace() or not joined(text[i : i + 2])), None)
+    return text if place is None else text[: place + 1] + "\n" + text[place + 1 :]
 
 
 class LongestMatch:
@@ -174,5 +150,5 @@ def trim_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?mU)^[，\s&&[^\n]]+", ""), r"(?mU)[，\s&&[^\n]]+$", "")
 
 
-def builtin_steps(width: int = 18, is_word: Callable[[str], bool] | None = None) -> dict[str, Callable[[Column], Column]]:
+def builtin_steps(width: int = 21, is_word: Callable[[str], bool] | None = None) -> dict[str, Callable[[Column], Column]]:
     return {"acronyms": python_step(acronyms), "question_particles": question_particles, "chinese_numbers": python_step(numerals), "linebreak": python_step(lambda t: break_line(t, width, is_word)), "trim": trim_lines}

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 SPLIT_CHARS = "，。？！；…"
 MERGE_CHARS = "，"
 MAX_MERGED = 18
-#: Lines of these alone carry no speech (own list; pass another where conventions differ).
-INTERJECTIONS = ("嗯", "啊", "哦", "呃", "唉", "哎", "喂", "噢", "哈", "嘩", "吓")
-#: Sentence particles, the guarded ones first (own list).
+#: Lines of these alone carry no speech.
+INTERJECTIONS = ("噢", "嗯", "哦", "嘩", "嗌", "唉", "誒", "哎", "啊", "嘿", "吓")
+#: Sentence particles (own list), and those that a correction may not lose (fixed values).
 PARTICLES = "呀啦喎咩㗎嘅囉喇啩吖嘛呢噃添咋喳哩咯哋咧啫嗱"
-GUARDED = "呀啦喎咩㗎嘅囉喇啩嘛呢"
-QUESTION_WORDS = ("乜", "咩", "邊", "點", "幾時", "幾多", "點解", "點樣", "邊個", "邊度", "嗎", "未")
+GUARDED = "嘅喎囉啦㗎呀喇吖咋咩乜"
+#: What makes a segment with a question mark a question.
+QUESTION_WORDS = ("做乜", "係咪", "未", "有冇", "好冇", "邊", "咩", "邊個", "點解", "幾歲", "幾耐", "幾時", "邊度", "點", "點樣", "幾多", "乜嘢", "嗎")
+#: Language codes and title words of a Chinese stream.
+CHINESE_CODES = ("yue", "zh", "zho", "chi", "cmn", "nan", "hak", "wuu", "zh-hans", "zh-hant", "zh-hk", "zh-tw", "zh-cn", "zh-sg")
+CHINESE_TITLES = ("chinese", "cantonese", "mandarin", "putonghua", "guoyu", "huayu", "中文", "汉语", "漢語", "华语", "華語", "国语", "國語", "普通话", "普通話", "粤", "粵", "粵語", "粤语", "廣東話", "广东话")
 
 
 def contains_char(chars: str, c: Column) -> Column:
@@ -32,12 +36,13 @@ def is_removable(text: Column, words=INTERJECTIONS) -> Column:
 
 
 def is_non_chinese(text: Column) -> Column:
-    """Begins with a character outside the CJK blocks."""
-    return text.rlike(r"^[^\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]")
+    """Begins with a Latin letter or a digit."""
+    return text.rlike(r"(?U)^[A-Za-z\d]")
 
 
 def is_punctuation(text: Column) -> Column:
-    return text.rlike(r"^[\p{P}\p{S}\s]")
+    """Begins with one of the marks of captions, white space or a hyphen."""
+    return text.rlike(r"(?U)^[，？！…：；\s\-]")
 
 
 def split_segments(text: Column, marks: str = "？！。：；") -> Column:
@@ -121,8 +126,8 @@ def accept_reference(primary: Column, response: Column, semantic: bool = False,
 
 def parse_substitutions(response: Column, arrow: str = "→", nothing: str = "無需修正") -> Column:
     """Structs (wrong, right) of lines 'wrong→right' with two characters or more that differ."""
-    lines = F.filter(F.split(response, "\n"), lambda x: x.contains(arrow) & ~x.contains(nothing))
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.split(response, "\n"), lambda x: x.contains(arrow) & (strip(x) != nothing))
     pairs = F.transform(lines, lambda x: F.struct(strip(F.split(x, arrow)[0]).alias("wrong"), strip(F.split(x, arrow)[1]).alias("right")))
     return F.filter(pairs, lambda p: (F.length(p["wrong"]) >= 2) & (p["wrong"] != p["right"]))
 
@@ -137,7 +142,7 @@ def prompt(prev: Column, text: Column, alternative: Column, following: Column, l
     return F.concat_ws("\n", line(labels[0], prev), F.concat(F.lit(f"{labels[1]}: "), text), line(labels[2], alternative), line(labels[3], following))
 
 
-def choose_track(language: Column, title: Column, index: Column, native: str = "yue", native_title: str = "cantonese", family: tuple[str, ...] = ("zh", "zho", "chi", "cmn", "yue"), words: tuple[str, ...] = ("chinese", "mandarin", "cantonese", "中文", "國語", "粵語")) -> Column:
+def choose_track(language: Column, title: Column, index: Column, native: str = "yue", native_title: str = "cantonese", family: tuple[str, ...] = CHINESE_CODES, words: tuple[str, ...] = CHINESE_TITLES) -> Column:
     """Aggregate: the first native stream, else the first of its family, else 0. Native codes compare exactly, others lower-cased."""
     own = (language == native) | F.lower(title).contains(native_title)
     kin = F.lower(language).isin(*family)

@@ -61,8 +61,8 @@ def merge_captions(rows: DataFrame, max_gap: int, max_length: int = 18, split_ch
 def split_long_regions(t: np.ndarray, y: np.ndarray, onset: float, offset: float, max_duration: float) -> list[tuple[float, float]]:
     """Hysteresis with a longest region: one over max_duration is cut where the score is least in its second half.
 
-    The frame that makes a cut is not tested for the end of the region. The scores gathered for a region begin with the
-    frame before it.
+    The cut is sought in the scores gathered before the frame that makes the region too long; that frame is not tested for
+    the end of the region. The scores gathered for a region begin with the frame before it.
     """
     if not len(t):
         return []
@@ -70,7 +70,6 @@ def split_long_regions(t: np.ndarray, y: np.ndarray, onset: float, offset: float
     out, times, scores = [], [t[0]], [y[0]]
     for at, value in zip(t[1:], y[1:], strict=True):
         if active:
-            times.append(at), scores.append(value)
             if at - start > max_duration:
                 half = len(scores) // 2
                 cut = half + int(np.argmin(scores[half:]))
@@ -78,7 +77,8 @@ def split_long_regions(t: np.ndarray, y: np.ndarray, onset: float, offset: float
                 start, times, scores = times[cut], times[cut + 1 :], scores[cut + 1 :]
             elif value < offset:
                 out.append((start, at))
-                start, active, times, scores = at, False, [at], [value]
+                start, active, times, scores = at, False, [], []
+            times.append(at), scores.append(value)
         elif value > onset:
             start, active = at, True
     if active:
@@ -98,28 +98,44 @@ def speech_regions(frames: DataFrame, onset: float = 0.5, offset: float = 0.363,
     return frames.select("file_id", "t", "y").groupBy("file_id").applyInPandas(fold, f"file_id {kind}, region long, start double, end double")
 
 
-def retime(lines: DataFrame, candidates: DataFrame, score: Callable[[dict, dict], float], look_back: float = 5.0, window: float = 120.0, threshold: float = -5.0) -> DataFrame:
+def speaks(line: dict) -> bool:
+    """Whether a line has a letter or digit to align."""
+    return any(c.isalnum() for c in line.get("text") or "")
+
+
+def retime(lines: DataFrame, candidates: DataFrame, score: Callable[[dict, dict], float], look_back: float = 5.0, window: float = 120.0, threshold: float = -5.0, alignable: Callable[[dict], bool] = speaks) -> DataFrame:
     """Find each line's speech again: of the candidates within its search window the best-scored; the shift found moves later searches.
 
-    The first line searches from 0, later ones from start + offset - look_back, over `window` seconds. A score under
-    the threshold, or none, leaves the offset. lines: file_id, seg_idx, start, end, text; candidates: file_id, ref_idx,
-    start, end, text (what score needs). Out: file_id, seg_idx, start, end (shifted, not under 0), offset, matched.
+    The first line searches from 0, later ones from start + offset - look_back, not under 0, over `window` seconds. A score
+    over the threshold gives the line the candidate's times, and the distance of their middles is the offset from then on. A
+    line without a match, or that is not alignable, is moved by the offset. Of equal scores the first candidate counts.
+    lines: file_id, seg_idx, start, end and what score needs; candidates: file_id, ref_idx, start, end and the like.
+    Out: file_id, seg_idx, start, end (not under 0), offset, matched (ref_idx, else -1). One file is one group in memory.
     """
     kind = lines.schema["file_id"].dataType.simpleString()
+    names = candidates.columns
+    right = candidates.toDF(*[f"r{k}" for k in range(len(names))])  # both sides may come from one DataFrame
 
     def fold(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("seg_idx"), b.sort_values("ref_idx").to_dict("records")
+        a, b = a.sort_values("seg_idx"), b.set_axis(names, axis=1).sort_values(["start", "ref_idx"])
+        starts, reach = b["start"].to_numpy(float), np.maximum.accumulate(b["end"].to_numpy(float)) if len(b) else np.empty(0)
+        b = b.to_dict("records")
         offset, out = 0.0, []
         for n, line in enumerate(a.to_dict("records")):
-            begin = 0.0 if n == 0 else line["start"] + offset - look_back
-            best, found = -np.inf, None
-            for c in b:
-                if c["end"] > begin and c["start"] < begin + window and (x := score(line, c)) > best:
-                    best, found = x, c
-            hit = found is not None and best >= threshold
-            if hit:
-                offset = found["start"] - line["start"]
-            out.append((line["file_id"], line["seg_idx"], max(0.0, line["start"] + offset), max(0.0, line["end"] + offset), offset, int(found["ref_idx"]) if hit else -1))
+            begin = 0.0 if n == 0 else max(0.0, line["start"] + offset - look_back)
+            found = None
+            if alignable(line):
+                # no candidate before the first whose reach passes `begin`, and none that starts after the window
+                near = (c for c in b[np.searchsorted(reach, begin, "right") : np.searchsorted(starts, begin + window)] if c["end"] > begin)
+                found = max(((score(line, c), -c["ref_idx"], c) for c in near), key=lambda x: x[:2], default=None)
+            if found and found[0] > threshold:
+                c = found[2]
+                offset = (c["start"] + c["end"]) / 2 - (line["start"] + line["end"]) / 2
+                times = c["start"], c["end"], offset, int(c["ref_idx"])
+            else:
+                times = max(0.0, line["start"] + offset), max(0.0, line["end"] + offset), offset, -1
+            out.append((line["file_id"], line["seg_idx"], *times))
         return pd.DataFrame(out, columns=["file_id", "seg_idx", "start", "end", "offset", "matched"])
 
-    return lines.groupBy("file_id").cogroup(candidates.groupBy("file_id")).applyInPandas(fold, f"file_id {kind}, seg_idx long, start double, end double, offset double, matched long")
+    cogroups = lines.groupBy("file_id").cogroup(right.groupBy(f"r{names.index('file_id')}"))
+    return cogroups.applyInPandas(fold, f"file_id {kind}, seg_idx long, start double, end double, offset double, matched long")

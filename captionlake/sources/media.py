@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: file extensions taken as media.
-MEDIA = ("mp4", "mkv", "avi", "mov", "webm", "flv", "ts", "m4v", "mp3", "wav", "flac", "m4a", "ogg", "aac")
+MEDIA = ("mp4", "mkv", "avi", "mov", "webm", "ts", "m2ts", "wav", "mp3", "flac", "aac", "ogg", "m4a", "opus")
 RATE = 16_000
 
 

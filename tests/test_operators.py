@@ -54,7 +54,7 @@ def test_chunks_and_captions(spark):
 def test_regions():
     t = np.arange(8.0)
     assert folds.split_long_regions(t, np.array([0, 0.6, 0.4, 0.3, 0.45, 0.7, 0.7, 0.7]), 0.5, 0.363, 99) == [(1, 3), (5, 7)]
-    assert folds.split_long_regions(t, np.array([0.9, 0.8, 0.9, 0.6, 0.9, 0.9, 0.9, 0.1]), 0.5, 0.363, 3.5) == [(0, 3), (3, 7), (7, 7)]
+    assert folds.split_long_regions(t, np.array([0.9, 0.8, 0.9, 0.6, 0.9, 0.9, 0.9, 0.1]), 0.5, 0.363, 3.5) == [(0, 3), (3, 5), (5, 7)]
     assert folds.split_long_regions(np.empty(0), np.empty(0), 0.5, 0.3, 9) == []
 
 
@@ -108,10 +108,16 @@ def test_alignment_of_clear_emissions(spark):
 
 
 def test_retime(spark):
-    a = spark.createDataFrame([("f", 0, 1.0, 2.0, "x"), ("f", 1, 3.0, 4.0, "y"), ("f", 2, 5.0, 6.0, "none")], "file_id string, seg_idx long, start double, end double, text string")
-    b = spark.createDataFrame([("f", 0, 11.0, 12.0, "x"), ("f", 1, 14.0, 15.0, "y")], "file_id string, ref_idx long, start double, end double, text string")
-    rows = folds.retime(a, b, lambda x, c: 1.0 if x["text"] == c["text"] else -9.0).orderBy("seg_idx").collect()
-    assert [(r.start, r.offset, r.matched) for r in rows] == [(11.0, 10.0, 0), (14.0, 11.0, 1), (16.0, 11.0, -1)]
+    a = spark.createDataFrame([("f", 0, 1.0, 2.0, "x"), ("f", 1, 3.0, 4.0, "y"), ("f", 2, 5.0, 6.0, "none"), ("f", 3, 6.0, 7.0, "…"), ("f", 4, 8.0, 9.0, "edge")], "file_id string, seg_idx long, start double, end double, text string")
+    b = spark.createDataFrame([("f", 0, 11.0, 14.0, "x"), ("f", 1, 14.0, 15.0, "y"), ("f", 2, 14.0, 15.0, "y"), ("f", 3, 400.0, 401.0, "none"), ("f", 4, 16.0, 17.0, "…")], "file_id string, ref_idx long, start double, end double, text string")
+    rows = folds.retime(a, b, lambda x, c: 1.0 if x["text"] == c["text"] else -5.0).orderBy("seg_idx").collect()
+    assert [(r.start, r.end, r.offset, r.matched) for r in rows] == [(11.0, 14.0, 11.0, 0), (14.0, 15.0, 11.0, 1), (16.0, 17.0, 11.0, -1), (17.0, 18.0, 11.0, -1), (19.0, 20.0, 11.0, -1)]
+
+
+def test_retime_of_one_shared_source(spark):
+    x = spark.createDataFrame([("f", k, float(k), k + 0.5, f"t{k}") for k in range(5)], "file_id string, seg_idx long, start double, end double, text string")
+    out = folds.retime(x, x.withColumnRenamed("seg_idx", "ref_idx"), lambda a, c: float(a["text"] == c["text"]), threshold=0.5)
+    assert out.count() == 5 and [r.matched for r in out.orderBy("seg_idx").collect()] == [0, 1, 2, 3, 4]
 
 
 def test_overlap_add_gives_the_signal_back(spark):

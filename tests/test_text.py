@@ -40,20 +40,50 @@ def test_manifest_errors(tmp_path):
 
 def test_cleaning(spark):
     todo = rules.load_steps(None, steps.builtin_steps(18))
-    assert one(spark, rules.clean(F.lit("我 哋 去U. S. A.睇,好唔好?"), todo)) == "我哋去USA.睇，好唔好？"
+    assert one(spark, rules.clean(F.lit("我 哋 去U.S.A.睇,好唔好?"), todo)) == "我哋去USA.睇，好唔好？"
     assert one(spark, rules.clean(F.lit("三十五個人，係呀係呀係呀"), todo)) == "35個人，係呀…"
 
 
-@pytest.mark.parametrize("given,want", [("U.S.A", "USA"), ("A B C", "ABC"), ("Xi A", "Xi A"), ("USA. UK", "USA. UK"), ("one A two", "one A two"), ("AB\nC", "ABC")])
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("U.S.A", "USA"), ("A B C", "ABC"), ("Xi A", "Xi A"), ("USA. UK", "USA. UK"), ("one A two", "one A two"), ("AB\nC", "ABC"),
+        ("去T V B. OK未", "去TVB. OK未"), ("N.B .  A", "NBA"), ("C,D", "C,D"), ("C，D", "C，D"), ("買B Bag", "買B Bag"), ("睇D V disc", "睇DV disc"), ("drXY", "drXY"), ("hi X Y", "hi XY"),
+    ],
+)
 def test_acronyms(given, want):
     assert steps.acronyms(given) == want
 
 
-@pytest.mark.parametrize("given,want", [("三十五", "35"), ("十", "十"), ("二十", "二十"), ("一百零五", "105"), ("一二三", "一二三"), ("五號", "5號"), ("十二月", "12月"), ("一九九七年", "1997年"), ("三萬五千", "35000"), ("十萬", "十萬")])
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("三十五", "35"), ("十", "十"), ("二十", "20"), ("三百", "300"), ("二千", "2000"), ("一百", "一百"), ("五萬", "五萬"), ("一百零五", "105"), ("一二三", "一二三"), ("五號", "5號"), ("十二月", "12月"), ("一九九七年", "1997年"),
+        ("三萬五千", "35000"), ("十萬", "十萬"), ("两百三十", "230"), ("幾十個", "幾十個"), ("二零二", "二零二"), ("七千零二十", "7020"), ("十月二十二號", "十月22號"), ("四個", "四個"), ("百五", "百五"),
+    ],
+)
 def test_numerals(given, want):
     assert steps.numerals(given) == want
 
 
+def test_line_breaks():
+    a, b = "甲" * 8, "乙" * 20
+    assert steps.break_line("甲" * 21) == "甲" * 21
+    assert steps.break_line(f"{a}，{b}") == f"{a}，\n{b}"
+    assert steps.break_line("甲" * 21 + "，" + "乙" * 8, is_word=lambda x: True) == "甲" * 21 + "，\n" + "乙" * 8  # the last place of the second pass
+    assert steps.break_line(f"{a} ，{b}，", is_word=lambda x: True) == f"{a} ，\n{b}，"
+    assert steps.break_line("甲" * 12 + " " + "乙" * 14, is_word=lambda x: True) == "甲" * 12 + " \n" + "乙" * 14  # the blank stays
+    assert steps.break_line("甲" * 10 + "-" + "乙" * 14, is_word=lambda x: True) == "甲" * 10 + "-\n" + "乙" * 14
+    assert steps.break_line("甲" * 30) == "甲" * 16 + "\n" + "甲" * 14
+    assert steps.break_line("a" * 30) == "a" * 30
+
+
+def test_character_classes(spark):
+    rows = spark.createDataFrame([("a",), ("７",), ("甲",), ("é",), ("，",), ("。",), ("-",), ("\u3000",)], "c string")
+    got = {r.c: (r.x, r.y) for r in rows.select("c", text.is_non_chinese(F.col("c")).alias("x"), text.is_punctuation(F.col("c")).alias("y")).collect()}
+    assert {c for c, (x, _) in got.items() if x} == {"a", "７"} and {c for c, (_, y) in got.items() if y} == {"，", "-", "\u3000"}
+
+
 def test_line_breaks():
     assert steps.break_line("短句", 18) == "短句"
     assert steps.break_line("一二三四五六，七八九十一二三四五六七", 10) == "一二三四五六，\n七八九十一二三四五六七"
