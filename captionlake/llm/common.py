@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -117,8 +118,13 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about `most` bytes of text, so that memory follows the longest text, not the batch."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows of about `most` bytes of text, so that memory follows the longest text, not the batch.
+
+    keep: the caller uses what the worker has held(); else that goes first.
+    """
+    if not keep:
+        _held.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -128,7 +134,30 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: in
             end = max(begin + 1, int(np.searchsorted(offs, offs[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    if sum(x.nbytes for x in _powers.values()) > 16 << 20:
+        _powers.clear()  # a very long text has passed
+    _trim()
+
+
+_held: list[tuple[object, object]] = []
+
+
+def held(key, make):
+    """make(), kept for all tasks of a Python worker until one asks for another key: a worker holds one large table at a time."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _trim()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def _trim() -> None:
+    """Give back memory that is free."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[pa.RecordBatch]]:

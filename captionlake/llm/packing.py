@@ -14,7 +14,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import Memo, Scratch, partitions, slices
+from captionlake.llm.common import Memo, Scratch, held, partitions, slices
 
 CAPACITY = 2048
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -30,7 +29,6 @@ _WS = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
-@cache
 def _library(path: str):
     from tokenizers import Tokenizer
 
@@ -40,7 +38,6 @@ def _library(path: str):
     return tok
 
 
-@cache
 def _merger(path: str):
     """The same vocabulary and merge order in a library with a cheaper call; None where that is not proved.
 
@@ -85,10 +82,9 @@ class Ids(Memo):
         return b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
 
 
-@cache
 def ids_of(path: str) -> Ids:
     """One table for all tasks of a Python worker."""
-    return Ids(path)
+    return held(("ids", path), lambda: Ids(path))
 
 
 def piece_starts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -103,7 +99,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = ids_of(path), end_id.to_bytes(4, "little")
-        for part in slices(batches):
+        for part in slices(batches, keep=True):
             rows = []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 data = memoryview(ids.encode(text or "") + end)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import Memo, Scratch, slices
+from captionlake.llm.common import Memo, Scratch, held, slices
 
 #: What a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "§": "s", "¢": "c", "#": "h", "%": "o", "&": "a"}
@@ -199,14 +199,9 @@ class Scorer(Memo):
         return self.model.score(found)
 
 
-_scorer: list[Scorer] = []
-
-
 def scorer_of(model: Model) -> Scorer:
     """One table for all tasks of a Python worker that score by the same model."""
-    if not _scorer or (_scorer[0].model.bias, _scorer[0].model.features) != (model.bias, model.features) or not np.array_equal(_scorer[0].model.lm, model.lm):
-        _scorer[:] = [Scorer(model)]
-    return _scorer[0]
+    return held(("scorer", model.bias, tuple(model.features.items()), model.lm.tobytes()), lambda: Scorer(model))
 
 
 def chosen_features(found: DataFrame, n_pos: int, n: int, settings: Settings) -> list[int]:
@@ -297,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for part in slices(batches):
+        for part in slices(batches, keep=True):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([scorer.score(x or "") for x in part.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -310,7 +305,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for part in slices(batches, at):
+        for part in slices(batches, at, keep=True):
             yield part.filter(pa.array([scorer.score(x or "") < threshold for x in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 @given(TEXT)
 @settings(max_examples=400, deadline=None)
 def test_chunked_ids_are_the_librarys(text):
-    ids = packing.Ids(BPE)
+    ids = packing.ids_of(BPE)
     assert ids.encode(text) == ids.whole(text)
 
 
@@ -136,7 +136,7 @@ def test_packed_documents(spark):
     tokens = sum(r.length for r in rows)
     assert len(by) <= -(-tokens // 2048) + 1
     long = sorted((r for r in rows if r.doc_id == 5), key=lambda r: r.piece)
-    assert [r.length for r in long][1:] == [2048] * (len(long) - 1) and sum(r.length for r in long) == len(packing.Ids(BPE).whole(texts[5])) // 4 + 1
+    assert [r.length for r in long][1:] == [2048] * (len(long) - 1) and sum(r.length for r in long) == len(packing.ids_of(BPE).whole(texts[5])) // 4 + 1
     assert sum(r.doc_id == 3 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
     assert packing.pack_documents(docs.limit(0), BPE).count() == 0
 
