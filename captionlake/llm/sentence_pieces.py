@@ -126,27 +126,28 @@ class Window:
 
     def read(self, text: str) -> list[int]:
         """Read on; the ids that are certain now and were not before."""
-        m, trie, out = self.m, self.m.trie, []
-        back, hang, live, at = self.back, self.hang, self.live, self.at
+        m, trie, ids, out = self.m, self.m.trie, self.m.ids, []
+        back, hang, live, at, done, tail = self.back, self.hang, self.live, self.at, self.done, self.tail
         for c in text:
             if c not in trie:
-                self.at = at
+                self.at, self.done, self.tail = at, done, tail
                 out += self.rest()
                 out += [m.bytes[b] for b in c.encode()]
-                at = self.at = at + 1
+                self.at += 1
                 self._empty("")
-                back, hang, live = self.back, self.hang, self.live
+                back, hang, live, at, done, tail = self.back, self.hang, self.live, self.at, self.done, self.tail
                 continue
             at += 1
             now, gone, piece = [], [], None
-            for s, nodes in live:
+            for begun in live:
+                s, nodes = begun
                 node = nodes.get(c)
                 if node is None:
                     gone.append(s)
                     continue
                 nodes, p, fits = node
-                if piece is None and p is not None:
-                    a = back[s] if s in back else self.tail
+                if p is not None and piece is None:
+                    a = tail if s == done else back[s]
                     fit = fits.get(a)
                     if fit is None:
                         fit = m.fit(fits, a, p)
@@ -162,17 +163,20 @@ class Window:
             now.append((at, trie))
             live = now
             for s in gone:
-                n = hang[s] = hang[s] - 1
-                while not n and s != self.done:
+                n = hang[s] - 1
+                while not n and s != done:
                     del hang[s]
                     s -= len(back.pop(s))
-                    n = hang[s] = hang[s] - 1
-            while live[0][0] != self.done and hang[self.done] == 1:
-                done = next(k for k, p in back.items() if k - len(p) == self.done)
-                del hang[self.done]
-                self.done, self.tail = done, back.pop(done)
-                out.append(m.ids[self.tail])
-        self.live, self.at = live, at
+                    n = hang[s] - 1
+                hang[s] = n
+            while hang[done] == 1 and live[0][0] != done:
+                for k, tail in back.items():
+                    if k - len(tail) == done:
+                        break
+                del hang[done], back[k]
+                done = k
+                out.append(ids[tail])
+        self.live, self.at, self.done, self.tail = live, at, done, tail
         return out
 
     def rest(self) -> list[int]:
@@ -188,7 +192,7 @@ class Segments(Memo):
     """A word with its mark -> the ids that an empty window commits for it when the next mark comes."""
 
     def __init__(self, m: Model) -> None:
-        super().__init__(500_000)  # words are many; about 250 MB a worker
+        super().__init__(900_000)  # words are many; about 400 MB a worker
         self.model = m
 
     def compute(self, key: str) -> bytes:
