@@ -88,7 +88,9 @@ def in_vocabulary(text: Column, vocabulary: list[str], split_chars: str = SPLIT_
     lead = F.length(lower) - F.length(F.regexp_replace(lower, r"(?U)^\s+", ""))
     end = F.length(F.regexp_replace(lower, r"(?U)\s+$", ""))
     chars = F.transform(F.split(lower, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    return F.filter(chars, lambda x: (x["i"] >= lead) & (x["i"] < end) & x["c"].isin(*vocabulary, *split_chars))
+    # the slice is taken once; in the filter, both ends would be searched for again at every character
+    inner = F.slice(chars, lead + 1, F.greatest(end - lead, F.lit(0)))
+    return F.filter(inner, lambda x: x["c"].isin(*vocabulary, *split_chars))
 
 
 def tokens(chars: Column, ids: dict[str, int], blank: int = 0) -> Column:
@@ -107,6 +109,13 @@ def strip_thinking(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance. Bands of 8 and 64 edits are tried first: they take time in proportion to the length, the whole
+    table by its square. The result is exact in every case."""
+    close = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
+    return F.coalesce(close(8), close(64), F.levenshtein(a, b))
+
+
 def accept_rewrite(primary: Column, response: Column, ratio: float = 2.5) -> Column:
     """The response's first line; the primary where that is empty, begins with 【 or is over `ratio` times as long."""
     line = first_line(response)
@@ -119,7 +128,7 @@ def accept_reference(primary: Column, response: Column, semantic: bool = False,
     line = first_line(response)
     chars = lambda x: F.array_intersect(F.split(x, ""), F.split(F.lit(guarded), ""))
     lost = F.size(F.filter(F.array_except(chars(primary), chars(line)), lambda c: c != "")) > 0
-    far = F.levenshtein(primary, line) / F.greatest(F.length(primary), F.lit(1)) > (0.6 if semantic else 0.4)
+    far = edit_distance(primary, line) / F.greatest(F.length(primary), F.lit(1)) > (0.6 if semantic else 0.4)
     bad = (line == "") | line.startswith("【") | (F.length(line) > F.length(primary) * length_ratio) | far | lost
     return F.when(bad, primary).otherwise(line)
 

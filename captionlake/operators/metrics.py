@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from captionlake.functions.text import edit_distance
+
 
 def char_error_rate(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", by: list[str] | None = None) -> DataFrame:
     """Edits over reference characters, of all pairs or by group: edits, chars, cer."""
-    rows = pairs.select(*(by or []), F.levenshtein(hypothesis, reference).alias("d"), F.length(reference).alias("n"))
+    rows = pairs.select(*(by or []), edit_distance(F.col(hypothesis), F.col(reference)).alias("d"), F.length(reference).alias("n"))
     out = rows.groupBy(*(by or [])).agg(F.sum("d").alias("edits"), F.sum("n").alias("chars"))
     return out.withColumn("cer", F.when(F.col("chars") > 0, F.col("edits") / F.col("chars")))
 

@@ -431,9 +431,12 @@ def caption_parts(column: str):
 BASIC = (rules.Rule("[\r\n\t]+", " "), rules.Rule("[*#$%&]{2,}", ""), rules.Rule("([.,!?])[.,!?]+", r"\1"), rules.Rule(" {2,}", " "), rules.Rule(r"(\w+)ing\b", r"\1in'"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '[*#$%&]{2,}', '', 'g'), '([.,!?])[.,!?]+', '\1', 'g'), ' {2,}', ' ', 'g'), '([\p{L}\p{M}\p{Nd}_\p{Pc}]+)ing(?:$|\b)', '\1in''', 'g')) AS cleaned FROM documents WHERE lang = 'en'")
+_WORD = r"\p{L}\p{M}\p{Nd}_\p{Pc}"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '[*#$%&]{{2,}}', '', 'g'), '([.,!?])[.,!?]+', '\1', 'g'), ' {{2,}}', ' ', 'g'), '([{_WORD}]+)ing($|[^{_WORD}])', '\1in''\2', 'g')) AS cleaned FROM documents")
 def rules_basic(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.md5(rules.apply_rules(F.col("text"), BASIC)).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(rules.apply_rules(F.col("text"), BASIC)).alias("cleaned"))
 
 
 @query()
@@ -462,11 +465,12 @@ def question_class(spark, sf):
     return rows.groupBy("doc_id").agg(F.count_if(text.is_question(F.col("part"), ".", ("th", "ou"), "on")).alias("questions"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, regexp_extract(w, '[aeiou]+$') AS run, length(w) - length(regexp_extract(w, '[aeiou]+$')) AS at FROM (SELECT doc_id, regexp_extract(text, '[a-zA-Z]+') AS w FROM documents WHERE lang = 'en')")
+@query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w, generate_subscripts(regexp_extract_all(text, '\p{L}+'), 1) - 1 AS word FROM documents) SELECT doc_id, word, regexp_extract(w, '[aeiou]+$') AS run, length(w) - length(regexp_extract(w, '[aeiou]+$')) AS at FROM w")
 def trailing_particles(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.regexp_extract("text", "[a-zA-Z]+", 0).alias("w"))
+    """Every word of every document."""
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word", "w"))
     _, run, at = text.trailing_particles(F.col("w"), "aeiou")
-    return w.select("doc_id", run.alias("run"), at.cast("bigint").alias("at"))
+    return w.select("doc_id", "word", run.alias("run"), at.cast("bigint").alias("at"))
 
 
 @query()
@@ -493,57 +497,57 @@ def sentence_spans(spark, sf):
     return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("i") + 1) * (F.col("x.b") - F.col("x.a"))).cast("bigint").alias("weighted"))
 
 
-_ASCII = "d AS (SELECT doc_id, left(text, 60) AS a, substring(text, 3, 60) AS b FROM documents WHERE lang = 'en' AND regexp_full_match(left(text, 70), '[ -~]*'))"
-
-
-def ascii_pairs(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").where(F.left("text", F.lit(70)).rlike(r"\A[ -~]*\z"))
-    return d.select("doc_id", F.left("text", F.lit(60)).alias("a"), F.substring("text", 3, 60).alias("b"))
+def shifted_lines(spark, sf):
+    """Every caption line of every document, and the line without its first two characters."""
+    d = table(spark, sf, "documents").select("doc_id", caption_parts("text"))
+    return d.select("doc_id", "part", F.col("line").alias("a"), F.expr("substring(line, 3)").alias("b"))
 
 
-@query(f"WITH {_ASCII} SELECT doc_id, CAST(levenshtein(a, b) AS BIGINT) AS distance FROM d")
+@query()
 def edit_distance(spark, sf):
-    return ascii_pairs(spark, sf).select("doc_id", F.levenshtein("a", "b").cast("bigint").alias("distance"))
+    return shifted_lines(spark, sf).select("doc_id", "part", text.edit_distance(F.col("a"), F.col("b")).cast("bigint").alias("distance"))
 
 
-@query(
-    f"""WITH {_ASCII}, r AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN b WHEN 1 THEN '' WHEN 2 THEN a || a ELSE replace(a, 'e', 'x') END AS resp FROM d)
- SELECT doc_id, CASE WHEN trim(resp) = '' OR length(trim(resp)) > length(a) * 1.5 OR levenshtein(a, trim(resp)) / length(a) > 0.4 OR (a LIKE '%e%' AND trim(resp) NOT LIKE '%e%') OR (a LIKE '%o%' AND trim(resp) NOT LIKE '%o%') THEN a ELSE trim(resp) END AS accepted FROM r WHERE length(a) > 0"""
-)
+@query()
 def sanitize(spark, sf):
-    r = F.when(F.col("doc_id") % 4 == 0, F.col("b")).when(F.col("doc_id") % 4 == 1, F.lit("")).when(F.col("doc_id") % 4 == 2, F.concat("a", "a")).otherwise(F.replace(F.col("a"), F.lit("e"), F.lit("x")))
-    return ascii_pairs(spark, sf).where("length(a) > 0").select("doc_id", text.accept_reference(F.col("a"), r, guarded="eo").alias("accepted"))
+    r = F.when(F.col("part") % 4 == 0, F.col("b")).when(F.col("part") % 4 == 1, F.lit("")).when(F.col("part") % 4 == 2, F.concat("a", "a")).otherwise(F.replace(F.col("a"), F.lit("e"), F.lit("x")))
+    return shifted_lines(spark, sf).select("doc_id", "part", text.accept_reference(F.col("a"), r, guarded="eo").alias("accepted"))
 
 
-_WORDS = "w AS (SELECT doc_id, string_split(regexp_replace(left(text, 80), '\\s+', ' ', 'g'), ' ') AS w, text FROM documents WHERE lang = 'en')"
+def substitution_lines(spark, sf):
+    """Every word of every document, four to a line, with a response made of them."""
+    w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    fours = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int")), lambda k: F.slice("w", k * 4 + 1, F.lit(4)))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", w.alias("w")).select("doc_id", F.posexplode(fours).alias("line", "w"))
+    at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
+    resp = F.concat(at(1), F.lit("→"), at(2), F.lit("\nno arrow\n"), at(3), F.lit("→"), at(3), F.lit("\n"), at(4), F.lit("→ok"))
+    return d.select("doc_id", "line", F.array_join("w", " ").alias("text"), resp.alias("resp"))
 
 
-def substitution_rows(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text", F.split(F.regexp_replace(F.left("text", F.lit(80)), r"\s+", " "), " ").alias("w"))
-    at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
-    return d.select("doc_id", "text", F.concat(at(1), F.lit("→"), at(2), F.lit("\nno arrow\n"), at(3), F.lit("→"), at(3), F.lit("\n"), at(4), F.lit("→ok")).alias("resp"))
+_FOURS = r"""t AS (SELECT doc_id, string_split(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' ') AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT *, unnest(range((len(w) + 3) // 4)) AS line FROM t),
+ l AS (SELECT doc_id, line, array_to_string(list_slice(w, line * 4 + 1, line * 4 + 4), ' ') AS text, coalesce(w[line * 4 + 1], '') AS w1, coalesce(w[line * 4 + 2], '') AS w2, coalesce(w[line * 4 + 4], '') AS w4 FROM k)"""
 
 
 @query(
-    f"""WITH {_WORDS}, p AS (SELECT doc_id, unnest([{{'k': 1, 'x': coalesce(w[1], ''), 'y': coalesce(w[2], '')}}, {{'k': 2, 'x': coalesce(w[4], ''), 'y': 'ok'}}]) AS s FROM w)
- SELECT doc_id, s.x AS wrong, s.y AS "right" FROM p WHERE length(s.x) >= 2 AND s.x <> s.y"""
+    f"""WITH {_FOURS}, p AS (SELECT doc_id, line, unnest([{{'x': w1, 'y': w2}}, {{'x': w4, 'y': 'ok'}}]) AS s FROM l)
+ SELECT doc_id, line, s.x AS wrong, s.y AS "right" FROM p WHERE length(s.x) >= 2 AND s.x <> s.y"""
 )
 def parse_substitutions(spark, sf):
-    rows = substitution_rows(spark, sf).select("doc_id", F.explode(text.parse_substitutions(F.col("resp"))).alias("p"))
-    return rows.select("doc_id", F.col("p.wrong").alias("wrong"), F.col("p.right").alias("right"))
+    rows = substitution_lines(spark, sf).select("doc_id", "line", F.explode(text.parse_substitutions(F.col("resp"))).alias("p"))
+    return rows.select("doc_id", "line", F.col("p.wrong").alias("wrong"), F.col("p.right").alias("right"))
 
 
 @query(
-    f"""WITH {_WORDS}, a AS (SELECT doc_id, CASE WHEN length(coalesce(w[1], '')) >= 2 AND w[1] <> coalesce(w[2], '') THEN replace(text, w[1], coalesce(w[2], '')) ELSE text END AS t, w FROM w)
- SELECT doc_id, md5(CASE WHEN length(coalesce(w[4], '')) >= 2 AND w[4] <> 'ok' THEN replace(t, w[4], 'ok') ELSE t END) AS fixed FROM a"""
+    f"""WITH {_FOURS}, a AS (SELECT doc_id, line, CASE WHEN length(w1) >= 2 AND w1 <> w2 THEN replace(text, w1, w2) ELSE text END AS t, w4 FROM l)
+ SELECT doc_id, line, md5(CASE WHEN length(w4) >= 2 AND w4 <> 'ok' THEN replace(t, w4, 'ok') ELSE t END) AS fixed FROM a"""
 )
 def apply_substitutions(spark, sf):
-    return substitution_rows(spark, sf).select("doc_id", F.md5(text.apply_substitutions(F.col("text"), text.parse_substitutions(F.col("resp")))).alias("fixed"))
+    return substitution_lines(spark, sf).select("doc_id", "line", F.md5(text.apply_substitutions(F.col("text"), text.parse_substitutions(F.col("resp")))).alias("fixed"))
 
 
-@query(f"WITH {_ASCII} SELECT doc_id % 10 AS grp, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(length(b)) AS BIGINT) AS chars, round(sum(levenshtein(a, b)) / sum(length(b)), 6) AS cer FROM d GROUP BY ALL")
+@query()
 def char_error_rate(spark, sf):
-    rows = ascii_pairs(spark, sf).select((F.col("doc_id") % 10).alias("grp"), F.col("a").alias("hypothesis"), F.col("b").alias("reference"))
+    rows = shifted_lines(spark, sf).select((F.col("doc_id") % 10).alias("grp"), F.col("a").alias("hypothesis"), F.col("b").alias("reference"))
     return metrics.char_error_rate(rows, by=["grp"]).withColumn("cer", F.round("cer", 6))
 
 
@@ -553,12 +557,12 @@ def removable_lines(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT doc_id, unnest(string_split(lower(left(text, 40)), '')) AS ch, generate_subscripts(string_split(left(text, 40), ''), 1) AS i FROM documents WHERE lang = 'en'), v AS (SELECT * FROM (VALUES ('a', 1), ('e', 2), ('o', 3), ('t', 4), ('h', 5)) x(ch, id))
- SELECT doc_id, string_agg(CAST(coalesce(v.id, 0) AS VARCHAR), ' ' ORDER BY i) AS ids FROM c LEFT JOIN v USING (ch) WHERE ch IN ('a', 'e', 'o', 't', 'h', '.') GROUP BY doc_id"""
+    """WITH v AS (SELECT doc_id, regexp_replace(lower(text), '[^aeoth.]', '', 'g') AS c FROM documents)
+ SELECT doc_id, array_to_string(string_split(translate(c, 'aeoth.', '123450'), ''), ' ') AS ids FROM v WHERE c <> ''"""
 )
 def vocabulary_tokens(spark, sf):
     vocab = {"a": 1, "e": 2, "o": 3, "t": 4, "h": 5}
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", text.in_vocabulary(F.left("text", F.lit(40)), list(vocab), ".").alias("c")).where("size(c) > 0")
+    d = table(spark, sf, "documents").select("doc_id", text.in_vocabulary(F.col("text"), list(vocab), ".").alias("c")).where("size(c) > 0")
     return d.select("doc_id", F.array_join(F.transform(text.tokens(F.col("c.c"), vocab), lambda x: x.cast("string")), " ").alias("ids"))
 
 
@@ -567,72 +571,6 @@ def media_paths(spark, sf):
     return table(spark, sf, "pages").select("page_id", media.is_media(F.regexp_replace("url", "[?#].*$", ""), ("html", "mp4")).alias("wanted"))
 
 
-# ------------------------------------- whole texts of all rows, where the SQL above holds a prefix of some
-
-
-@query()
-def rules_basic_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(rules.apply_rules(F.col("text"), BASIC)).alias("cleaned"))
-
-
-@query()
-def trailing_particles_whole(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word", "w"))
-    _, run, at = text.trailing_particles(F.col("w"), "aeiou")
-    return w.select("doc_id", "word", run.alias("run"), at.cast("bigint").alias("at"))
-
-
-def shifted_lines(spark, sf):
-    """Every caption line of every document, and the line without its first two characters."""
-    d = table(spark, sf, "documents").select("doc_id", caption_parts("text"))
-    return d.select("doc_id", "part", F.col("line").alias("a"), F.expr("substring(line, 3)").alias("b"))
-
-
-@query()
-def edit_distance_whole(spark, sf):
-    return shifted_lines(spark, sf).select("doc_id", "part", F.levenshtein("a", "b").cast("bigint").alias("distance"))
-
-
-@query()
-def sanitize_whole(spark, sf):
-    r = F.when(F.col("part") % 4 == 0, F.col("b")).when(F.col("part") % 4 == 1, F.lit("")).when(F.col("part") % 4 == 2, F.concat("a", "a")).otherwise(F.replace(F.col("a"), F.lit("e"), F.lit("x")))
-    return shifted_lines(spark, sf).select("doc_id", "part", text.accept_reference(F.col("a"), r, guarded="eo").alias("accepted"))
-
-
-@query()
-def char_error_rate_whole(spark, sf):
-    rows = shifted_lines(spark, sf).select((F.col("doc_id") % 10).alias("grp"), F.col("a").alias("hypothesis"), F.col("b").alias("reference"))
-    return metrics.char_error_rate(rows, by=["grp"]).withColumn("cer", F.round("cer", 6))
-
-
-def substitution_lines(spark, sf):
-    """Every word of every document, four to a line, with a response made of them."""
-    w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    fours = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int")), lambda k: F.slice("w", k * 4 + 1, F.lit(4)))
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", w.alias("w")).select("doc_id", F.posexplode(fours).alias("line", "w"))
-    at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
-    resp = F.concat(at(1), F.lit("→"), at(2), F.lit("\nno arrow\n"), at(3), F.lit("→"), at(3), F.lit("\n"), at(4), F.lit("→ok"))
-    return d.select("doc_id", "line", F.array_join("w", " ").alias("text"), resp.alias("resp"))
-
-
-@query()
-def parse_substitutions_whole(spark, sf):
-    rows = substitution_lines(spark, sf).select("doc_id", "line", F.explode(text.parse_substitutions(F.col("resp"))).alias("p"))
-    return rows.select("doc_id", "line", F.col("p.wrong").alias("wrong"), F.col("p.right").alias("right"))
-
-
-@query()
-def apply_substitutions_whole(spark, sf):
-    return substitution_lines(spark, sf).select("doc_id", "line", F.md5(text.apply_substitutions(F.col("text"), text.parse_substitutions(F.col("resp")))).alias("fixed"))
-
-
-@query()
-def vocabulary_tokens_whole(spark, sf):
-    vocab = {"a": 1, "e": 2, "o": 3, "t": 4, "h": 5}
-    d = table(spark, sf, "documents").select("doc_id", text.in_vocabulary(F.col("text"), list(vocab), ".").alias("c")).where("size(c) > 0")
-    return d.select("doc_id", F.array_join(F.transform(text.tokens(F.col("c.c"), vocab), lambda x: x.cast("string")), " ").alias("ids"))
-
-
 # --------------------------------------------------------- kernels and layers
 
 

@@ -59,12 +59,12 @@ def test_lines_are_the_whole_text(spark, sf):
 
 def test_edit_distance_and_error_rate(spark, sf):
     want = [(d, k, distance(x, x[2:])) for d, k, x in LINES]
-    assert found(spark, sf, "edit_distance_whole") == sorted(want)
+    assert found(spark, sf, "edit_distance") == sorted(want)
     sums = {}
     for (d, _, n), (_, _, x) in zip(want, LINES, strict=True):
         e, c = sums.get(d % 10, (0, 0))
         sums[d % 10] = (e + n, c + len(x[2:]))
-    assert found(spark, sf, "char_error_rate_whole") == sorted((g, e, c, round(e / c, 6)) for g, (e, c) in sums.items())
+    assert found(spark, sf, "char_error_rate") == sorted((g, e, c, round(e / c, 6)) for g, (e, c) in sums.items())
 
 
 def test_sanitize(spark, sf):
@@ -75,7 +75,7 @@ def test_sanitize(spark, sf):
         lost = any(c in x and c not in line for c in "eo")
         bad = not line or line.startswith("【") or len(line) > 1.5 * len(x) or distance(x, line) / len(x) > 0.4 or lost
         want.append((d, k, x if bad else line))
-    assert found(spark, sf, "sanitize_whole") == sorted(want)
+    assert found(spark, sf, "sanitize") == sorted(want)
     assert any(got != x for (_, _, got), (_, _, x) in zip(want, LINES, strict=True))
 
 
@@ -93,8 +93,8 @@ def test_substitutions(spark, sf):
                     pairs.append((d, k // 4, wrong, right))
                     line = line.replace(wrong, right)
             fixed.append((d, k // 4, md5(line)))
-    assert found(spark, sf, "parse_substitutions_whole") == sorted(pairs)
-    assert found(spark, sf, "apply_substitutions_whole") == sorted(fixed)
+    assert found(spark, sf, "parse_substitutions") == sorted(pairs)
+    assert found(spark, sf, "apply_substitutions") == sorted(fixed)
 
 
 def test_words_rules_and_vocabulary(spark, sf):
@@ -103,12 +103,12 @@ def test_words_rules_and_vocabulary(spark, sf):
         for k, w in enumerate(re.findall(r"[^\W\d_]+", t or "")):
             run = re.search("[aeiou]*$", w)[0]
             want.append((d, k, run, len(w) - len(run)))
-    assert found(spark, sf, "trailing_particles_whole") == sorted(want)
-    cleaned = {r.doc_id: r.cleaned for r in queries.QUERIES["rules_basic_whole"](spark, sf).collect()}
+    assert found(spark, sf, "trailing_particles") == sorted(want)
+    cleaned = {r.doc_id: r.cleaned for r in queries.QUERIES["rules_basic"](spark, sf).collect()}
     assert cleaned == {d: None if t is None else md5(rules.apply_rules_python(t, queries.BASIC)) for d, t, _ in DOCS}
     ids = dict(zip("aeoth.", "123450", strict=True))
     texts = {d: [ids[c] for c in (t or "").lower() if c in ids] for d, t, _ in DOCS}
-    assert found(spark, sf, "vocabulary_tokens_whole") == sorted((d, " ".join(x)) for d, x in texts.items() if x)
+    assert found(spark, sf, "vocabulary_tokens") == sorted((d, " ".join(x)) for d, x in texts.items() if x)
 
 
 def test_every_line_of_a_turn_is_broken(spark, sf):
