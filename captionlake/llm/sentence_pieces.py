@@ -6,9 +6,9 @@ two. So the search runs over the same lattice with that condition in place of a
 backpointer, namely the last piece of the encoding of the text up to there.
 
 A window holds the boundaries that a later piece can still reach: those from which the text read so far begins some piece,
-none further back than the longest piece, and those on the paths to them. Each boundary counts what hangs on it; one on
-which nothing hangs any more goes, and as soon as a single path leaves the oldest boundary, its piece is certain and its id
-is committed. Characters outside the vocabulary are bytes and end every path. A text is read once, from left to right;
+none further back than the longest piece, and those on the paths to them. Each boundary knows where its path leaves the
+last certain one; as soon as all paths that a later piece can still continue leave it by the same piece, that piece is
+certain, its id is committed, and what lies before its end goes. Characters outside the vocabulary are bytes and end every path. A text is read once, from left to right;
 where the window is empty before a mark, what it committed for the same word before is taken from a table.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -49,19 +50,37 @@ class Model:
         self.pieces = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses a word boundary")
-        #: character -> [the same of longer pieces, the piece that ends here, whether it is compatible with a piece before it]
-        self.trie: dict[str, list] = {}
-        for p in self.ids:
-            nodes = self.trie
-            for c in p:
-                node = nodes.setdefault(c, [{}, None, {}])
-                nodes = node[0]
-            node[1] = p
-        if any(node[1] is None for node in self.trie.values()):
-            raise ValueError("a piece begins with a character that is none itself")
+        self.fits: dict[str, dict[str, bool]] = {p: {} for p in self.ids}  # piece -> whether it is compatible with a piece before it
+        self.start = self._automaton()
         self.pairs = 0
         self.segments = Segments(self)
 
+    def _automaton(self) -> list:
+        """Nodes for the longest end of the text read so far that begins some piece. A node has the nodes of one more
+        character, the pieces that end here, longest first, as (length, piece, its fits), how far back the boundaries lie
+        from which a longer piece may come, furthest first, and the node of the next shorter such end."""
+        start: list = [{}, (), (0,), None]
+        for p in self.ids:
+            node = start
+            for c in p:
+                node = node[0].setdefault(c, [{}, (), (), start])
+            node[1] = ((len(p), p, self.fits[p]),)
+        if any(c not in start[0] or not start[0][c][1] for p in self.ids for c in p):
+            raise ValueError("a piece holds a character that is none itself")
+        level, depth = [(c, start, node) for c, node in start[0].items()], 1
+        while level:
+            below = []
+            for c, parent, node in level:
+                shorter = parent[3]
+                while shorter is not None and c not in shorter[0]:
+                    shorter = shorter[3]
+                node[3] = start if shorter is None else shorter[0][c]
+                node[1] += node[3][1]
+                node[2] = ((depth,) if node[0] else ()) + node[3][2]
+                below += [(d, node, n) for d, n in node[0].items()]
+            level, depth = below, depth + 1
+        return start
+
     def merge(self, text: str) -> list[str]:
         """Plain BPE, for the joint text of two pieces: the best-ranked, then leftmost, pair first."""
         parts = list(text)
@@ -82,11 +101,9 @@ class Model:
         """compatible(), kept in fits, which is b's; at most MOST_PAIRS are kept."""
         self.pairs += 1
         if self.pairs > MOST_PAIRS:
-            self.pairs, todo = 0, [self.trie]
-            while todo:
-                for node in todo.pop().values():
-                    node[2].clear()
-                    todo.append(node[0])
+            self.pairs = 0
+            for known in self.fits.values():
+                known.clear()
         out = fits[a] = self.compatible(a, b)
         return out
 
@@ -114,75 +131,74 @@ class Window:
     """The boundaries that the search still needs; see the module."""
 
     def __init__(self, m: Model) -> None:
-        self.m, self.at = m, 0
+        self.m, self.done = m, 0
         self._empty("")
 
+    @property
+    def at(self) -> int:
+        """Characters read."""
+        return self.done + len(self.back) - 1
+
     def _empty(self, tail: str) -> None:
-        """Everything up to `at` is certain; tail is the piece that ends there, or nothing after bytes."""
-        self.done, self.tail = self.at, tail
-        self.back: dict[int, str] = {}  # boundary -> last piece of the encoding up to it
-        self.hang = {self.at: 1}  # boundary -> pieces that start there, and 1 while a later one may
-        self.live = [(self.at, self.m.trie)]  # boundaries where a later piece may start, oldest first; the pieces begun there
+        """Everything read is certain; tail is the piece that ends there, or nothing after bytes."""
+        self.back = [tail]  # boundary, counted from `done` -> last piece of the encoding up to it
+        self.first = [0]  # boundary -> the first one on the path to it from `done`
+        self.node = self.m.start
 
     def read(self, text: str) -> list[int]:
         """Read on; the ids that are certain now and were not before."""
-        m, trie, ids, out = self.m, self.m.trie, self.m.ids, []
-        back, hang, live, at, done, tail = self.back, self.hang, self.live, self.at, self.done, self.tail
+        m, start, ids, out = self.m, self.m.start, self.m.ids, []
+        back, first, node, n = self.back, self.first, self.node, len(self.back) - 1
         for c in text:
-            if c not in trie:
-                self.at, self.done, self.tail = at, done, tail
+            after = node[0].get(c)
+            while after is None and node is not start:
+                node = node[3]
+                after = node[0].get(c)
+            if after is None:
                 out += self.rest()
                 out += [m.bytes[b] for b in c.encode()]
-                self.at += 1
+                self.done += n + 1
                 self._empty("")
-                back, hang, live, at, done, tail = self.back, self.hang, self.live, self.at, self.done, self.tail
+                back, first, n = self.back, self.first, 0
                 continue
-            at += 1
-            now, gone, piece = [], [], None
-            for begun in live:
-                s, nodes = begun
-                node = nodes.get(c)
-                if node is None:
-                    gone.append(s)
-                    continue
-                nodes, p, fits = node
-                if p is not None and piece is None:
-                    a = tail if s == done else back[s]
-                    fit = fits.get(a)
-                    if fit is None:
-                        fit = m.fit(fits, a, p)
-                    if fit:
-                        piece, start = p, s
-                if nodes:
-                    now.append((s, nodes))
-                else:
-                    gone.append(s)
-            back[at] = piece
-            hang[start] += 1
-            hang[at] = 1
-            now.append((at, trie))
-            live = now
-            for s in gone:
-                n = hang[s] - 1
-                while not n and s != done:
-                    del hang[s]
-                    s -= len(back.pop(s))
-                    n = hang[s] - 1
-                hang[s] = n
-            while hang[done] == 1 and live[0][0] != done:
-                for k, tail in back.items():
-                    if k - len(tail) == done:
+            node = after
+            n += 1
+            for size, piece, fits in node[1]:
+                a = back[n - size]
+                fit = fits.get(a)
+                if fit is None:
+                    fit = m.fit(fits, a, piece)
+                if fit:
+                    break
+            else:
+                raise ValueError("no piece fits")
+            back.append(piece)
+            first.append(first[n - size] or n)
+            open_ends = node[2]
+            while open_ends[0] < n:
+                k = first[n]
+                for d in open_ends:
+                    if first[n - d] != k:
                         break
-                del hang[done], back[k]
-                done = k
-                out.append(ids[tail])
-        self.live, self.at, self.done, self.tail = live, at, done, tail
+                else:
+                    d = -1
+                if d >= 0:
+                    break
+                out.append(ids[back[k]])
+                del back[:k], first[:k]
+                n -= k
+                self.done += k
+                first[0] = 0
+                for i in range(1, n + 1):  # a path that leaves before `done` stays at no boundary: nothing hangs on it
+                    s = i - len(back[i])
+                    first[i] = -1 if s < 0 else first[s] or i
+        self.node = node
         return out
 
     def rest(self) -> list[int]:
         """The ids that are certain if the text ends here."""
-        out, end = [], self.at
-        while end > self.done:
+        out, end = [], len(self.back) - 1
+        while end > 0:
             out.append(self.m.ids[self.back[end]])
             end -= len(self.back[end])
         return out[::-1]
@@ -197,14 +213,13 @@ class Segments(Memo):
 
     def compute(self, key: str) -> bytes:
         w = Window(self.model)
-        ids = w.read(key)
         if key[-1] == MARK:  # marks at the end of a text
-            ids += w.rest()
+            ids = w.read(key) + w.rest()
         else:
-            ids += w.read(MARK)
+            ids = w.read(key + MARK)
             if w.done != len(key):
                 raise ValueError("paths do not meet before a mark")
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
 
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
