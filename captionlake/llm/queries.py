@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionlake.llm import conversation_repair, jaccard_join, line_frequency, packing, sentence_pieces, sharding, substring_dedup, token_count, toxicity, transport_stream, url_filter
+from captionlake.llm import conversation_repair, jaccard_join, line_frequency, packing, sentence_pieces, sharding, source_divergence, substring_dedup, token_count, toxicity, transport_stream, url_filter
 from captionlake.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,12 +64,16 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversation_repair.digest(conversation_repair.damage(turns), turns)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces, op13_conversation_repair)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces, op12_source_divergence, op13_conversation_repair)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
