@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionlake.llm import conversation_repair, jaccard_join, line_frequency, packing, sentence_pieces, sharding, source_divergence, substring_dedup, token_count, toxicity, transport_stream, url_filter
+from captionlake.llm import conversation_repair, jaccard_join, line_frequency, packing, quality_machine, sentence_pieces, sharding, source_divergence, substring_dedup, token_count, toxicity, transport_stream, url_filter
 from captionlake.llm.common import small_batches
+from captionlake.llm.oracles import CONVERSATION_REPAIR, SOURCE_DIVERGENCE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +65,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, metadata = documents(spark, sf_dir), ("n_chars",)
+    return quality_machine.score(docs, quality_machine.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata), metadata)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir))
 
@@ -73,7 +79,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.damage(turns), turns)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces, op12_source_divergence, op13_conversation_repair)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_transport_stream, op3_jump_hash, op4_best_fit_packing, op5_jaccard_join, op6_line_frequency, op7_url_filter, op8_toxicity, op9_token_count, op10_sentence_pieces, op11_quality_machine, op12_source_divergence, op13_conversation_repair)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -107,4 +113,4 @@ _OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '
  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM o"""
 
 #: The others hash, score, tokenise or pack in ways that SQL can't express; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_jaccard_join": _OP5, "op6_line_frequency": _OP6}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_jaccard_join": _OP5, "op6_line_frequency": _OP6, "op12_source_divergence": SOURCE_DIVERGENCE, "op13_conversation_repair": CONVERSATION_REPAIR}
