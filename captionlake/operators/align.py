@@ -6,7 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from captionlake.functions import words
+from captionlake.functions.text import SPLIT_CHARS
+from captionlake.operators import intervals
 
 
 def trellis(emission: np.ndarray, tokens: list[int], blank: int = 0) -> np.ndarray:
@@ -58,13 +63,27 @@ def path_score(path: list[tuple[int, int, float]] | None) -> float:
     return float(np.mean([p for _, _, p in path])) if path else -np.inf
 
 
-def align_text(emission: np.ndarray, text: str, vocabulary: dict[str, int], start: float, end: float, blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None) -> tuple[str, list[dict]] | None:
-    """(text, timed characters) of a segment; characters outside the vocabulary have no times; None where alignment fails.
+def alignable(text: str, vocabulary: dict[str, int], blank: int = 0, split_chars: str = SPLIT_CHARS, spaced: bool = False) -> tuple[list[int], list[int]]:
+    """(places of the characters to align, their ids): those of the vocabulary and, as blanks, split characters; no outer blanks.
+
+    spaced: blanks between words are the vocabulary's "|".
+    """
+    first, last = len(text) - len(text.lstrip()), len(text.rstrip())
+    at, tokens = [], []
+    for i in range(first, last):
+        c = "|" if spaced and text[i] == " " else text[i].lower()
+        if c in split_chars or c in vocabulary:
+            at.append(i)
+            tokens.append(blank if c in split_chars else vocabulary[c])
+    return at, tokens
+
+
+def align_text(emission: np.ndarray, text: str, vocabulary: dict[str, int], start: float, end: float, blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None, split_chars: str = SPLIT_CHARS, spaced: bool = False) -> tuple[str, list[dict]] | None:
+    """(text, timed characters) of a segment; characters that are not alignable() have no times; None where alignment fails.
 
     candidates: for a character, others that may stand there with a bias; the best-scored one in its first frame is taken.
     """
-    at = [i for i, c in enumerate(text) if c.lower() in vocabulary]
-    tokens = [vocabulary[text[i].lower()] for i in at]
+    at, tokens = alignable(text, vocabulary, blank, split_chars, spaced)
     if not tokens or emission.shape[0] < len(tokens):
         return None
     path = backtrack(trellis(emission, tokens, blank), emission, tokens, blank)
@@ -74,33 +93,80 @@ def align_text(emission: np.ndarray, text: str, vocabulary: dict[str, int], star
     out = [{"char": c, "start": None, "end": None, "score": None} for c in text]
     for k, a, b, p in merge_path(path):
         i = at[k]
-        choice = [(c, bias) for c, bias in (candidates or {}).get(text[i], ()) if c in vocabulary]
+        choice = [(c, bias) for c, bias in (candidates or {}).get(text[i].lower(), ()) if c in vocabulary]
         if len(choice) > 1:
-            out[i]["char"] = max(choice, key=lambda x: emission[a, vocabulary[x[0]]] + x[1])[0]
+            best = max(choice, key=lambda x: emission[a, vocabulary[x[0]]] + x[1])[0]
+            out[i]["char"] = text[i] if best == text[i].lower() else best
         out[i] |= {"start": round(start + a * ratio, 3), "end": round(start + b * ratio, 3), "score": round(p, 3)}
     return "".join(x["char"] for x in out), out
 
 
-def align(segments: DataFrame, vocabulary: dict[str, int], blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None) -> DataFrame:
-    """file_id, seg_idx, pos, char, start, end, score, aligned. segments: file_id, seg_idx, start, end, text, emission (frames x ids).
+def _matrix(emission) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype=float) for x in emission]) if emission is not None and len(emission) else np.empty((0, 1))
+
 
-    A segment that can't be aligned gives one row with its own times and a null char. No shuffle: each row stands alone.
+def align_chars(segments: DataFrame, vocabulary: dict[str, int], blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None, split_chars: str = SPLIT_CHARS, spaced: bool = False) -> DataFrame:
+    """file_id, seg_idx, start, end, text, chars: chars is null where a segment can't be aligned. No shuffle: each row stands alone.
+
+    segments: file_id, seg_idx, start, end, text, emission (frames x ids).
     """
     kind = segments.schema["file_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                e = np.stack([np.asarray(x, dtype=float) for x in r.emission]) if r.emission is not None and len(r.emission) else np.empty((0, 1))
-                found = align_text(e, r.text or "", vocabulary, r.start, r.end, blank, candidates)
-                if found is None:
-                    rows.append((r.file_id, r.seg_idx, -1, None, r.start, r.end, None, False))
-                else:
-                    rows += [(r.file_id, r.seg_idx, i, x["char"], x["start"], x["end"], x["score"], True) for i, x in enumerate(found[1])]
-            yield pd.DataFrame(rows, columns=["file_id", "seg_idx", "pos", "char", "start", "end", "score", "aligned"])
-
-    return segments.select("file_id", "seg_idx", "start", "end", "text", "emission").mapInPandas(run, f"file_id {kind}, seg_idx long, pos long, char string, start double, end double, score double, aligned boolean")
+            found = [align_text(_matrix(r.emission), r.text or "", vocabulary, r.start, r.end, blank, candidates, split_chars, spaced) for r in f.itertuples(index=False)]
+            out = f[["file_id", "seg_idx", "start", "end"]].copy()
+            out["text"] = [x[0] if x else t for x, t in zip(found, f["text"], strict=True)]
+            out["chars"] = [x[1] if x else None for x in found]
+            yield out
+
+    return segments.select("file_id", "seg_idx", "start", "end", "text", "emission").mapInPandas(run, f"file_id {kind}, seg_idx long, start double, end double, text string, chars array<struct<char:string,start:double,end:double,score:double>>")
+
+
+def align(segments: DataFrame, vocabulary: dict[str, int], blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None, split_chars: str = SPLIT_CHARS, spaced: bool = False) -> DataFrame:
+    """file_id, seg_idx, pos, char, start, end, score, aligned: align_chars(), a row for each character.
+
+    A segment that can't be aligned gives one row with its own times and a null char.
+    """
+    lost = F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("char"), F.col("start"), F.col("end"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("aligned")))
+    good = F.transform("chars", lambda c, i: F.struct(i.cast("long").alias("pos"), c["char"].alias("char"), c["start"].alias("start"), c["end"].alias("end"), c["score"].alias("score"), F.lit(True).alias("aligned")))
+    return align_chars(segments, vocabulary, blank, candidates, split_chars, spaced).select("file_id", "seg_idx", F.inline(F.when(F.col("chars").isNull(), lost).otherwise(good)))
+
+
+def align_sentences(segments: DataFrame, vocabulary: dict[str, int], blank: int = 0, candidates: dict[str, list[tuple[str, float]]] | None = None, split_chars: str = SPLIT_CHARS, spaced: bool = False, interpolate: str = "nearest", keep_chars: bool = False) -> DataFrame:
+    """file_id, seg_idx, part, start, end, text, release_from, words (and chars of the segment): its sentences in order of time.
+
+    A segment that can't be aligned is one part with its own times and no words.
+    """
+    rows = align_chars(segments, vocabulary, blank, candidates, split_chars, spaced)
+    none = F.array(F.struct("text", "start", "end", F.lit(None).cast("double").alias("release_from"), F.array().cast(words.WORDS).alias("words")))
+    parts = F.when(F.col("chars").isNull(), none).otherwise(words.timed(words.sentences(F.col("chars"), spaced, split_chars), interpolate, spaced))
+    found = rows.select("file_id", "seg_idx", F.posexplode(parts).alias("part", "x"), *(["chars"] if keep_chars else []))
+    return found.select("file_id", "seg_idx", "part", "x.start", "x.end", "x.text", "x.release_from", "x.words", *(["chars"] if keep_chars else []))
+
+
+def flat_words(rows: DataFrame) -> DataFrame:
+    """file_id, word_idx, word, start, end, score: the words of a file's rows (file_id, seg_idx, words) in order, numbered from 0."""
+    each = rows.select("file_id", "seg_idx", F.posexplode("words").alias("k", "w")).select("file_id", "seg_idx", "k", "w.*")
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_idx", "k")) - 1
+    return each.select("file_id", number.cast("long").alias("word_idx"), "word", "start", "end", "score")
+
+
+def emissions_of(segments: DataFrame, heard: DataFrame) -> DataFrame:
+    """Add emission to segments (file_id, seg_idx, start, end): their frames of the interval in which they start, else null.
+
+    heard: file_id, vad_idx, start, end, frame_rate, emission (frames x ids). Frames are cut, and at least one is taken. What
+    starts in no interval, as beyond the end of the audio, has no emission, and align_sentences() leaves it its own times.
+    """
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    points = segments.select("file_id", "seg_idx", us("start").alias("t"))
+    spans = heard.select("file_id", F.col("vad_idx").alias("ref_idx"), us("start").alias("rs"), us("end").alias("re"))
+    found = intervals.point_in_interval(points, spans).select("file_id", "seg_idx", "vad_idx")
+    own = heard.select("file_id", "vad_idx", F.col("start").alias("_from"), "frame_rate", F.col("emission").alias("_whole"))
+    rows = segments.join(found, ["file_id", "seg_idx"], "left").join(own, ["file_id", "vad_idx"], "left")
+    first = ((F.col("start") - F.col("_from")) * F.col("frame_rate")).cast("int")
+    last = F.greatest(((F.col("end") - F.col("_from")) * F.col("frame_rate")).cast("int"), first + 1)
+    return rows.withColumn("emission", F.slice("_whole", F.greatest(first, F.lit(0)) + 1, last - F.greatest(first, F.lit(0)))).drop("vad_idx", "_from", "frame_rate", "_whole")
 
 
 def emission_slice(emission: np.ndarray, frame_rate: float, begin: float, end: float) -> np.ndarray:

@@ -1,32 +1,40 @@
-"""Ordered folds with carried state. A file is one group; each fold is one pass over its rows in order."""
+"""Ordered folds with carried state: each is one pass over a file's rows in order (see stream.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from captionlake.operators.stream import fold_rows
 
-def merge_chunks(segments: DataFrame, chunk_us: int) -> DataFrame:
-    """Greedy chunks: a segment whose end lies over chunk_us from the chunk's start begins the next, if the chunk has length.
 
-    segments: file_id, seg_idx, s, e. Out: file_id, chunk_idx, s, e, n, members (seg_idx).
-    """
+class Chunks:
+    """Greedy chunks: a segment whose end lies over `longest` from the chunk's start begins the next, if the chunk has length."""
+
+    def __init__(self, longest: float) -> None:
+        self.longest, self.idx, self.now = longest, 0, None
+
+    def row(self, member, s, e) -> Iterator[tuple]:
+        if self.now and e - self.now[0] > self.longest and self.now[1] > self.now[0]:
+            yield from self.end()
+            self.now, self.idx = None, self.idx + 1
+        if self.now is None:
+            self.now = [s, e, []]
+        self.now[1] = e
+        self.now[2].append(member)
+
+    def end(self) -> Iterator[tuple]:
+        if self.now:
+            s, e, members = self.now
+            yield self.idx, s, e, len(members), members
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seg_idx")
-        out: list[list] = []
-        for i, s, e in zip(f["seg_idx"].tolist(), f["s"].tolist(), f["e"].tolist(), strict=True):
-            if not out or (e - out[-1][0] > chunk_us and out[-1][1] - out[-1][0] > 0):
-                out.append([s, e, []])
-            out[-1][1] = e
-            out[-1][2].append(i)
-        return pd.DataFrame({"file_id": f["file_id"].iloc[0], "chunk_idx": range(len(out)), "s": [x[0] for x in out], "e": [x[1] for x in out], "n": [len(x[2]) for x in out], "members": [x[2] for x in out]})
 
-    kind = segments.schema["file_id"].dataType.simpleString()
-    return segments.select("file_id", "seg_idx", "s", "e").groupBy("file_id").applyInPandas(fold, f"file_id {kind}, chunk_idx long, s long, e long, n long, members array<long>")
+def merge_chunks(segments: DataFrame, chunk_us: int) -> DataFrame:
+    """file_id, chunk_idx, s, e, n, members (seg_idx) of Chunks. segments: file_id, seg_idx, s, e."""
+    return fold_rows(segments, ["seg_idx", "s", "e"], ["seg_idx"], lambda: Chunks(chunk_us), "chunk_idx long, s long, e long, n long, members array<long>")
 
 
 def mergeable(a: str, b: str, split_chars: str, merge_chars: str, max_length: int) -> bool:
@@ -36,66 +44,125 @@ def mergeable(a: str, b: str, split_chars: str, merge_chars: str, max_length: in
     return (a[-1] not in split_chars or a[-1] in merge_chars) and len(a) + len(b) <= max_length
 
 
+class Captions:
+    """Captions joined to the one before while the gap is at most max_gap and the texts are mergeable; the joined text decides on."""
+
+    def __init__(self, max_gap: int, sep: str, rule: Callable[[str, str], bool]) -> None:
+        self.max_gap, self.sep, self.rule = max_gap, sep, rule
+        self.idx, self.now = 0, None
+
+    def row(self, s: int, e: int, text: str | None, *lists) -> Iterator[tuple]:
+        text = (text or "").strip()
+        now = self.now
+        if now and s - now[1] <= self.max_gap and self.rule(now[2], text):
+            now[1:4] = e, now[2] + (self.sep if now[2] and text else "") + text, now[3] + 1
+            for have, more in zip(now[4], lists, strict=True):
+                have += more or []
+        else:
+            yield from self.end()
+            self.idx += bool(now)
+            self.now = [s, e, text, 1, [list(x or []) for x in lists]]
+
+    def end(self) -> Iterator[tuple]:
+        if self.now:
+            yield self.idx, *self.now[:4], *self.now[4]
+
+
 def merge_captions(rows: DataFrame, max_gap: int, max_length: int = 18, split_chars: str = "，。？！；…", merge_chars: str = "，", sep: str = "") -> DataFrame:
-    """Join a caption to the one before while the gap is at most max_gap and the texts are mergeable; the joined text decides on.
+    """file_id, caption_idx, s, e, text, n of Captions, and words and chars, one after the other, where rows have them.
 
-    rows: file_id, seg_idx, s, e, text. Out: file_id, caption_idx, s, e, text, n.
+    rows: file_id, seg_idx, s, e, text.
     """
+    lists = [c for c in ("words", "chars") if c in rows.columns]
+    out = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in lists)
+    rule = lambda a, b: mergeable(a, b, split_chars, merge_chars, max_length)
+    return fold_rows(rows, ["s", "e", "text", *lists], ["seg_idx"], lambda: Captions(max_gap, sep, rule), f"caption_idx long, s long, e long, text string, n long{out}")
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seg_idx")
-        out: list[list] = []
-        for s, e, text in zip(f["s"].tolist(), f["e"].tolist(), f["text"].tolist(), strict=True):
-            text = (text or "").strip()
-            if out and s - out[-1][1] <= max_gap and mergeable(out[-1][2], text, split_chars, merge_chars, max_length):
-                last = out[-1]
-                out[-1] = [last[0], e, last[2] + (sep if last[2] and text else "") + text, last[3] + 1]
-            else:
-                out.append([s, e, text, 1])
-        return pd.DataFrame({"file_id": f["file_id"].iloc[0], "caption_idx": range(len(out)), "s": [x[0] for x in out], "e": [x[1] for x in out], "text": [x[2] for x in out], "n": [x[3] for x in out]})
 
-    kind = rows.schema["file_id"].dataType.simpleString()
-    return rows.select("file_id", "seg_idx", "s", "e", "text").groupBy("file_id").applyInPandas(fold, f"file_id {kind}, caption_idx long, s long, e long, text string, n long")
+#: Regions no longer than this are none (fixed value): a cut may lie before the frame that began its region.
+SHORTEST = 1e-6
 
 
-def split_long_regions(t: np.ndarray, y: np.ndarray, onset: float, offset: float, max_duration: float) -> list[tuple[float, float]]:
-    """Hysteresis with a longest region: one over max_duration is cut where the score is least in its second half.
+class Regions:
+    """Hysteresis with a longest region: one that grows over it is cut where the score is least in its second half.
 
-    The cut is sought in the scores gathered before the frame that makes the region too long; that frame is not tested for
-    the end of the region. The scores gathered for a region begin with the frame before it.
+    A region begins with a score over onset and ends at the first frame under offset. The cut is sought among the frames
+    held when a frame makes the region too long; that frame is not tested for the region's end. Held are the frames since
+    the region began, without the one that began it, after the last frame of the gap before; never more than a longest region.
     """
-    if not len(t):
-        return []
-    start, active = t[0], y[0] > onset
-    out, times, scores = [], [t[0]], [y[0]]
-    for at, value in zip(t[1:], y[1:], strict=True):
-        if active:
-            if at - start > max_duration:
-                half = len(scores) // 2
-                cut = half + int(np.argmin(scores[half:]))
-                out.append((start, times[cut]))
-                start, times, scores = times[cut], times[cut + 1 :], scores[cut + 1 :]
-            elif value < offset:
-                out.append((start, at))
-                start, active, times, scores = at, False, [], []
-            times.append(at), scores.append(value)
-        elif value > onset:
-            start, active = at, True
-    if active:
-        out.append((start, t[-1]))
-    return [(float(a), float(b)) for a, b in out]
+
+    def __init__(self, onset: float, offset: float | None = None, longest: float = float("inf")) -> None:
+        self.onset, self.offset, self.longest = onset, offset or onset, longest
+        self.start: float | None = None  # of the region that is open
+        self.held: list[tuple[float, float]] = []  # (score, time), so that the least of them is the cut
+        self.idx, self.last = 0, None
+
+    def _closed(self, at: float) -> Iterator[tuple]:
+        if at - self.start > SHORTEST:
+            yield self.idx, self.start, at
+            self.idx += 1
+
+    def row(self, t: float, y: float) -> Iterator[tuple]:
+        first, self.last = self.last is None, t
+        if self.start is None:
+            if y > self.onset:
+                self.start = t
+            if first:
+                self.held = [(y, t)]
+            return
+        if t - self.start > self.longest:
+            half = len(self.held) // 2
+            cut = min(range(half, len(self.held)), key=lambda k: self.held[k][0])
+            yield from self._closed(self.held[cut][1])
+            self.start = self.held[cut][1]
+            del self.held[: cut + 1]
+        elif y < self.offset:
+            yield from self._closed(t)
+            self.start, self.held = None, []
+        self.held.append((y, t))
+
+    def end(self) -> Iterator[tuple]:
+        if self.start is not None:
+            yield from self._closed(self.last)
+
+
+def regions_of(t: np.ndarray, y: np.ndarray, onset: float, offset: float | None, longest: float) -> list[tuple[float, float]]:
+    """Regions of one sorted sequence of frames."""
+    fold = Regions(onset, offset, longest)
+    found = [x for frame in zip(map(float, t), map(float, y), strict=True) for x in fold.row(*frame)]
+    return [(s, e) for _, s, e in [*found, *fold.end()]]
 
 
 def speech_regions(frames: DataFrame, onset: float = 0.5, offset: float = 0.363, max_duration: float = 30.0) -> DataFrame:
-    """file_id, region, start, end by split_long_regions. frames: file_id, t, y (seconds, score)."""
+    """file_id, region, start, end of Regions. frames: file_id, t, y (seconds, score)."""
+    return fold_rows(frames, ["t", "y"], ["t", "y"], lambda: Regions(onset, offset, max_duration), "region long, start double, end double")
+
+
+class SpeechChunks:
+    """Regions put into Chunks as they end."""
+
+    def __init__(self, onset: float, offset: float, chunk: float) -> None:
+        self.regions, self.chunks = Regions(onset, offset, chunk), Chunks(chunk)
+
+    def _passed(self, regions: Iterable[tuple]) -> Iterator[tuple]:
+        for idx, start, end in regions:
+            yield from self.chunks.row((start, end), start, end)
+
+    def row(self, t: float, y: float) -> Iterator[tuple]:
+        yield from self._passed(self.regions.row(t, y))
+
+    def end(self) -> Iterator[tuple]:
+        yield from self._passed(self.regions.end())
+        yield from self.chunks.end()
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", "y"])
-        out = split_long_regions(f["t"].to_numpy(float), f["y"].to_numpy(float), onset, offset or onset, max_duration)
-        return pd.DataFrame({"file_id": f["file_id"].iloc[0], "region": range(len(out)), "start": [x[0] for x in out], "end": [x[1] for x in out]})
 
-    kind = frames.schema["file_id"].dataType.simpleString()
-    return frames.select("file_id", "t", "y").groupBy("file_id").applyInPandas(fold, f"file_id {kind}, region long, start double, end double")
+def speech_chunks(frames: DataFrame, onset: float = 0.5, offset: float = 0.363, chunk: float = 30.0) -> DataFrame:
+    """file_id, seg_idx, start, end, n, parts (the regions of a chunk): voice activity in one pass over a file's sorted frames."""
+    if not 0 < onset < 1:
+        raise ValueError("onset must lie between 0 and 1")
+    if chunk <= 0:
+        raise ValueError("chunks must have a length")
+    return fold_rows(frames, ["t", "y"], ["t", "y"], lambda: SpeechChunks(onset, offset, chunk), "seg_idx long, start double, end double, n long, parts array<struct<start:double,end:double>>")
 
 
 def speaks(line: dict) -> bool:

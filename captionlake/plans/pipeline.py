@@ -31,6 +31,9 @@ class Options:
     batch: int = 15
     reference_limit: int = 2_000
     rules: str | None = None
+    #: Whether words are set apart by blanks, and how sentences without times get them.
+    spaced: bool = False
+    interpolate: str = "nearest"
 
 
 def recognise(vad: DataFrame, asr: Batch, batch: int = 15, checkpoint: str | None = None, name: str = "asr") -> DataFrame:
@@ -72,29 +75,24 @@ def substitute(segments: DataFrame, generate: Batch) -> DataFrame:
 
 
 def aligned_lines(segments: DataFrame, vocabulary: dict[str, int], options: Options = Options(), split_chars: str = text.SPLIT_CHARS) -> DataFrame:
-    """file_id, seg_idx, s, e (milliseconds), text: sentences with times from the emissions; unaligned segments keep their own.
+    """file_id, seg_idx, s, e (milliseconds), text, words: sentences with times from the emissions; unaligned segments keep their own.
 
-    segments: file_id, seg_idx, start, end, text, emission.
+    segments: file_id, seg_idx, start, end, text, emission. Sentences are made inside their row; only the times of the
+    file's lines meet, to let ends go and to trim them to the next line.
     """
-    chars = align.align(segments, vocabulary)
-    good = chars.where("aligned")
-    w = Window.partitionBy("file_id", "seg_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.coalesce(F.sum(text.contains_char(split_chars, F.col("char")).cast("int")).over(w), F.lit(0))
+    parts = align.align_sentences(segments, vocabulary, split_chars=split_chars, spaced=options.spaced, interpolate=options.interpolate)
     ms = lambda c: F.bround(F.col(c) * 1000).cast("bigint")
-    keyed = good.withColumn("line", F.struct("seg_idx", cut.cast("bigint").alias("k"))).select("file_id", "line", "pos", "char", ms("start").alias("s"), ms("end").alias("e"), "score")
-    lines = sequence.group_extents(keyed, "line", split_chars).where(F.col("s").isNotNull() & F.col("e").isNotNull() & (F.trim("text") != ""))
-    lost = segments.join(chars.where("NOT aligned").select("file_id", "seg_idx"), ["file_id", "seg_idx"], "left_semi")
-    rows = lines.select("file_id", "line", "s", "e", "text", "release_from").unionByName(lost.select("file_id", F.struct("seg_idx", F.lit(0).cast("bigint").alias("k")).alias("line"), ms("start").alias("s"), ms("end").alias("e"), "text", F.lit(None).cast("bigint").alias("release_from")))
-    rows = rows.withColumn("seg_idx", (F.row_number().over(Window.partitionBy("file_id").orderBy("line.seg_idx", "line.k")) - 1).cast("bigint"))
-    return sequence.release_and_trim(rows.drop("line"), options.release, options.padding).select("file_id", "seg_idx", "s", "e", "text")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_idx", "part")) - 1
+    rows = parts.select("file_id", place.cast("bigint").alias("seg_idx"), ms("start").alias("s"), ms("end").alias("e"), "text", ms("release_from").alias("release_from"), "words")
+    return sequence.release_and_trim(rows, options.release, options.padding).select("file_id", "seg_idx", "s", "e", "text", "words")
 
 
 def captions(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """Merge, clean and drop lines without speech: file_id, seg_idx, start, end (seconds), text."""
+    """Merge, clean and drop lines without speech: file_id, seg_idx, start, end (seconds), text, and words where lines have them."""
     merged = folds.merge_captions(lines, options.merge_distance - options.padding, options.max_length)
     todo = rules.load_steps(options.rules, steps.builtin_steps(options.width))
     cleaned = merged.withColumn("text", rules.clean(F.col("text"), todo)).where(~text.is_removable(F.col("text")))
-    return cleaned.select("file_id", F.col("caption_idx").alias("seg_idx"), (F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end"), "text")
+    return cleaned.select("file_id", F.col("caption_idx").alias("seg_idx"), (F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end"), "text", *(c for c in ("words",) if c in merged.columns))
 
 
 def transcribe(vad: DataFrame, asr: Batch, emit: Batch, vocabulary: dict[str, int], options: Options = Options(), references: DataFrame | None = None, generate: Batch | None = None, checkpoint: str | None = None) -> DataFrame:

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions import formatting, rules, steps, text
-from captionlake.operators import align, audio, folds, intervals, metrics, sequence
-from captionlake.plans import stages
+from captionlake.functions import formatting, rules, steps, text, words
+from captionlake.operators import align, audio, blocks, folds, intervals, metrics, sequence
+from captionlake.plans import speech, stages
 from captionlake.sources import config, media
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,12 +209,63 @@ def filled_regions(spark, sf):
     return sequence.fill_gaps(sequence.active_regions(frames(spark, sf), 0.5, 0.363, 1_000_000), 7_200_000_000, 3_600_000_000, 3_600_000_000)
 
 
-@query()
+def _regions(onset: float, offset: float, longest: float) -> str:
+    """Regions with a longest duration, of frames n(file_id, i from 1, t, y), by one step a frame: z(file_id, region, start, end)."""
+    return f"""f AS (SELECT file_id, i, t, CASE WHEN y > {onset} THEN t END AS start, [{{'y': y, 't': t}}] AS held, CAST(NULL AS DOUBLE) AS was, CAST(NULL AS DOUBLE) AS done FROM n WHERE i = 1
+  UNION ALL SELECT file_id, i, t, CASE WHEN start IS NULL THEN CASE WHEN y > {onset} THEN t END WHEN long THEN held[cut].t WHEN y < {offset} THEN NULL ELSE start END,
+   CASE WHEN start IS NULL THEN held WHEN long THEN list_append(held[cut + 1 :], {{'y': y, 't': t}}) WHEN y < {offset} THEN [{{'y': y, 't': t}}] ELSE list_append(held, {{'y': y, 't': t}}) END,
+   CASE WHEN long OR y < {offset} THEN start END, CASE WHEN start IS NULL THEN NULL WHEN long THEN held[cut].t WHEN y < {offset} THEN t END
+   FROM (SELECT *, coalesce(t - start > {longest}, FALSE) AS long, half + list_position(late, list_min(late)) AS cut FROM (SELECT n.file_id, n.i, n.t, n.y, start, held, len(held) // 2 AS half,
+    list_transform(held[len(held) // 2 + 1 :], lambda x: x.y) AS late FROM f JOIN n ON n.file_id = f.file_id AND n.i = f.i + 1))),
+ x AS (SELECT file_id, i, 0 AS k, was AS start, done AS "end" FROM f WHERE was IS NOT NULL UNION ALL SELECT file_id, i, 1, start, t FROM f WHERE start IS NOT NULL AND i = (SELECT max(i) FROM n WHERE n.file_id = f.file_id)),
+ z AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY i, k) - 1 AS region, start, "end" FROM x WHERE "end" - start > 0.000001)"""
+
+
+@query(f"WITH RECURSIVE {_Y}, n AS (SELECT file_id, t / 1e6 AS t, y, row_number() OVER (PARTITION BY file_id ORDER BY t, y) AS i FROM y), {_regions(0.3, 0.1, 172_800.0)} SELECT * FROM z")
 def min_cut_regions(spark, sf):
     f = frames(spark, sf).select("file_id", (F.col("t") / 1e6).alias("t"), "y")
     return folds.speech_regions(f, 0.3, 0.1, 172_800.0)
 
 
+_BLOCKS = "w AS (SELECT label AS file_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings)"
+
+
+def signal_blocks(spark, sf):
+    """The vectors of a label, one after the other, are a file's signal in blocks of 64 samples."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return table(spark, sf, "embeddings").select(F.col("label").alias("file_id"), (F.row_number().over(w) - 1).cast("bigint").alias("k"), "embedding")
+
+
+@query(
+    f"""WITH RECURSIVE {_BLOCKS}, e AS (SELECT file_id, k * 32 + generate_subscripts(embedding, 1) - 1 AS frame, abs(CAST(unnest(embedding) AS DOUBLE)) * 4 AS v FROM w),
+ n AS (SELECT file_id, (CAST(frame AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(0.02 AS DOUBLE) AS t, avg(v) AS y, row_number() OVER (PARTITION BY file_id ORDER BY frame) AS i FROM e GROUP BY file_id, frame), {_regions(0.5, 0.2, 2.0)},
+ c AS (SELECT file_id, region, 0::BIGINT AS seg_idx, start AS cs, "end" AS ce, 1::BIGINT AS n FROM z WHERE region = 0
+  UNION ALL SELECT z.file_id, z.region, CASE WHEN z."end" - cs > 2.0 AND ce > cs THEN seg_idx + 1 ELSE seg_idx END, CASE WHEN z."end" - cs > 2.0 AND ce > cs THEN z.start ELSE cs END, z."end", CASE WHEN z."end" - cs > 2.0 AND ce > cs THEN 1 ELSE n + 1 END
+   FROM c JOIN z ON z.file_id = c.file_id AND z.region = c.region + 1),
+ g AS (SELECT file_id, seg_idx, min(cs) AS start, arg_max(ce, region) AS "end", max(n) AS n FROM c GROUP BY ALL),
+ a AS (SELECT file_id, flatten(list(embedding ORDER BY k)) AS x FROM w GROUP BY file_id)
+ SELECT file_id, seg_idx, start, "end", len(x[CAST(trunc(start * 100) AS BIGINT) + 1 : CAST(trunc("end" * 100) AS BIGINT)]) AS n_samples, coalesce(round(list_sum(list_transform(x[CAST(trunc(start * 100) AS BIGINT) + 1 : CAST(trunc("end" * 100) AS BIGINT)], lambda v: CAST(v AS DOUBLE))), 5), 0.0) AS total FROM g JOIN a USING (file_id)"""
+)
+def voice_segments(spark, sf):
+    """Overlapping windows of scores to segments with their audio."""
+    rows = signal_blocks(spark, sf)
+    scored = rows.select("file_id", "k", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 4).alias("scores"))
+    found = speech.detect(scored, 32, 0.02, 0.5, 0.2, 2.0)
+    cut = speech.with_audio(found, rows.select("file_id", F.col("k").alias("block"), blocks.pack(F.col("embedding")).alias("samples")), 100, 64)
+    total = F.aggregate(blocks.unpack("audio"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return cut.select("file_id", "seg_idx", "start", "end", F.expr("cast(length(audio) div 4 as bigint)").alias("n_samples"), F.round(total, 5).alias("total"))
+
+
+@query(f"WITH {_BLOCKS} SELECT file_id, k // 20 AS seg_idx, k % 20 * 64 + generate_subscripts(embedding, 1) - 1 AS pos, round(CAST(unnest(embedding) AS DOUBLE), 5) AS value FROM w")
+def isolated_audio(spark, sf):
+    """Isolation by a model that leaves audio as it is: what is dealt out, weighted and gathered is the signal again."""
+    rows = signal_blocks(spark, sf).withColumn("seg_idx", F.expr("k div 20"))
+    whole = rows.groupBy("file_id", "seg_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "embedding"))), lambda x: x["embedding"])).alias("x"))
+    segs = whole.select("file_id", "seg_idx", F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), blocks.pack(F.col("x")).alias("audio"))
+    done = speech.isolate(segs, lambda part: part, size=100)
+    return done.select("file_id", "seg_idx", F.posexplode(blocks.unpack("audio")).alias("p", "v")).select("file_id", "seg_idx", F.col("p").cast("bigint").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
 _ISLES = f"""{_seg("g")}, c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY file_id ORDER BY seg_idx) = label THEN 0 ELSE 1 END AS ch FROM g),
  r AS (SELECT *, sum(ch) OVER (PARTITION BY file_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS run FROM c), m AS (SELECT file_id, CAST(run AS BIGINT) AS run, min(label) AS token, min(seg_idx) AS first_frame, max(seg_idx) + 1 AS end_frame, avg(value) AS score, count(*) AS n FROM r GROUP BY ALL)"""
 
@@ -309,11 +360,55 @@ def group_concat_same_span(spark, sf):
  SELECT file_id, sentence, min(pos * 80) FILTER (ch <> ' ') AS s, max(pos * 80 + 80) FILTER (ch <> ' ') AS e, CASE WHEN arg_max(ch, pos) IN ('.', '!', '?') THEN max(pos) * 80 END AS release_from, length(string_agg(ch, '' ORDER BY pos)) AS n FROM g GROUP BY file_id, sentence"""
 )
 def sentence_extent(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "")).alias("pos", "char")).where("char <> ''")
-    w = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.sum(F.col("char").isin(".", "!", "?").cast("int")).over(w)
-    rows = d.withColumn("sentence", F.coalesce(cut, F.lit(0)).cast("bigint")).select("file_id", "sentence", "pos", "char", (F.col("pos").cast("bigint") * 80).alias("s"), (F.col("pos").cast("bigint") * 80 + 80).alias("e"), F.lit(1.0).alias("score"))
-    return sequence.group_extents(rows, "sentence", ".!?").select("file_id", "sentence", "s", "e", "release_from", F.length("text").cast("bigint").alias("n"))
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("char"), (i.cast("bigint") * 80).alias("s")))
+    parts = F.filter(words.cut(chars, lambda c: c.isin(".", "!", "?"), keep=True), lambda cs: F.size(cs) > 0)
+
+    def extent(cs):
+        solid = F.transform(F.filter(cs, lambda c: c["char"] != " "), lambda c: c["s"])
+        return words.let(F.element_at(cs, -1), lambda last: F.struct(F.array_min(solid).alias("s"), (F.array_max(solid) + 80).alias("e"), F.when(last["char"].isin(".", "!", "?"), last["s"]).alias("release_from"), F.size(cs).cast("bigint").alias("n")))
+
+    found = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.transform(parts, extent)).alias("sentence", "x"))
+    return found.select("file_id", F.col("sentence").cast("bigint").alias("sentence"), "x.*")
+
+
+_TIMED = r"""t AS (SELECT conv_id AS file_id, turn AS seg_idx, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM conversations),
+ u AS (SELECT *, ch <> ' ' AS solid, CASE WHEN lower(ch) IN ('a', 'e', 'o', 't', 'n') THEN pos * 80 END AS ms,
+  coalesce(sum(CASE WHEN ch IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, seg_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+  sum(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, seg_idx ORDER BY pos) AS w FROM t)"""
+
+
+def timed_chars(spark, sf):
+    """Lines with characters of which some letters have times: 80 ms for each place."""
+    at = lambda c, i, plus: F.when(F.lower(c).isin("a", "e", "o", "t", "n"), (i * 80 + plus) / 1000)
+    one = lambda c, i: F.struct(c.alias("char"), at(c, i, 0).alias("start"), at(c, i, 80).alias("end"), at(c, i % 10, 100).alias("score"))
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_idx"), F.transform(F.filter(F.split("text", ""), lambda c: c != ""), one).alias("chars"))
+
+
+@query(
+    rf"""WITH {_TIMED}, g AS (SELECT file_id, seg_idx, part, w, regexp_replace(string_agg(ch, '' ORDER BY pos), '^\s+|\s+$', '', 'g') AS word, CAST(min(ms) FILTER (solid) AS BIGINT) AS s, CAST(max(ms) FILTER (solid) + 80 AS BIGINT) AS e,
+  round(avg((pos % 10 * 80 + 100) / 1000.0) FILTER (ms IS NOT NULL), 3) AS score, min(pos) AS p FROM u GROUP BY ALL)
+ SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY seg_idx, p) - 1 AS word_idx, word, s, e, score FROM g WHERE word <> ''"""
+)
+def word_extents(spark, sf):
+    rows = timed_chars(spark, sf).select("file_id", "seg_idx", F.flatten(F.transform(words.sentences(F.col("chars"), True, ".!?"), lambda x: x["words"])).alias("words"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return align.flat_words(rows).select("file_id", "word_idx", "word", ms("start").alias("s"), ms("end").alias("e"), "score")
+
+
+@query(
+    rf"""WITH {_TIMED}, g AS (SELECT file_id, seg_idx, part, string_agg(ch, '' ORDER BY pos) AS text, CAST(min(ms) AS BIGINT) AS s, CAST(max(ms) FILTER (solid) + 80 AS BIGINT) AS e, count(DISTINCT CASE WHEN solid THEN w END) AS n FROM u GROUP BY ALL HAVING count(*) FILTER (solid) > 0),
+ i AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY part) AS i FROM g),
+ k AS (SELECT *, last_value(i IGNORE NULLS) OVER b AS pi, last_value(ps IGNORE NULLS) OVER b AS pv, last_value(pe IGNORE NULLS) OVER b AS pw, first_value(i2 IGNORE NULLS) OVER a AS ni, first_value(ps IGNORE NULLS) OVER a AS nv, first_value(pe IGNORE NULLS) OVER a AS nw
+  FROM (SELECT file_id, seg_idx, i AS place, CASE WHEN s IS NOT NULL THEN i END AS i, CASE WHEN s IS NOT NULL THEN i END AS i2, s AS ps, e AS pe, text, n FROM i)
+  WINDOW b AS (PARTITION BY file_id, seg_idx ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY file_id, seg_idx ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ f AS (SELECT file_id, seg_idx, place, text, n, CASE WHEN pi IS NULL THEN nv WHEN ni IS NULL OR place - pi <= ni - place THEN pv ELSE nv END AS s, CASE WHEN pi IS NULL THEN nw WHEN ni IS NULL OR place - pi <= ni - place THEN pw ELSE nw END AS e FROM k)
+ SELECT file_id, seg_idx, s, e, md5(string_agg(text, ' ' ORDER BY place)) AS text, CAST(sum(n) AS BIGINT) AS n_words FROM f WHERE s IS NOT NULL GROUP BY file_id, seg_idx, s, e"""
+)
+def timed_sentences(spark, sf):
+    """Sentences with times from their characters; those without any get their neighbour's and join it."""
+    rows = timed_chars(spark, sf).select("file_id", "seg_idx", F.inline(words.timed(words.sentences(F.col("chars"), True, ".!?"), "nearest", True)))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return rows.select("file_id", "seg_idx", ms("start").alias("s"), ms("end").alias("e"), F.md5("text").alias("text"), F.size("words").cast("bigint").alias("n_words"))
 
 
 @query("WITH u AS (SELECT conv_id AS file_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id AS file_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') SELECT u.file_id, u.turn AS seg_idx, length(u.text) AS primary_length, length(a.text) AS other_length FROM u LEFT JOIN a USING (file_id, turn)")

@@ -53,9 +53,9 @@ def test_chunks_and_captions(spark):
 
 def test_regions():
     t = np.arange(8.0)
-    assert folds.split_long_regions(t, np.array([0, 0.6, 0.4, 0.3, 0.45, 0.7, 0.7, 0.7]), 0.5, 0.363, 99) == [(1, 3), (5, 7)]
-    assert folds.split_long_regions(t, np.array([0.9, 0.8, 0.9, 0.6, 0.9, 0.9, 0.9, 0.1]), 0.5, 0.363, 3.5) == [(0, 3), (3, 5), (5, 7)]
-    assert folds.split_long_regions(np.empty(0), np.empty(0), 0.5, 0.3, 9) == []
+    assert folds.regions_of(t, np.array([0, 0.6, 0.4, 0.3, 0.45, 0.7, 0.7, 0.7]), 0.5, 0.363, 99) == [(1, 3), (5, 7)]
+    assert folds.regions_of(t, np.array([0.9, 0.8, 0.9, 0.6, 0.9, 0.9, 0.9, 0.1]), 0.5, 0.363, 3.5) == [(0, 3), (3, 5), (5, 7)]
+    assert folds.regions_of(np.empty(0), np.empty(0), 0.5, 0.3, 9) == []
 
 
 def test_hysteresis_matches_the_loop(spark):
@@ -63,7 +63,7 @@ def test_hysteresis_matches_the_loop(spark):
     y = [rng.random() for _ in range(200)]
     rows = spark.createDataFrame([(1, i, i, v) for i, v in enumerate(y)], "file_id long, t long, k long, y double")
     got = [(r.s, r.e) for r in sequence.active_regions(rows, 0.6, 0.3).orderBy("region").collect()]
-    assert got == [(int(a), int(b)) for a, b in folds.split_long_regions(np.arange(200.0), np.array(y), 0.6, 0.3, 1e9)]
+    assert got == [(int(a), int(b)) for a, b in folds.regions_of(np.arange(200.0), np.array(y), 0.6, 0.3, 1e9)]
 
 
 def test_interpolation(spark):
