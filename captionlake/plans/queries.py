@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import formatting, rules, steps, text, words
 from captionlake.operators import align, audio, blocks, folds, intervals, metrics, sequence
-from captionlake.plans import speech, stages
+from captionlake.plans import retime, speech, stages
 from captionlake.sources import config, media
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,13 +676,34 @@ def ctc_align(spark, sf):
     return align.align(e.select("file_id", "seg_idx", F.lit(0.0).alias("start"), F.lit(1.6).alias("end"), F.lit("abca").alias("text"), rows.alias("emission")), {"a": 1, "b": 2, "c": 3})
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {VIEW}, {BUY}, u AS (SELECT file_id, seg_idx, s / 1e6 - CAST(1704067200.0 AS DOUBLE) AS start, e / 1e6 - CAST(1704067200.0 AS DOUBLE) AS "end" FROM a),
+ v AS (SELECT file_id, list({{'r': seg_idx, 's': s / 1e6 - CAST(1704067200.0 AS DOUBLE), 'e': e / 1e6 - CAST(1704067200.0 AS DOUBLE)}} ORDER BY seg_idx) AS cs FROM b GROUP BY file_id),
+ f AS (SELECT DISTINCT file_id, CAST(-1 AS BIGINT) AS seg_idx, CAST(NULL AS DOUBLE) AS start, CAST(NULL AS DOUBLE) AS "end", CAST(0.0 AS DOUBLE) AS "offset", CAST(-1 AS BIGINT) AS matched FROM u
+  UNION ALL SELECT file_id, seg_idx, CASE WHEN x IS NULL THEN greatest(0.0, us + o) ELSE x.s END, CASE WHEN x IS NULL THEN greatest(0.0, ue + o) ELSE x.e END, CASE WHEN x IS NULL THEN o ELSE (x.s + x.e) / 2 - (us + ue) / 2 END, coalesce(x.r, -1)
+   FROM (SELECT *, list_sort(list_filter(list_transform(list_filter(coalesce(cs, []), lambda c: c.e > b AND c.s < b + 172800.0), lambda c: {{'d': abs((c.e - c.s) - (ue - us)), 'r': c.r, 's': c.s, 'e': c.e}}), lambda c: c.d < 40000.0))[1] AS x
+    FROM (SELECT u.file_id, u.seg_idx, u.start AS us, u."end" AS ue, f."offset" AS o, cs, CASE WHEN u.seg_idx = 0 THEN CAST(0.0 AS DOUBLE) ELSE greatest(0.0, u.start + f."offset" - 3600.0) END AS b
+     FROM f JOIN u ON u.file_id = f.file_id AND u.seg_idx = f.seg_idx + 1 LEFT JOIN v ON v.file_id = u.file_id)))
+ SELECT file_id, seg_idx, start, "end", "offset", matched FROM f WHERE seg_idx >= 0"""
+)
 def retime_fold(spark, sf):
     a = segments(spark, sf, "view").select("file_id", "seg_idx", (F.col("s") / 1e6).alias("start"), (F.col("e") / 1e6).alias("end"))
     b = segments(spark, sf, "purchase").select("file_id", F.col("seg_idx").alias("ref_idx"), (F.col("s") / 1e6).alias("start"), (F.col("e") / 1e6).alias("end"))
     base = 1_704_067_200.0
     a, b = (x.withColumn("start", F.col("start") - base).withColumn("end", F.col("end") - base) for x in (a, b))
-    return folds.retime(a, b, lambda line, c: -abs((c["end"] - c["start"]) - (line["end"] - line["start"])), 3600.0, 172_800.0, -40_000.0)
+    fit = lambda line, c: -abs((c["end"] - c["start"]) - (line["end"] - line["start"]))
+    return folds.retime(a, b, fit, 3600.0, 172_800.0, -40_000.0, alignable=lambda line: True)
+
+
+@query()
+def retime_emissions(spark, sf):
+    """Lines searched for by their letters among stretches of 16 frames of 4 ids: the vectors of a label are its sound."""
+    rows = signal_blocks(spark, sf)
+    frames_ = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.slice("embedding", i * 4 + 1, F.lit(4)), lambda x: -F.abs(x.cast("double")) * 8))
+    heard = rows.select("file_id", F.col("k").alias("ref_idx"), (F.col("k") * 2.0).alias("start"), (F.col("k") * 2.0 + 1.5).alias("end"), frames_.alias("emission"))
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.element_at(F.array(*map(F.lit, "abc")), ((F.col("k") * 7 + i * i) % 3 + 1).cast("int"))), "")
+    lines_ = rows.select("file_id", F.col("k").alias("seg_idx"), (F.col("k") * 2.0 + 11).alias("start"), (F.col("k") * 2.0 + 12.5).alias("end"), letters.alias("text"))
+    return retime.retime(lines_, heard, {"a": 1, "b": 2, "c": 3}, window=20.0, threshold=0.3)
 
 
 @query("SELECT n.n_name AS \"key\", coalesce(CASE WHEN n.n_nationkey % 3 = 0 THEN 'explicit' END, CASE WHEN n.n_nationkey % 2 = 0 THEN r.r_name END, 'default') AS value FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
