@@ -116,6 +116,15 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.coalesce(close(8), close(64), F.levenshtein(a, b))
 
 
+def far_apart(a: Column, b: Column, length: Column, ratio: float) -> Column:
+    """Whether the edit distance is over `ratio` of the length. Exact; of long texts only as much is compared as decides it."""
+    out = F.levenshtein(a, b) / length > ratio
+    for most in (512, 64, 8):
+        within = F.levenshtein(a, b, most)
+        out = F.when(within >= 0, within / length > ratio).when((most + 1) / length > ratio, True).otherwise(out)
+    return F.when(F.abs(F.length(a) - F.length(b)) / length > ratio, True).otherwise(out)
+
+
 def accept_rewrite(primary: Column, response: Column, ratio: float = 2.5) -> Column:
     """The response's first line; the primary where that is empty, begins with 【 or is over `ratio` times as long."""
     line = first_line(response)
@@ -128,7 +137,7 @@ def accept_reference(primary: Column, response: Column, semantic: bool = False,
     line = first_line(response)
     chars = lambda x: F.array_intersect(F.split(x, ""), F.split(F.lit(guarded), ""))
     lost = F.size(F.filter(F.array_except(chars(primary), chars(line)), lambda c: c != "")) > 0
-    far = edit_distance(primary, line) / F.greatest(F.length(primary), F.lit(1)) > (0.6 if semantic else 0.4)
+    far = far_apart(primary, line, F.greatest(F.length(primary), F.lit(1)), 0.6 if semantic else 0.4)
     bad = (line == "") | line.startswith("【") | (F.length(line) > F.length(primary) * length_ratio) | far | lost
     return F.when(bad, primary).otherwise(line)
 

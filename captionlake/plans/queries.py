@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions import formatting, rules, steps, text, words
-from captionlake.operators import align, audio, blocks, folds, intervals, metrics, sequence
+from captionlake.functions import boundaries, formatting, rules, steps, text, words
+from captionlake.operators import align, audio, blocks, edit_rate, folds, intervals, metrics, sequence
 from captionlake.plans import retime, speech, stages
 from captionlake.sources import config, media
 
@@ -720,6 +720,39 @@ def reference_word_alignment(spark, sf):
     return metrics.align_to_reference(rows.withColumn("text", F.regexp_replace("text", "e", "")), rows)
 
 
+_PUNCT = "\"'()\\[\\]{}«»“”‘’,;:"
+_WORDS = rf"""t AS (SELECT lang, doc_id, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM (SELECT lang, doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS x FROM documents)),
+ b AS (SELECT lang, doc_id, i, regexp_replace(token, '^[{_PUNCT.replace("'", "''")}]+|[{_PUNCT.replace("'", "''")}]+$', '', 'g') AS bare FROM t),
+ w AS (SELECT lang, doc_id, i, lower(regexp_replace(bare, '[.!?…]+$', '')) AS w, bare LIKE '%.' AND NOT regexp_matches(bare, '(^|\.)\.+$') AS dot FROM b WHERE regexp_replace(bare, '[.!?…]+$', '') <> '')"""
+
+
+@query(
+    rf"""WITH {_WORDS}, c AS (SELECT lang, w, count(*) FILTER (dot) AS yes, count(*) FILTER (NOT dot) AS nay FROM w GROUP BY ALL), s AS (SELECT lang, sum(yes) AS dots, sum(yes + nay) AS n FROM c GROUP BY lang),
+ x AS (SELECT lang, w, yes, nay, dots / n AS p, length(w) - length(replace(w, '.', '')) AS dots_in FROM c JOIN s USING (lang) WHERE yes > 0 AND regexp_matches(w, '^[^\d]*\p{{L}}[^\d]*$')),
+ y AS (SELECT *, -2 * (yes * ln(p) + nay * ln(1 - p) - yes * ln(0.99) - nay * ln(0.01)) * exp(dots_in - length(w)) * (dots_in + 1) * pow(length(w) - dots_in, -nay) AS score FROM x)
+ SELECT lang, w AS word, yes AS with_dot, nay AS without_dot, round(score, 4) AS score FROM y WHERE score >= 0.3"""
+)
+def learnt_abbreviations(spark, sf):
+    d = table(spark, sf, "documents").select("lang", "text")
+    return boundaries.abbreviations(d).withColumn("score", F.round("score", 4))
+
+
+@query()
+def sentence_offsets(spark, sf):
+    """Sentences of all documents by what they teach of their languages."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return boundaries.sentence_spans(d, boundaries.learn(d)).select("doc_id", F.posexplode("spans").alias("sentence", "x")).select("doc_id", "sentence", "x.a", "x.b")
+
+
+@query()
+def subtitle_edit_rate(spark, sf):
+    """Sentences of conversations as captions, the first two words of each swapped."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), "turn", caption_parts("text"))
+    at = (F.col("turn") * 100_000 + F.col("part")).cast("bigint")
+    ref = c.select("file_id", at.alias("seg_idx"), (at * 2.0).alias("start"), (at * 2.0 + 1.9).alias("end"), F.col("line").alias("text"))
+    return edit_rate.subtitle_edit_rates(ref.withColumn("text", F.regexp_replace("text", r"^(\S+) (\S+)", "$2 $1")), ref)
+
+
 # -------------------------------------------------------------------- flagship
 
 

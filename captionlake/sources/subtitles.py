@@ -26,8 +26,9 @@ def parse_time(s: str) -> float:
     return sum(float(x) * 60**k for k, x in enumerate(reversed(parts)))
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, seg_idx, start, end, text of SRT or VTT files. Words are joined by one space; empty blocks are dropped.
+def read_subtitles(spark: SparkSession, path: str, keep_lines: bool = False) -> DataFrame:
+    """file_id, seg_idx, start, end, text of SRT or VTT files. Words are joined by one space (keep_lines: within their line);
+    empty blocks are dropped.
 
     A path without a file extension is a ValueError.
     """
@@ -38,7 +39,8 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     stamp = r"((?:\d+:)?\d+:\d+[.,]\d+)\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d+)[^\n]*"
     parts = blocks.select("file_id", "block", F.regexp_extract("body", stamp, 1).alias("a"), F.regexp_extract("body", stamp, 2).alias("b"), F.regexp_extract("body", rf"(?s){stamp}\n?(.*)", 3).alias("text"))
     seconds = lambda c: F.aggregate(F.split(F.replace(F.col(c), F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.cast("double"))
-    rows = parts.where("a != ''").select("file_id", "block", seconds("a").alias("start"), seconds("b").alias("end"), strip(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text")).where("text != ''")
+    joined = (F.regexp_replace("text", r"(?U)[^\S\n]+", " "), r" ?\n\s*", "\n") if keep_lines else ("text", r"(?U)\s+", " ")
+    rows = parts.where("a != ''").select("file_id", "block", seconds("a").alias("start"), seconds("b").alias("end"), strip(F.regexp_replace(*joined)).alias("text")).where("text != ''")
     from pyspark.sql import Window
 
     return rows.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("block")) - 1).alias("seg_idx"), "start", "end", "text")
