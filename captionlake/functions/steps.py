@@ -12,9 +12,14 @@ from pyspark.sql.functions import pandas_udf
 
 from captionlake.functions import text as T
 
+_SPACED_CAPITALS = re.compile(r"[A-Z][.\s]+[A-Z]")
+
+
 def acronyms(text: str) -> str:
     """'U. S.A' becomes 'USA'. Capitals belong together across stops and blanks, but not across the end of a sentence (a stop
     and one blank). A capital that touches a lower-case letter stays out, at either end of such a run."""
+    if not _SPACED_CAPITALS.search(text):
+        return text
     capitals = [i for i, c in enumerate(text) if "A" <= c <= "Z"]
     runs: list[list[int]] = []
     for i in capitals:
@@ -39,8 +44,8 @@ def acronyms(text: str) -> str:
 DIGITS = {"零": 0, "一": 1, "二": 2, "兩": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000, "萬": 10000}
 ROUND_NUMBERS = {100, 1000, 10000, 20000, 30000, 40000, 50000, 60000, 70000, 80000, 90000, 100000}
-_RUN = re.compile("([零一二兩两三四五六七八九十百千萬]+)([月號]?)")
-_YEAR = re.compile("([零一二三四五六七八九]{2,4})(?=年)")
+_RUN = re.compile(f"([{''.join(DIGITS)}{''.join(UNITS)}]+)([月號]?)")
+_YEAR = re.compile(f"([{''.join(c for c in DIGITS if c not in '兩两')}]{{2,4}})(?=年)")
 
 
 def parse_number(s: str, dated: bool = False) -> int | None:
@@ -131,18 +136,29 @@ def python_step(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
+#: How particles are written in a question, under a question mark alone, and in a statement.
+IN_QUESTION = {"呀": "啊", "嘎": "㗎", "啫？": "唧？"}
+UNDER_MARK = {"㗎？": "嘎？", "啊？": "呀？"}
+IN_STATEMENT = {"呀": "啊", "嘎": "㗎"}
+#: A question that begins with the first word, but not with the second, ends as under a mark alone.
+OPENING, NOT_OPENING, AFTER_OPENING = "乜", "乜嘢", {"啊？": "呀？"}
+
+
 def question_particles(text: Column, question: dict[str, str] | None = None, mark_only: dict[str, str] | None = None, statement: dict[str, str] | None = None) -> Column:
-    """Swap particles per cut-off segment, by whether it is a question, only carries the mark, or states."""
-    question = {"㗎？": "㗎？"} if question is None else question
-    mark_only = {"呀？": "吖？"} if mark_only is None else mark_only
-    statement = {"咩。": "嘅。"} if statement is None else statement
+    """Write particles of each cut-off segment as befits a question, a question mark alone, or a statement."""
 
-    def swap(s: Column, table: dict[str, str]) -> Column:
-        for a, b in table.items():
+    def swap(s: Column, table: dict[str, str] | None, else_: dict[str, str]) -> Column:
+        for a, b in (else_ if table is None else table).items():
             s = F.replace(s, F.lit(a), F.lit(b))
         return s
 
-    return F.array_join(F.transform(T.split_segments(text), lambda s: F.when(T.is_question(s), swap(s, question)).when(s.endswith("？"), swap(s, mark_only)).otherwise(swap(s, statement))), "")
+    def segment(s: Column) -> Column:
+        asked = swap(s, question, IN_QUESTION)
+        opened = s.startswith(OPENING) & ~s.startswith(NOT_OPENING) & (F.length(s) > 1)
+        asked = F.when(opened, swap(asked, None, AFTER_OPENING)).otherwise(asked) if question is None else asked
+        return F.when(T.is_question(s), asked).when(s.endswith("？"), swap(s, mark_only, UNDER_MARK)).otherwise(swap(s, statement, IN_STATEMENT))
+
+    return F.array_join(F.transform(T.split_segments(text), segment), "")
 
 
 def trim_lines(text: Column) -> Column:

@@ -50,10 +50,10 @@ def split_segments(text: Column, marks: str = "？！。：；") -> Column:
     return F.filter(F.split(text, f"(?<=[{marks}])(?![{marks}])"), lambda x: x != "")
 
 
-def is_question(text: Column, mark: str = "？", words=QUESTION_WORDS, negation: str = "唔") -> Column:
-    """Ends with the mark, and holds an A-not-A pattern or a question word."""
+def is_question(text: Column, mark: str = "？", words=QUESTION_WORDS, negation: str = "唔", char: str = "[一-鿿]") -> Column:
+    """Ends with the mark, and holds an A-not-A pattern of a character of the class, or a question word."""
     words_ = "|".join(words)
-    return text.endswith(mark) & (text.rlike(f"(.){negation}\\1") | text.rlike(words_))
+    return text.endswith(mark) & (text.rlike(f"({char}){negation}\\1") | text.rlike(words_))
 
 
 def sentence_spans(text: Column, split_chars: str = SPLIT_CHARS) -> Column:

@@ -36,9 +36,12 @@ class Options:
     interpolate: str = "nearest"
 
 
-def recognise(vad: DataFrame, asr: Batch, batch: int = 15, checkpoint: str | None = None, name: str = "asr") -> DataFrame:
-    """Add text to segments (file_id, seg_idx, start, end, audio); longest audio first within a batch window."""
-    stage = Stage(name, lambda df: infer(df, asr, ["file_id", "seg_idx", "audio"], "text string", batch, key=lambda x: len(x["audio"] or b"")).drop("audio"))
+def recognise(vad: DataFrame, asr: Batch, batch: int = 15, checkpoint: str | None = None, name: str = "asr", failed: dict | None = None) -> DataFrame:
+    """Add text to segments (file_id, seg_idx, start, end, audio); longest audio first within a batch window.
+
+    failed: what a segment has on which the model raises, as {"text": ""}; then there is a column `error`.
+    """
+    stage = Stage(name, lambda df: infer(df, asr, ["file_id", "seg_idx", "audio"], "text string", batch, key=lambda x: len(x["audio"] or b""), failed=failed).drop("audio"))
     return stage.run(vad, checkpoint)
 
 
@@ -47,6 +50,14 @@ def ensemble(segments: DataFrame, other: DataFrame) -> DataFrame:
     return segments.join(other.select("file_id", "seg_idx", F.col("text").alias("alternative")), ["file_id", "seg_idx"], "left").withColumn("alternative", F.coalesce("alternative", F.lit("")))
 
 
+def settle(segments: DataFrame, generate: Batch, batch: int = 15) -> DataFrame:
+    """Ask for each line between its two hypotheses (text, alternative), with its neighbours as context; keep the answer's first
+    line unless it is empty, a label, or far longer than the line."""
+    rows = sequence.context(segments).withColumn("prompt", text.prompt(F.col("prev_text"), F.col("text"), F.col("alternative"), F.col("next_text"))).drop("prev_text", "next_text")
+    asked = infer(rows, generate, ["prompt"], "response string", batch)
+    return asked.withColumn("text", text.accept_rewrite(F.col("text"), F.coalesce(text.strip_thinking(F.col("response")), F.lit("")))).drop("prompt", "response", "alternative")
+
+
 def add_references(segments: DataFrame, lines: DataFrame, limit_ms: int = 2_000) -> DataFrame:
     """Add reference: overlapping lines (file_id, seg_idx, start, end, text), else the nearest within the limit, else ''."""
     us = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
@@ -95,17 +106,37 @@ def captions(lines: DataFrame, options: Options = Options()) -> DataFrame:
     return cleaned.select("file_id", F.col("caption_idx").alias("seg_idx"), (F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end"), "text", *(c for c in ("words",) if c in merged.columns))
 
 
-def transcribe(vad: DataFrame, asr: Batch, emit: Batch, vocabulary: dict[str, int], options: Options = Options(), references: DataFrame | None = None, generate: Batch | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Captions of segments (file_id, seg_idx, start, end, audio).
-
-    asr: audio -> text; emit: audio -> emission (log-probabilities by frame); generate: prompt -> response, used where
-    reference lines are given.
+def transcribe(
+    vad: DataFrame,
+    asr: Batch,
+    emit: Batch,
+    vocabulary: dict[str, int],
+    options: Options = Options(),
+    references: DataFrame | None = None,
+    generate: Batch | None = None,
+    checkpoint: str | None = None,
+    second: Batch | None = None,
+) -> DataFrame:
+    """Captions of segments (file_id, seg_idx, start, end, audio): file_id, seg_idx, start, end, text, words.
+
+    asr: audio -> text; emit: audio -> emission (log-probabilities by frame); second: audio -> text of another model, whose
+    failures leave a line without an alternative. generate: prompt -> response, asked between the two hypotheses where there
+    are two, then about lines that have a reference, then once a file for names to make alike. With a checkpoint, model
+    steps are resumed by file, and the captions before cleaning are kept as a stage of their own.
     """
     said = recognise(vad, asr, options.batch, checkpoint)
+    if second is not None:
+        other = recognise(vad, second, options.batch, checkpoint, "second", failed={"text": ""})
+        said = ensemble(said, other)
+        said = settle(said, generate, options.batch) if generate is not None else said.drop("alternative")
     if references is not None:
         said = add_references(said, references, options.reference_limit)
         if generate is not None:
             said = correct(said, generate, options.batch)
+        said = said.drop("reference")
+    if generate is not None:
+        said = substitute(said, generate)
     heard = Stage("emissions", lambda df: infer(df, emit, ["file_id", "seg_idx", "audio"], "emission array<array<double>>", options.batch, key=lambda x: len(x["audio"] or b"")).select("file_id", "seg_idx", "emission")).run(vad, checkpoint)
     rows = said.join(heard, ["file_id", "seg_idx"]).select("file_id", "seg_idx", "start", "end", "text", "emission")
-    return captions(aligned_lines(rows, vocabulary, options), options)
+    lines = Stage("before_cleaning", lambda df: aligned_lines(df, vocabulary, options)).run(rows, checkpoint)
+    return captions(lines, options)

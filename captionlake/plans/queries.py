@@ -557,7 +557,7 @@ def split_segments(spark, sf):
 def question_class(spark, sf):
     part = F.explode(text.split_segments(F.col("text"), ".!?"))
     rows = table(spark, sf, "documents").select("doc_id", part.alias("part"))
-    return rows.groupBy("doc_id").agg(F.count_if(text.is_question(F.col("part"), ".", ("th", "ou"), "on")).alias("questions"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("doc_id").agg(F.count_if(text.is_question(F.col("part"), ".", ("th", "ou"), "on", ".")).alias("questions"), F.count(F.lit(1)).alias("n"))
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w, generate_subscripts(regexp_extract_all(text, '\p{L}+'), 1) - 1 AS word FROM documents) SELECT doc_id, word, regexp_extract(w, '[aeiou]+$') AS run, length(w) - length(regexp_extract(w, '[aeiou]+$')) AS at FROM w")

@@ -34,7 +34,33 @@ def test_speech_to_captions(spark, tmp_path):
     for _ in range(2):  # the second time from the checkpoint
         out = captionlake.transcribe(rows(spark), asr, emit, VOCAB, checkpoint=str(tmp_path)).orderBy("file_id", "seg_idx").collect()
         got = [(r.file_id, r.text, round(r.start, 2)) for r in out]
-    assert got == [("a", "我哋去食飯，好呀。", 0.1), ("b", "好呀", 1.1)]
+    assert got == [("a", "我哋去食飯，好啊。", 0.1), ("b", "好啊", 1.1)]
+
+
+def test_two_hypotheses_and_names(spark, tmp_path):
+    def second(part):
+        if any((x["file_id"], x["seg_idx"]) == ("a", 1) for x in part):
+            raise RuntimeError("no speech")
+        return [{"text": SAID[x["file_id"], x["seg_idx"]].replace("好", "去")} for x in part]
+
+    asked = []
+
+    def generate(part):
+        out = []
+        for x in part:
+            asked.append(x["prompt"])
+            between = "Alternative: 我哋去食飯，去呀。" in x["prompt"] and "Line: 我哋" in x["prompt"]
+            out.append({"response": "我哋去食飯，去呀。" if between else "食飯→飯食" if x["prompt"].startswith("1. 我哋") else ""})
+        return out
+
+    heard = pipeline.recognise(rows(spark), second, failed={"text": ""})
+    lost = {(r.file_id, r.seg_idx): (r.text, r.error) for r in heard.collect()}
+    assert lost["a", 1] == ("", "RuntimeError: no speech") and lost["b", 0] == ("去呀", None)
+    settled = pipeline.settle(pipeline.ensemble(pipeline.recognise(rows(spark), asr), heard), generate)
+    assert {(r.file_id, r.seg_idx): r.text for r in settled.collect()} == {("a", 0): "我哋去食飯，去呀。", ("a", 1): "嗯", ("b", 0): "好呀"}
+    out = captionlake.transcribe(rows(spark), asr, emit, VOCAB, generate=generate, second=second, checkpoint=str(tmp_path)).collect()
+    assert {r.text for r in out if r.file_id == "a"} == {"我哋去飯食，去啊。"} and all(r.words for r in out)
+    assert {p.name for p in tmp_path.iterdir()} == {"stage=asr", "stage=second", "stage=emissions", "stage=before_cleaning"}
 
 
 def test_references_and_guards(spark):

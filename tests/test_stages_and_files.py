@@ -35,6 +35,56 @@ def test_inference_keeps_rows(spark):
     assert all(r.upper == r.text + "!" for r in out.collect()) and out.count() == 20
 
 
+def test_a_failing_job_stands_alone():
+    tried = []
+
+    def fn(part):
+        tried.append(len(part))
+        if 7 in part or 12 in part:
+            raise RuntimeError(f"no {part}")
+        return [x * 10 for x in part]
+
+    got = dict(stages.run_batches(range(16), fn, 8, failed=lambda job, e: str(e)))
+    assert got == {k: k * 10 for k in range(16)} | {7: "no [7]", 12: "no [12]"}
+    assert tried.count(8) == 2 and max(tried) == 8
+    with pytest.raises(RuntimeError):
+        list(stages.run_batches(range(16), fn, 8))
+
+    def large(part):
+        if len(part) > 1 or part == [3]:
+            raise stages.OutOfMemory
+        return part
+
+    assert dict(stages.run_batches(range(5), large, 4, failed=lambda job, e: None)) == {0: 0, 1: 1, 2: 2, 3: None, 4: 4}
+
+
+def test_a_failing_row_loses_only_itself(spark):
+    def fn(part):
+        if any(x["text"] == "5" for x in part):
+            raise ValueError("bad row")
+        return [{"upper": x["text"] + "!"} for x in part]
+
+    rows = spark.range(20).select(F.col("id").alias("seg_idx"), F.col("id").cast("string").alias("text")).repartition(2)
+    out = {r.seg_idx: (r.upper, r.error) for r in stages.infer(rows, fn, ["text"], "upper string", 8, failed={"upper": ""}).collect()}
+    assert out == {k: (f"{k}!", None) for k in range(20)} | {5: ("", "ValueError: bad row")}
+
+
+def test_checkpoints_are_few_folders_and_only_whole_runs_count(spark, tmp_path):
+    stage = stages.Stage("asr", lambda df: df.where("NOT startswith(text, '1')").withColumn("n", F.length("text")), buckets=8, drops=F.col("text").startswith("1"))
+    rows = spark.range(3000).select(F.concat(F.lit("f"), F.col("id")).alias("file_id"), F.col("id").cast("string").alias("text"), F.lit(b"audio").alias("audio"))
+    assert stage.run(rows, str(tmp_path)).count() == 3000 - 1111
+    assert {k: stage.metrics[k] for k in ("rows_in", "dropped", "rows_out")} == {"rows_in": 3000, "dropped": 1111, "rows_out": 1889} and stage.metrics["seconds"] > 0
+    run = next((tmp_path / "stage=asr").iterdir())
+    assert len([p for p in run.iterdir() if p.is_dir()]) == 8 and len(list(run.rglob("*.parquet"))) == 8
+    table = {(r.stage, r.metric): r.value for r in stages.metrics_table(spark, [stage]).collect()}
+    assert table["asr", "dropped"] == 1111 and len(table) == 4
+    (run / "_SUCCESS").unlink()
+    assert stages.read_checkpoint(spark, f"{tmp_path}/stage=asr") is None
+    # a bucket for every row that the first run had computed, and none again afterwards
+    assert stage.run(rows.where("text = '2'"), str(tmp_path)).collect()[0].audio == b"audio"
+    assert stage.run(rows.where("text = '2'"), str(tmp_path)).count() == 1 and stage.metrics["rows_out"] == 0
+
+
 def test_stage_computes_only_what_is_missing(spark, tmp_path):
     asked = []
 

@@ -41,7 +41,7 @@ def test_manifest_errors(tmp_path):
 def test_cleaning(spark):
     todo = rules.load_steps(None, steps.builtin_steps(18))
     assert one(spark, rules.clean(F.lit("我 哋 去U.S.A.睇,好唔好?"), todo)) == "我哋去USA.睇，好唔好？"
-    assert one(spark, rules.clean(F.lit("三十五個人，係呀係呀係呀"), todo)) == "35個人，係呀…"
+    assert one(spark, rules.clean(F.lit("三十五個人，係呀係呀係呀"), todo)) == "35個人，係啊…"
 
 
 @pytest.mark.parametrize(
@@ -84,7 +84,7 @@ def test_character_classes(spark):
     assert {c for c, (x, _) in got.items() if x} == {"a", "７"} and {c for c, (_, y) in got.items() if y} == {"，", "-", "\u3000"}
 
 
-def test_line_breaks():
+def test_line_break_places():
     assert steps.break_line("短句", 18) == "短句"
     assert steps.break_line("一二三四五六，七八九十一二三四五六七", 10) == "一二三四五六，\n七八九十一二三四五六七"
     assert steps.break_line("甲" * 20, 18).count("\n") == 1
@@ -101,7 +101,17 @@ def test_segments_questions_and_spans(spark):
     assert one(spark, text.split_segments(F.lit("a？？b！c。d"))) == ["a？？", "b！", "c。", "d"]
     assert one(spark, text.is_question(F.lit("好唔好？"))) and one(spark, text.is_question(F.lit("邊個？"))) and not one(spark, text.is_question(F.lit("好。")))
     assert [tuple(x) for x in one(spark, text.sentence_spans(F.lit("ab，c。")))] == [(0, 2), (3, 4), (5, 5)]
-    assert one(spark, steps.question_particles(F.lit("好咩。好呀？"))) == "好嘅。好吖？"
+    assert not one(spark, text.is_question(F.lit("a唔a？"))) and one(spark, text.is_question(F.lit("a唔a？"), char="."))
+    for given, want in (
+        ("去唔去呀？好嘎。", "去唔去啊？好㗎。"),  # asked; stated
+        ("點解啫？", "點解唧？"),
+        ("真㗎？好啊？", "真嘎？好呀？"),  # a mark alone
+        ("乜你有冇食啊？", "乜你有冇食呀？"),  # asked, opened by the word
+        ("乜嘢嚟㗎呀？", "乜嘢嚟㗎啊？"),
+        ("好呀！去呀", "好啊！去啊"),
+        ("", ""),
+    ):
+        assert one(spark, steps.question_particles(F.lit(given))) == want
     assert one(spark, steps.trim_lines(F.lit("，a \n 　b，"))) == "a\nb"
     assert one(spark, text.trailing_particles(F.lit("係啦喎"))[1]) == "啦喎"
 
