@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.common import Memo, Scratch, held, slices
+from captionlake.llm.common import BASE1, BASE3, Memo, Scratch, held, lower_ascii, slices, string_bytes, word_hashes
 
 #: What a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "§": "s", "¢": "c", "#": "h", "%": "o", "&": "a"}
@@ -33,6 +33,13 @@ CLASSES = 64
 _TOKEN = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}|\S+")
 #: A letter twice in a row, blanks, and signs that may stand for something else or for nothing: a lattice of several paths.
 _ODD = re.compile(rf"([^\W\d_])\1|[ \t{re.escape(''.join(LEET) + MARKS)}]")
+#: A letter twice in a row; three times or more; words that are counted; addresses, and numbers with a letter after them.
+_TWICE, _LONGER, _KNOWABLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1{2,}"), re.compile(r"[^\W_]+(?:'[^\W_]+)*\Z")
+_PLAIN = re.compile(r"://|^www\.|\S@\S+\.\w|^\d+(?:[.,:/-]\d+)*[a-zµ°%]{0,3}$|^[0-9a-f]{12,}$")
+#: Signs that may decorate the end of a word.
+_DECORATION = "!$|+€£<>(§¢#%&@"
+#: Occurrences from which a word with odd signs counts as known; times that a plain word's new form must be more frequent.
+KNOWN, DOUBTFUL = 5, 4
 #: Signs after which the search sets aside what all its paths have in common.
 COMMIT = 32
 
@@ -77,6 +84,51 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+#: Cells of the words' counts: a fixed table, in which rare words share cells and frequent ones stand out.
+WORD_CELLS = 1 << 18
+_WORD = np.zeros(256, dtype=bool)
+_WORD[[*range(48, 58), *range(97, 123), *range(128, 256), ord("'")]] = True
+_M64 = (1 << 64) - 1
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences of words (letters, digits and apostrophes, small) in every whole text, by hashed cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORD_CELLS, dtype=np.int64)
+        for part in slices(batches):
+            data, offs = string_bytes(part.column(0))
+            low = lower_ascii(data)
+            inside = np.zeros(len(low) + 2, dtype=bool)
+            inside[1:-1] = _WORD[low]
+            starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            cells = word_hashes(low, starts, ends) & np.uint64(WORD_CELLS - 1)
+            np.add.at(total, cells.astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    # a blank after each text, so that words of two texts don't meet
+    rows = docs.select(F.concat(F.col("text").cast("string"), F.lit(" ")).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = rows.toPandas()  # at most WORD_CELLS rows of 12 bytes
+    out = np.zeros(WORD_CELLS, dtype=np.int64)
+    out[table["cell"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    return out
+
+
+def word_cell(word: str) -> int:
+    """The cell of one word, as word_counts() has it."""
+    x, power, data = 0, 1, word.encode("utf-8", "replace")
+    for b in data:
+        x += (b + 1) * power
+        power = power * BASE1 & _M64
+    x = (x + len(data) * BASE3) & _M64
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _M64
+    return (x ^ x >> 31) & (WORD_CELLS - 1)
+
+
 def language_model(counts: np.ndarray) -> np.ndarray:
     """log P(c | a, b), each order smoothed by the one below it."""
     n3 = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
@@ -88,10 +140,10 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Restores words under one language model."""
+    """Restores words under one language model and, where they are given, the words' counts."""
 
-    def __init__(self, lm: np.ndarray) -> None:
-        self.lm = lm
+    def __init__(self, lm: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.lm, self.counts = lm, counts
         self._flat = lm.ravel().tolist()
         self._code: dict[str, int] = {}
 
@@ -101,11 +153,12 @@ class Restorer:
         return bool(_ODD.search(word))
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
+    def lattice(word: str, twice: bool = False) -> list[list[tuple[str, float]]]:
+        """twice: a letter that stands twice in a row stays so."""
         out, last = [], ""
         for c in word:
             if c.isalpha():
-                arcs = [(c, KEEP)] + ([("", DROP_REPEAT)] if c == last else [])
+                arcs = [(c, KEEP)] + ([("", DROP_REPEAT)] if c == last and not twice else [])
                 last = c
             elif c in " \t":
                 arcs = [("", DROP_MARK), (" ", BREAK)]
@@ -118,14 +171,14 @@ class Restorer:
             out.append(arcs)
         return out
 
-    def decode(self, word: str) -> str:
+    def decode(self, word: str, twice: bool = False) -> str:
         """The likeliest path; a state is the last two classes, and ties keep the path found first.
 
         What all paths have in common is set aside as the search goes on, so a path holds only its own end.
         """
         lm, codes, done = self._flat, self._code, []
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for at, arcs in enumerate(self.lattice(word), 1):
+        for at, arcs in enumerate(self.lattice(word, twice), 1):
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for c, price in arcs:
                 if c and c not in codes:
@@ -147,7 +200,35 @@ class Restorer:
         bare = token.strip(".,;:?\"'()[]{}<>*%&#~_-=/\\`…«»¿")
         if not self.suspicious(bare):
             return [bare] if bare else []
-        return [x for x in (y.strip(".,;:!?") for y in self.decode(bare).split()) if x]
+        if self.counts is not None:
+            return self._likeliest(bare)
+        return self._words(self.decode(bare))
+
+    @staticmethod
+    def _words(said: str) -> list[str]:
+        return [x for x in (y.strip(".,;:!?") for y in said.split()) if x]
+
+    def known(self, words: list[str]) -> int:
+        """How often the rarest of the words occurs in all documents."""
+        return min((int(self.counts[word_cell(w)]) if _KNOWABLE.match(w) else 0 for w in words), default=0)
+
+    def _likeliest(self, bare: str) -> list[str]:
+        """The search's word, or what it is if letters stay that stand twice, whichever is known better; but the word as it
+        stands if it has no letters, is an address or a number, or is known better than what it would become."""
+        if _PLAIN.search(bare) or not any(c.isalpha() for c in bare):
+            return [bare]
+        found = [self._words(self.decode(bare))]
+        if _TWICE.search(bare):
+            found.append(self._words(self.decode(_LONGER.sub(r"\1\1", bare), True)))
+        best = max(found, key=self.known)  # of equals the first
+        if (trimmed := bare.rstrip(_DECORATION)) != bare and trimmed:
+            # signs at the end mean nothing, unless they make a word that is known far better
+            plain = self._likeliest(trimmed) if self.suspicious(trimmed) else [trimmed]
+            best = best if self.known(best) >= max(KNOWN, DOUBTFUL * self.known(plain)) else plain
+        own, new = self.known([bare]), self.known(best)
+        if bare.isalpha() and not _LONGER.search(bare):
+            return best if new > DOUBTFUL * own + 1 else [bare]
+        return [bare] if own >= KNOWN and new < own else best
 
     def restore(self, text: str) -> str:
         return " ".join(x for t in _TOKEN.findall(text) for x in self.word(t))
@@ -175,6 +256,7 @@ class Model:
     lm: np.ndarray
     features: dict[int, float]
     bias: float
+    words: np.ndarray | None = None
 
     def score(self, found: set[int]) -> float:
         z = self.bias + sum(self.features[f] for f in found)
@@ -186,7 +268,7 @@ class Scorer(Memo):
 
     def __init__(self, model: Model) -> None:
         super().__init__(100_000)
-        self.model, self.restorer = model, Restorer(model.lm)
+        self.model, self.restorer = model, Restorer(model.lm, model.words)
 
     def compute(self, key: str) -> tuple[int, ...]:
         return tuple({f for w in self.restorer.word(key) for f in word_features(w) if f in self.model.features})
@@ -201,7 +283,7 @@ class Scorer(Memo):
 
 def scorer_of(model: Model) -> Scorer:
     """One table for all tasks of a Python worker that score by the same model."""
-    return held(("scorer", model.bias, tuple(model.features.items()), model.lm.tobytes()), lambda: Scorer(model))
+    return held(("scorer", model.bias, tuple(model.features.items()), model.lm.tobytes(), None if model.words is None else model.words.tobytes()), lambda: Scorer(model))
 
 
 def chosen_features(found: DataFrame, n_pos: int, n: int, settings: Settings) -> list[int]:
@@ -216,12 +298,12 @@ def chosen_features(found: DataFrame, n_pos: int, n: int, settings: Settings) ->
     return [r["f"] for r in best.select("f").collect()]
 
 
-def fit(rows: list[tuple[int, np.ndarray]], features: list[int], lm: np.ndarray) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], features: list[int], lm: np.ndarray, words: np.ndarray | None = None) -> Model:
     """Logistic regression; rows are (label, places of its features in `features`)."""
     labels = np.array([y for y, _ in rows], dtype=float)
     n_pos, n = labels.sum(), len(rows)
     if not n or n_pos in (0, n):
-        return Model(lm, {}, float(np.log((n_pos + 0.5) / (n - n_pos + 0.5))))
+        return Model(lm, {}, float(np.log((n_pos + 0.5) / (n - n_pos + 0.5))), words)
     c = np.concatenate([f for _, f in rows]).astype(np.int64)
     r = np.repeat(np.arange(n), [len(f) for _, f in rows])
     w, b = np.zeros(len(features)), 0.0
@@ -233,7 +315,7 @@ def fit(rows: list[tuple[int, np.ndarray]], features: list[int], lm: np.ndarray)
         gw, gb = np.bincount(c, e[r], len(features)) + 1e-5 * w, e.sum()
         sum_w, sum_b = sum_w + gw**2, sum_b + gb**2
         w, b = w - 0.5 * gw / np.sqrt(sum_w), b - 0.5 * gb / np.sqrt(sum_b)
-    return Model(lm, dict(zip(features, w.tolist(), strict=True)), float(b))
+    return Model(lm, dict(zip(features, w.tolist(), strict=True)), float(b), words)
 
 
 def held_out():
@@ -241,13 +323,14 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> Model:
-    """The language model of all documents, and the classifier of a bounded sample of the labelled rows not held out.
+    """The language model and the words' counts of all documents, and the classifier of a bounded sample of the labelled rows not held out.
 
     A label without its document, without an id or other than 0 and 1 is left out; of an id labelled twice the higher label
     counts; different texts of one id are all used, repeated rows once, and never more texts than ids could be picked. What comes to the driver:
-    64**3 counts, max_features features, and for each sampled text the places of those among them.
+    two tables of 2**18 counts, max_features features, and for each sampled text the places of those among them.
     """
-    lm = language_model(trigram_counts(docs))
+    lm, counts = language_model(trigram_counts(docs)), word_counts(docs)
+    words = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     picks = None
     for y in (0, 1):
@@ -256,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), s
     sample = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")  # at most 2 * sample_per_label ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(lm)
+        restorer = Restorer(lm, words)
         for part in slices(batches):
             out = [sorted({f for t in set(_TOKEN.findall(text or "")) for w in restorer.word(t) for f in word_features(w)}) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "key", "found"])
@@ -280,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), s
 
     rows = [(r["toxic"], np.frombuffer(r["places"], "<u2")) for r in found.select("toxic", "found").mapInArrow(places, "toxic int, places binary").collect()]
     scratch.drop(*tables)
-    return fit(sorted(rows, key=lambda x: (x[0], x[1].tobytes())), features, lm)
+    return fit(sorted(rows, key=lambda x: (x[0], x[1].tobytes())), features, lm, words)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -205,7 +205,7 @@ def test_scores_are_those_of_a_plain_fit(spark, talk):
     docs, labels, truth = talk
     docs = docs.where("doc_id < 240 AND doc_id <> 5")
     model = tox.train(docs, labels, tox.Settings(max_features=60))
-    r, truth = tox.Restorer(model.lm), dict(truth)
+    r, truth = tox.Restorer(model.lm, model.words), dict(truth)
     found = {d.doc_id: {f for w in r.restore(d.text).split() for f in tox.word_features(w)} for d in docs.collect()}
     fitted = sorted(i for i in found if zlib.crc32(str(i).encode()) % 5)
     n, pos = len(fitted), sum(truth[i] for i in fitted)
@@ -235,6 +235,43 @@ def test_scores_are_those_of_a_plain_fit(spark, talk):
         assert abs(row.score - 1 / (1 + np.exp(-b - sum(w.get(f, 0) for f in found[row.doc_id])))) < 1e-6
 
 
+def test_word_counts_are_those_of_plain_counting(spark, talk):
+    texts = [r.text for r in talk[0].collect()] + ["Don't  stop.Now é_é 3rd", "ÀB", None, ""]
+    counts = tox.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = Counter(w.decode() for t in texts if t for w in re.findall(rb"[0-9a-z'\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())))
+    cells = Counter()
+    for w, n in want.items():
+        cells[tox.word_cell(w)] += n
+    assert {k: n for k, n in enumerate(counts.tolist()) if n} == dict(cells)
+
+
+def test_ordinary_words_and_numbers_stay(spark, talk):
+    docs = talk[0].select("text").unionByName(spark.createDataFrame([("good letters well running free committee happen worthless " * 3,)] * 20, "text string"))
+    r = tox.Restorer(tox.language_model(tox.trigram_counts(docs)), tox.word_counts(docs))
+    same = "good letters well running free committee apples trees 2024 100 10:30 3.14 3rd 2020 12kg http://a.b/c?x=1 a.b@c.org www.x.yy 0123456789abcdef"
+    assert r.restore(same) == same.lower()
+    for given, want in (("1d10t", "idiot"), ("m o r o n", "moron"), ("stuuupid", "stupid"), ("stuupid", "stupid"), ("goood", "good"), ("s.t.u.p.i.d", "stupid"), ("w0rthle$$", "worthless"), ("stupid!!", "stupid"), ("river$$$", "river"), ("STUPID!!!", "stupid")):
+        assert r.restore(given) == want, (given, r.restore(given))
+
+
+def test_restoring_tells_hidden_words(spark):
+    """Held-out rows of the tables, their toxic words hidden: with the search nearly all are found again, without it few."""
+    rng, sf = random.Random(1), "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = tox.train(docs, labels)
+    words = [w for w in ("worthless", "stupid", "loser", "scum", "idiot", "moron", "pathetic", "trash", "disgusting") if any(model.features.get(f, 0) > 0.3 for f in tox.word_features(w))]
+    hide = (lambda w: w.translate(str.maketrans("oieas", "013@$")), " ".join, ".".join, lambda w: "".join(c * 3 if i == 1 else c for i, c in enumerate(w)))
+    pattern = re.compile(rf"\b({'|'.join(words)})\b", re.I)
+    rows = docs.join(labels.where("toxic = 1"), "doc_id").where(tox.held_out()).select("text").collect()
+    shown = [r.text for r in rows if pattern.search(r.text)]
+    hidden = [pattern.sub(lambda m: rng.choice(hide)(m[0].lower()), t) for t in shown]
+    scorer, plain = tox.Scorer(model), tox.Scorer(model)
+    plain.restorer = type("Plain", (tox.Restorer,), {"suspicious": staticmethod(lambda word: False)})(model.lm)
+    share = lambda s, texts: np.mean([s.score(t) >= 0.5 for t in texts])
+    assert len(words) > 5 and len(shown) > 50
+    assert share(scorer, hidden) >= 0.95 * share(scorer, shown) > 0.8 and share(plain, hidden) < 0.5
+
+
 def test_odd_texts_have_a_score(spark, talk):
     model = tox.train(*talk[:2])
     odd = [(1, "... --- !!! ***"), (2, "@" * 300), (3, "s" + "t" * 5000 + "upid"), (4, " ".join("stupid" * 400)), (5, "\U0001f600 \u202e \x00")]
