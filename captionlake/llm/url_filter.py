@@ -1,5 +1,5 @@
 """URL filters: longest-match host and path rules, then a logistic regression on hashed character n-grams of host and path,
-trained from a small table of labelled URLs."""
+trained from a small table of labelled URLs: some written whole, some put together from names by one rule for both labels."""
 
 from __future__ import annotations
 
@@ -161,6 +161,35 @@ casino-slots-win.example.com/bonus-code
 ad-click.example.net/track/redirect
 """
 
+#: Names of hosts, written by hand (fixed values): what they are about, and invented ones, which say nothing; then what is
+#: not wanted. Both halves are put together by the same rule, so that hyphens, prefixes, domains and forms of paths say nothing.
+GOOD_NAMES = """
+library museum garden school weather recipes history science orchestra theatre village bakery chess hiking poetry music travel
+astronomy farming cooking cycling football gallery parliament hospital railway dictionary geography linguistics chemistry
+tholen thesara ithrel onther atenth ringhe shatin ouathe ndreth blethon estion ationel haretin wheren lyance thonder tharith
+enthora theredin ondshe tionder thethin athish edthan erestin ithanor blerin shethou tinghan restha orthen ansthe thathern
+morel vasken lumbra perion kadesh uvanta sorbel quillon zemra fjolda brynna hessia
+""".split()
+GOOD_PARTS = "city old north online blue river family open daily free best new house".split()
+BAD_NAMES = """
+casino slots poker bets betting jackpot roulette bingo lottery pills viagra cialis steroids pharmacy porn xxx sex nude adult
+cams escorts hentai loans payday credit forex crypto bitcoin replica rolex spam ads adserver popup clicks banner affiliate
+backlinks followers warez crack keygen torrent nulled hacked malware phishing fakeid winner prize giveaway
+""".split()
+BAD_PARTS = "win cheap free track farm online bonus hot best buy now online fast".split()
+PREFIXES, DOMAINS = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net", "example.info", "example.io")
+FORMS = ("/en/{}", "/{}.html", "/fr/{}.html", "/de/{}/", "/es/{}", "/", "/en/{}.html", "/fr/{}/", "/page/{}")
+
+
+def named_urls() -> list[tuple[str, int]]:
+    """Each name alone, before and after a part, under prefixes, domains and paths that go round alike in both halves."""
+    out = []
+    for label, names, parts in ((0, GOOD_NAMES, GOOD_PARTS), (1, BAD_NAMES, BAD_PARTS)):
+        hosts = [h for k, x in enumerate(names) for h in (x, f"{x}-{parts[k % len(parts)]}", f"{parts[(k * 5 + 3) % len(parts)]}-{x}")]
+        out += [(f"http://{PREFIXES[k % 4]}{h}.{DOMAINS[k % 5]}{FORMS[k % 9].format(k * 37 % 9973)}", label) for k, h in enumerate(hosts)]
+    return out
+
+
 BUCKETS, SIZES, EPOCHS, RATE, PENALTY = 1 << 14, (3, 4, 5), 200, 0.5, 1e-4
 
 
@@ -182,7 +211,8 @@ def features(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    return [(f"http://{u}", label) for label, table in enumerate((WANTED, UNWANTED)) for u in table.split()]
+    """The URLs written by hand, then those of the names."""
+    return [(f"http://{u}", label) for label, table in enumerate((WANTED, UNWANTED)) for u in table.split()] + named_urls()
 
 
 def held_out_accuracy(table: list[tuple[str, int]], folds: int = 10) -> float:
