@@ -217,6 +217,8 @@ class Restorer:
         stands if it has no letters, is an address or a number, or is known better than what it would become."""
         if _PLAIN.search(bare) or not any(c.isalpha() for c in bare):
             return [bare]
+        if bare.isalpha() and not _LONGER.search(bare):
+            return self._once(bare)
         found = [self._words(self.decode(bare))]
         if _TWICE.search(bare):
             found.append(self._words(self.decode(_LONGER.sub(r"\1\1", bare), True)))
@@ -226,10 +228,21 @@ class Restorer:
             plain = self._likeliest(trimmed) if self.suspicious(trimmed) else [trimmed]
             best = best if self.known(best) >= max(KNOWN, DOUBTFUL * self.known(plain)) else plain
         own, new = self.known([bare]), self.known(best)
-        if bare.isalpha() and not _LONGER.search(bare):
-            return best if new > DOUBTFUL * own + 1 else [bare]
         return [bare] if own >= KNOWN and new < own else best
 
+    def _once(self, bare: str) -> list[str]:
+        """A word of letters, some of them twice: what the search makes of it if that is known far better.
+
+        The search can only leave out one of each two; where no such word is known far better, it need not run.
+        """
+        least, spots = DOUBTFUL * self.known([bare]) + 1, [m.start() for m in _TWICE.finditer(bare)]
+        if len(spots) <= 4:
+            ways = ({x for k, x in enumerate(spots) if way >> k & 1} for way in range(1, 1 << len(spots)))
+            if not any(self.known(["".join(c for i, c in enumerate(bare) if i not in gone)]) > least for gone in ways):
+                return [bare]
+        best = self._words(self.decode(bare))
+        return best if self.known(best) > least else [bare]
+
     def restore(self, text: str) -> str:
         return " ".join(x for t in _TOKEN.findall(text) for x in self.word(t))
 
