@@ -75,6 +75,21 @@ def trailing_particles(text: Column, chars: str = PARTICLES) -> tuple[Column, Co
     return F.substring(text, F.lit(1), at), run, at
 
 
+def sentence_extents(text: Column, marks: str = ".!?") -> Column:
+    """array<struct<first,end,mark,n>> of the parts of a text that end with a mark: places of the first and past the last
+    character other than a blank (null where there is none), of a last mark (else null), and the number of characters."""
+    pieces = F.filter(F.split(text, f"(?<=[{marks}])"), lambda x: x != "")
+    short = F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), F.length(F.ltrim(x)).alias("l"), F.length(F.rtrim(x)).alias("r"), F.right(x, F.lit(1)).isin(*marks).alias("m")))
+
+    def add(acc: Column, p: Column) -> Column:
+        at, solid = acc["at"], p["l"] > 0
+        row = F.struct(F.when(solid, at + p["n"] - p["l"]).alias("first"), F.when(solid, at + p["r"]).alias("end"), F.when(p["m"], at + p["n"] - 1).alias("mark"), p["n"].alias("n"))
+        return F.struct((at + p["n"]).alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,end:int,mark:int,n:int>>").alias("rows"))
+    return F.aggregate(short, none, add)["rows"]
+
+
 def translate_chars(text: Column, pairs: dict[str, str]) -> Column:
     """One-to-one variants in one pass; an output that is another's input would depend on order, and is refused."""
     if set(pairs) & set(pairs.values()) or any(len(a) != 1 or len(b) != 1 for a, b in pairs.items()):

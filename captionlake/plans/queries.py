@@ -360,15 +360,9 @@ def group_concat_same_span(spark, sf):
  SELECT file_id, sentence, min(pos * 80) FILTER (ch <> ' ') AS s, max(pos * 80 + 80) FILTER (ch <> ' ') AS e, CASE WHEN arg_max(ch, pos) IN ('.', '!', '?') THEN max(pos) * 80 END AS release_from, length(string_agg(ch, '' ORDER BY pos)) AS n FROM g GROUP BY file_id, sentence"""
 )
 def sentence_extent(spark, sf):
-    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("char"), (i.cast("bigint") * 80).alias("s")))
-    parts = F.filter(words.cut(chars, lambda c: c.isin(".", "!", "?"), keep=True), lambda cs: F.size(cs) > 0)
-
-    def extent(cs):
-        solid = F.transform(F.filter(cs, lambda c: c["char"] != " "), lambda c: c["s"])
-        return words.let(F.element_at(cs, -1), lambda last: F.struct(F.array_min(solid).alias("s"), (F.array_max(solid) + 80).alias("e"), F.when(last["char"].isin(".", "!", "?"), last["s"]).alias("release_from"), F.size(cs).cast("bigint").alias("n")))
-
-    found = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.transform(parts, extent)).alias("sentence", "x"))
-    return found.select("file_id", F.col("sentence").cast("bigint").alias("sentence"), "x.*")
+    found = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(text.sentence_extents(F.col("text"))).alias("k", "x"))
+    ms = lambda c: F.col(c).cast("bigint") * 80
+    return found.select("file_id", F.col("k").cast("bigint").alias("sentence"), ms("x.first").alias("s"), ms("x.end").alias("e"), ms("x.mark").alias("release_from"), F.col("x.n").cast("bigint").alias("n"))
 
 
 _TIMED = r"""t AS (SELECT conv_id AS file_id, turn AS seg_idx, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM conversations),
