@@ -30,13 +30,14 @@ def lengths(blocks: DataFrame, size: int = SIZE) -> DataFrame:
 def slices(blocks: DataFrame, spans: DataFrame, size: int = SIZE) -> DataFrame:
     """Add samples to spans (file_id, a, b and what tells them apart): those from a up to b of their file, as far as there are any.
 
-    A span meets only the blocks that it covers, by (file, block): no file is gathered, and a span's own pieces are put
+    A null file_id is a file as any other. A span meets only the blocks that it covers, by (file, block): no file is gathered, and a span's own pieces are put
     together in its row.
     """
     a, b, block = F.col("a"), F.col("b"), F.col("_block")
     covered = F.when(b > a, F.sequence(F.expr(f"a div {size}"), F.expr(f"(b - 1) div {size}")))
     parts = spans.withColumn("_block", F.explode_outer(covered))
-    found = parts.join(blocks.select("file_id", F.col("block").alias("_block"), "samples"), ["file_id", "_block"], "left")
+    held = blocks.select(F.col("file_id").alias("_file"), F.col("block").alias("_at"), "samples")
+    found = parts.join(held, F.col("file_id").eqNullSafe(F.col("_file")) & (block == F.col("_at")), "left").drop("_file", "_at")
     first = F.greatest(a - block * size, F.lit(0))
     piece = F.coalesce(F.col("samples").substr((first * 4 + 1).cast("int"), ((F.least(b - block * size, F.lit(size)) - first) * 4).cast("int")), F.lit(b""))
     names = spans.columns

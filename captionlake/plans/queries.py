@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionlake.functions import boundaries, formatting, rules, steps, text, words
-from captionlake.operators import align, audio, blocks, edit_rate, folds, intervals, metrics, sequence
+from captionlake.operators import align, audio, blocks, edit_rate, folds, intervals, metrics, sequence, spectra
 from captionlake.plans import retime, speech, stages
 from captionlake.sources import config, media
 
@@ -266,6 +267,40 @@ def isolated_audio(spark, sf):
     return done.select("file_id", "seg_idx", F.posexplode(blocks.unpack("audio")).alias("p", "v")).select("file_id", "seg_idx", F.col("p").cast("bigint").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+@query(f"WITH {_BLOCKS} SELECT file_id || '.wav' AS file_id, pos // 100 AS block, pos % 100 AS i, round_even(least(greatest(v, CAST(-1 AS DOUBLE)), CAST(32767 AS DOUBLE) / 32768) * 32768, 0) / 32768 + CAST(0 AS DOUBLE) AS value FROM (SELECT file_id, k * 64 + generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM w)")
+def decoded_audio(spark, sf):
+    """Each label's signal as a WAV file, decoded to blocks of 100 samples."""
+    whole = signal_blocks(spark, sf).groupBy("file_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "embedding"))), lambda x: x["embedding"])).alias("x"))
+
+    @F.pandas_udf("binary")
+    def wav(x: pd.Series) -> pd.Series:
+        return x.map(media.encode_wav)
+
+    stored = whole.select(F.concat(F.lit("/sound/"), F.col("file_id"), F.lit(".wav")).alias("path"), wav("x").alias("content"))
+    done = media.decode_blocks(stored, size=100)
+    return done.select("file_id", "block", F.posexplode(blocks.unpack("samples")).alias("i", "v")).select("file_id", "block", F.col("i").cast("bigint").alias("i"), F.col("v").cast("double").alias("value"))
+
+
+@query(
+    f"""WITH {_BLOCKS}, s AS (SELECT file_id, k * 64 + generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM w),
+ t AS (SELECT file_id, max(pos) + 1 AS total FROM s GROUP BY file_id), f AS (SELECT file_id, total, unnest(range(total // 8)) AS frame FROM t),
+ q AS (SELECT file_id, frame, i, CASE WHEN p < 0 THEN -p WHEN p >= total THEN 2 * total - 2 - p ELSE p END AS pos FROM (SELECT *, frame * 8 - 8 + i AS p FROM f, range(16) r(i))),
+ x AS (SELECT file_id, frame, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS v FROM q JOIN s USING (file_id, pos)),
+ d AS (SELECT file_id, frame, b, pow(sum(v * cos(2 * pi() * i * b / 16)), 2) + pow(sum(v * sin(2 * pi() * i * b / 16)), 2) AS p FROM x, range(9) r(b) GROUP BY ALL),
+ m AS (SELECT j, (15 + ln(CAST(8 AS DOUBLE)) / (ln(CAST(6.4 AS DOUBLE)) / 27)) * j / 5 AS m FROM range(6) r(j)),
+ h AS (SELECT j, CASE WHEN m >= 15 THEN 1000 * exp(ln(CAST(6.4 AS DOUBLE)) / 27 * (m - 15)) ELSE m * 200 / 3 END AS hz FROM m),
+ g AS (SELECT l.j AS mel, b, greatest(0, least((b * 1000 - l.hz) / (c.hz - l.hz), (u.hz - b * 1000) / (u.hz - c.hz))) * 2 / (u.hz - l.hz) AS g FROM h l JOIN h c ON c.j = l.j + 1 JOIN h u ON u.j = l.j + 2, range(9) r(b)),
+ y AS (SELECT file_id, frame, mel, log10(greatest(sum(p * g), CAST(1e-10 AS DOUBLE))) AS y FROM d JOIN g USING (b) GROUP BY ALL)
+ SELECT file_id, frame, mel, round(CAST(CAST((greatest(y, max(y) OVER (PARTITION BY file_id) - 8) + 4) / 4 AS FLOAT) AS DOUBLE), 5) + CAST(0 AS DOUBLE) AS value FROM y"""
+)
+def mel_frames(spark, sf):
+    """Log-mel values of each label's signal: windows of 16 samples every 8, stretches of 50 frames over blocks of 64 samples."""
+    rows = signal_blocks(spark, sf).select("file_id", F.col("k").alias("block"), blocks.pack(F.col("embedding")).alias("samples"))
+    done = spectra.log_mel(rows, n_fft=16, hop=8, mels=4, frames=50, size=64)
+    each = done.select("file_id", "first", F.posexplode("values").alias("i", "v")).select("file_id", (F.col("first") + F.col("i")).alias("frame"), F.posexplode("v").alias("mel", "x"))
+    return each.select("file_id", "frame", F.col("mel").cast("bigint").alias("mel"), F.round(F.col("x").cast("double"), 5).alias("value"))
+
+
 _ISLES = f"""{_seg("g")}, c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY file_id ORDER BY seg_idx) = label THEN 0 ELSE 1 END AS ch FROM g),
  r AS (SELECT *, sum(ch) OVER (PARTITION BY file_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS run FROM c), m AS (SELECT file_id, CAST(run AS BIGINT) AS run, min(label) AS token, min(seg_idx) AS first_frame, max(seg_idx) + 1 AS end_frame, avg(value) AS score, count(*) AS n FROM r GROUP BY ALL)"""
 

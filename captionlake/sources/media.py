@@ -7,13 +7,15 @@ import json
 import shutil
 import subprocess
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionlake.operators import blocks
+
 #: Fixed value: file extensions taken as media.
 MEDIA = ("mp4", "mkv", "avi", "mov", "webm", "ts", "m2ts", "wav", "mp3", "flac", "aac", "ogg", "m4a", "opus")
 RATE = 16_000
@@ -49,14 +51,34 @@ def probe_tracks(path: str) -> list[dict]:
         return []
 
 
-def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
-    """Mono float32 in [-1, 1) of 16-bit PCM; other rates by linear interpolation."""
+def _pcm(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Mean of the channels in [-1, 1) of integer samples of 1 (unsigned) to 4 bytes."""
+    if width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
+    x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(float)
+    return ((x - 128 if width == 1 else x) / 2.0 ** (8 * width - 1)).reshape(-1, channels).mean(axis=1)
+
+
+def wav_pieces(content: bytes, rate: int = RATE, size: int = blocks.SIZE) -> Iterator[np.ndarray]:
+    """Mono float32 in [-1, 1) of PCM in pieces of `size` samples, the last perhaps shorter; other rates by linear interpolation."""
     with wave.open(io.BytesIO(content)) as w:
-        x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
-        have = w.getframerate()
-    if have != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / have)) * have / rate, np.arange(len(x)), x)
-    return x.astype(np.float32)
+        have, n, form = w.getframerate(), w.getnframes(), (w.getsampwidth(), w.getnchannels())
+        total = n if have == rate else int(n * rate / have)
+        for a in range(0, total, size):
+            at = np.arange(a, min(a + size, total)) * have / rate
+            first, last = int(at[0]), min(int(at[-1]) + 1, n - 1)
+            w.setpos(first)
+            x = _pcm(w.readframes(last - first + 1), *form)
+            if not len(x):
+                return
+            yield (x[: len(at)] if have == rate else np.interp(at, np.arange(first, first + len(x)), x)).astype(np.float32)
+
+
+def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
+    """Mono float32 in [-1, 1) of PCM; other rates by linear interpolation."""
+    return np.concatenate([np.zeros(0, np.float32), *wav_pieces(content, rate)])
 
 
 def encode_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -75,3 +97,34 @@ def load_audio(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": f["path"], "samples": [decode_wav(bytes(c)).tobytes() for c in f["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, samples binary")
+
+
+def decode_blocks(files: DataFrame, rate: int = RATE, size: int = blocks.SIZE) -> DataFrame:
+    """file_id, block, samples of WAV files (path, content): a block at a time, so that no file is held as numbers.
+
+    The file_id is the path's last part. A file that is no PCM WAV is a ValueError that names it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    for k, x in enumerate(wav_pieces(bytes(content), rate, size)):
+                        yield pd.DataFrame({"file_id": [path.rpartition("/")[2]], "block": [k], "samples": [x.astype("<f4").tobytes()]})
+                except (wave.Error, EOFError) as e:
+                    raise ValueError(f"{path}: {e}") from e
+
+    return files.select("path", "content").mapInPandas(run, "file_id string, block long, samples binary")
+
+
+def probe(files: DataFrame, reader: Callable[[str], list[dict]] = probe_tracks) -> DataFrame:
+    """path, streams: the audio streams of each file as parse_streams gives them, [] where they can't be read.
+
+    files: path. reader: path -> streams, called in the tasks; what it raises ends the job, as a missing ffprobe does.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "probe": [json.dumps({"streams": reader(p.removeprefix("file:"))}) for p in f["path"]]})
+
+    return files.select("path").mapInPandas(run, "path string, probe string").select("path", parse_streams(F.col("probe")).alias("streams"))

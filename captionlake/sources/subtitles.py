@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from captionlake.functions.formatting import aud_line, caption_text, milliseconds, srt_block, strip, tsv_line, vtt_cue
+from captionlake.sources import files
 
 FORMATS = ("txt", "vtt", "srt", "tsv", "json", "aud")
 #: What the selection `all` writes.
@@ -77,45 +82,53 @@ class _Commit(WriterCommitMessage):
 
 
 class CaptionWriter(DataSourceWriter):
-    """One file per file_id: written under a temporary name by its task, renamed when the job commits."""
+    """One file per file_id on any file system: rows are streamed to a staging folder of the job, from which the commit moves them.
+
+    What failed or repeated tasks leave is only in that folder, which goes with the commit or the abort. Two file_ids of one
+    name end the job before any file is moved, a null file_id when it is met.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.root, self.form, self.language = options["path"], options.get("form", "txt"), options.get("language")
+        self.root, self.form, self.language = options["path"].rstrip("/"), options.get("form", "txt"), options.get("language")
+        self.opener, self.staging = options.get("opener"), f"_staging-{uuid.uuid4().hex}"
+
+    def store(self):
+        fs, root = files.open_store(self.root, self.opener)
+        return fs, root, f"{root}/{self.staging}"
 
     def write(self, rows: Iterator) -> _Commit:
-        names, current, f, items = [], None, None, []
-
-        def close() -> None:
-            if f is not None:
-                if self.form == "json":
-                    json.dump({"segments": items, "language": self.language}, f, ensure_ascii=False)
-                f.close()
-
-        for r in rows:
-            if r["file_id"] != current:
-                close()
-                current, items = r["file_id"], []
-                final = os.path.join(self.root, f"{Path(str(current)).stem}.{self.form}")
-                temporary = f"{final}.{uuid.uuid4().hex}.part"
-                names.append((temporary, final))
-                f = open(temporary, "w", encoding="utf-8")
-            if self.form == "json":
-                items.append(json.loads(r["line"]))
-            else:
-                f.write(r["line"] + "\n")
-        close()
+        fs, _, staging = self.store()
+        fs.create_dir(staging, recursive=True)
+        head, between, tail = ('{"segments": [', ", ", f'], "language": {json.dumps(self.language, ensure_ascii=False)}}}') if self.form == "json" else ("", "\n", "\n")
+        names: list[tuple[str, str]] = []
+        for file_id, part in itertools.groupby(rows, key=lambda r: r["file_id"]):
+            if file_id is None:
+                raise ValueError("captions without a file_id have no file to go to")
+            names.append((uuid.uuid4().hex, f"{Path(file_id).stem}.{self.form}"))
+            with fs.open_output_stream(f"{staging}/{names[-1][0]}", compression=None, buffer_size=1 << 16) as f:
+                f.write(head.encode())
+                for k, r in enumerate(part):
+                    f.write(((between if k else "") + r["line"]).encode("utf-8", "replace"))
+                f.write(tail.encode())
         return _Commit(names)
 
     def commit(self, messages: list) -> None:
-        for m in messages:
-            for a, b in m.names if m else ():
-                os.replace(a, b)
+        fs, root, staging = self.store()
+        names = [x for m in messages if m for x in m.names]
+        if twice := sorted(n for n, k in Counter(n for _, n in names).items() if k > 1):
+            fs.delete_dir(staging)
+            raise ValueError(f"several files would be {', '.join(twice[:5])}")
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda x: fs.move(f"{staging}/{x[0]}", f"{root}/{x[1]}"), names))
+        self.clear(fs, staging)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            for a, _ in m.names if m else ():
-                if os.path.exists(a):
-                    os.remove(a)
+        fs, _, staging = self.store()
+        self.clear(fs, staging)
+
+    def clear(self, fs, staging: str) -> None:
+        if fs.get_file_info(staging).type == FileType.Directory:
+            fs.delete_dir(staging)
 
 
 class CaptionSink(DataSource):
@@ -130,11 +143,15 @@ class CaptionSink(DataSource):
         return CaptionWriter(dict(self.options))
 
 
-def write_subtitles(rows: DataFrame, directory: str, form: str = "srt", speaker: str | None = None, language: str | None = None) -> None:
-    """One file per file_id in a shared directory, in one format, or in ALL of them for 'all'."""
-    os.makedirs(directory, exist_ok=True)
+def write_subtitles(rows: DataFrame, directory: str, form: str = "srt", speaker: str | None = None, language: str | None = None, opener: str | None = None) -> None:
+    """One file per file_id in a directory or URI that all executors reach, in one format, or in ALL of them for 'all'.
+
+    opener: see files.open_store.
+    """
     rows.sparkSession.dataSource.register(CaptionSink)
     for f in ALL if form == "all" else (form,):
         lines = render(rows, f, speaker).select(F.col("file_id").cast("string").alias("file_id"), "n", "line")
         out = lines.repartition("file_id").sortWithinPartitions("file_id", "n").write.format("captions").option("form", f).mode("append")
-        (out.option("language", language) if language else out).save(directory)
+        for name, value in (("language", language), ("opener", opener)):
+            out = out.option(name, value) if value else out
+        out.save(directory)

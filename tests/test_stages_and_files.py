@@ -1,5 +1,10 @@
+import io
+import json
+import wave
+
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from captionlake.plans import stages
@@ -115,15 +120,85 @@ def test_subtitles_round_trip(spark, tmp_path):
         subtitles.read_subtitles(spark, f"{tmp_path}/none")
 
 
+SHELF = "shelf://"
+
+
+def shelf(uri):
+    """A scheme that Arrow doesn't know."""
+    assert uri.startswith(SHELF)
+    root, _, rest = uri.removeprefix(SHELF).partition("!")
+    return fs.SubTreeFileSystem(root, fs.LocalFileSystem()), rest
+
+
+def test_writer_on_other_file_systems(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{f}.mp4", i, i * 1.0, i + 0.5, f"{f} “{i}”\n好") for f in "ab" for i in range(3)], "file_id string, seg_idx int, start double, end double, text string").repartition(3)
+    subtitles.write_subtitles(rows, f"{SHELF}{tmp_path}!out/deep", "json", language="yue", opener=f"{__name__}:shelf")
+    subtitles.write_subtitles(rows, f"file://{tmp_path}/uri", "srt")
+    assert sorted(p.name for p in (tmp_path / "out/deep").iterdir()) == ["a.json", "b.json"]
+    found = json.loads((tmp_path / "out/deep/b.json").read_text(encoding="utf-8"))
+    assert found["language"] == "yue" and [x["text"] for x in found["segments"]] == [f"b “{i}”\n好" for i in range(3)]
+    assert sorted(p.name for p in (tmp_path / "uri").iterdir()) == ["a.srt", "b.srt"]
+    subtitles.write_subtitles(rows.where("file_id = 'a.mp4' AND seg_idx = 0"), f"file://{tmp_path}/uri", "srt")
+    assert (tmp_path / "uri/a.srt").read_text(encoding="utf-8").count("-->") == 1
+    subtitles.write_subtitles(rows.where("false"), str(tmp_path / "empty"), "json")
+    assert not list((tmp_path / "empty").iterdir())
+
+
+def test_writer_moves_nothing_of_a_failed_job(spark, tmp_path):
+    schema = "file_id string, seg_idx int, start double, end double, text string"
+    for files in (("x.mp4", "x.mkv"), ("x.mp4", None)):
+        with pytest.raises(Exception, match="x.srt|file_id"):
+            subtitles.write_subtitles(spark.createDataFrame([(f, 0, 0.0, 1.0, "a") for f in files], schema), str(tmp_path))
+        assert not list(tmp_path.iterdir())
+
+
+def wav(x, width, channels, rate):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        w.writeframes(b"".join((int(v * 2 ** (8 * width - 1)) + (128 if width == 1 else 0)).to_bytes(width, "little", signed=width > 1) for v in x for _ in range(channels)))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+@pytest.mark.parametrize("rate", [16_000, 8_000, 44_100])
+def test_decoding_in_pieces(width, rate):
+    x = np.sin(np.arange(1_000) / 40) * 0.9
+    for size in (7, 64, 5_000):
+        pieces = list(media.wav_pieces(wav(x, width, 2, rate), size=size))
+        total = int(1_000 * 16_000 / rate)
+        assert all(len(p) == size for p in pieces[:-1]) and sum(map(len, pieces)) == total
+        want = np.interp(np.arange(total) * rate / 16_000, np.arange(1_000), x)
+        assert np.abs(np.concatenate(pieces) - want).max() < 2.0 ** (2 - 8 * width) + 1e-6
+    assert not list(media.wav_pieces(wav([], width, 1, rate)))
+
+
+def test_decode_and_probe_tables(spark, tmp_path):
+    x = np.sin(np.arange(300) / 9).astype(np.float32) / 2
+    for name, samples in (("a", x), ("b", x[:64]), ("none", x[:0])):
+        (tmp_path / f"{name}.wav").write_bytes(media.encode_wav(samples))
+    read = spark.read.format("binaryFile")
+    got = {(r.file_id, r.block): np.frombuffer(r.samples, "<f4") for r in media.decode_blocks(read.load(str(tmp_path)), size=64).collect()}
+    assert sorted(got) == [*(("a.wav", k) for k in range(5)), ("b.wav", 0)]
+    assert np.allclose(np.concatenate([got["a.wav", k] for k in range(5)]), x, atol=1e-4)
+    paths = read.load(str(tmp_path)).select("path")
+    reader = lambda p: [] if p.endswith("b.wav") else [{"index": 1, "codec": "pcm", "tags": {"language": "yue"}}, {"index": 2}]
+    found = {r.path.rpartition("/")[2]: [(s["index"], s.tags and s.tags.language) for s in r.streams] for r in media.probe(paths, reader).collect()}
+    assert found == {"a.wav": [(1, "yue"), (2, None)], "b.wav": [], "none.wav": [(1, "yue"), (2, None)]}
+    (tmp_path / "broken.wav").write_bytes(b"no sound")
+    with pytest.raises(Exception, match="broken.wav"):
+        media.decode_blocks(read.load(f"{tmp_path}/broken.wav")).collect()
+
+
 def test_media(spark, tmp_path):
-    wave = np.sin(np.arange(1600) / 10).astype(np.float32) / 2
-    (tmp_path / "b.WAV").write_bytes(media.encode_wav(wave))
-    (tmp_path / "a.wav").write_bytes(media.encode_wav(wave))
+    sound = np.sin(np.arange(1600) / 10).astype(np.float32) / 2
+    (tmp_path / "b.WAV").write_bytes(media.encode_wav(sound))
+    (tmp_path / "a.wav").write_bytes(media.encode_wav(sound))
     (tmp_path / "c.txt").write_text("no")
     found = media.discover_media(spark, str(tmp_path))
     assert [r.path.rpartition("/")[2] for r in found.collect()] == ["a.wav", "b.WAV"]
     audio = media.load_audio(spark.read.format("binaryFile").load(f"{tmp_path}/a.wav")).first()
-    assert np.allclose(np.frombuffer(audio.samples, np.float32), wave, atol=1e-4)
+    assert np.allclose(np.frombuffer(audio.samples, np.float32), sound, atol=1e-4)
     streams = spark.createDataFrame([('{"streams":[{"index":1,"tags":{"language":"yue"}}]}',), ("broken",)], "p string").select(F.size(media.parse_streams(F.col("p"))).alias("n")).collect()
     assert [r.n for r in streams] == [1, 0]
 
