@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions import rules, steps, text
+from captionlake.functions import profiles, rules, steps, text
 from captionlake.operators import align, folds, intervals, sequence
 from captionlake.plans.stages import Stage, infer
+from captionlake.sources import config
 
 Batch = Callable[[list[dict]], list[dict]]
 
@@ -34,6 +35,10 @@ class Options:
     #: Whether words are set apart by blanks, and how sentences without times get them.
     spaced: bool = False
     interpolate: str = "nearest"
+    #: Profile of the recognising model (config.profile), and the tables that it asks for.
+    model: str = "default"
+    script: steps.LongestMatch | None = None
+    variants: dict[str, str] | None = None
 
 
 def recognise(vad: DataFrame, asr: Batch, batch: int = 15, checkpoint: str | None = None, name: str = "asr", failed: dict | None = None) -> DataFrame:
@@ -85,13 +90,15 @@ def substitute(segments: DataFrame, generate: Batch) -> DataFrame:
     return segments.join(pairs, "file_id", "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(text.apply_substitutions(F.col("text"), F.col("pairs")))).drop("pairs")
 
 
-def aligned_lines(segments: DataFrame, vocabulary: dict[str, int], options: Options = Options(), split_chars: str = text.SPLIT_CHARS) -> DataFrame:
+def aligned_lines(segments: DataFrame, vocabulary: dict[str, int], options: Options = Options(), split_chars: str | None = None) -> DataFrame:
     """file_id, seg_idx, s, e (milliseconds), text, words: sentences with times from the emissions; unaligned segments keep their own.
 
     segments: file_id, seg_idx, start, end, text, emission. Sentences are made inside their row; only the times of the
     file's lines meet, to let ends go and to trim them to the next line.
     """
-    parts = align.align_sentences(segments, vocabulary, split_chars=split_chars, spaced=options.spaced, interpolate=options.interpolate)
+    known = config.profile(options.model)
+    split_chars = split_chars or known.get("split_chars", text.SPLIT_CHARS)
+    parts = align.align_sentences(segments, vocabulary, candidates=known["spot_checks"], split_chars=split_chars, spaced=options.spaced, interpolate=options.interpolate)
     ms = lambda c: F.bround(F.col(c) * 1000).cast("bigint")
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_idx", "part")) - 1
     rows = parts.select("file_id", place.cast("bigint").alias("seg_idx"), ms("start").alias("s"), ms("end").alias("e"), "text", ms("release_from").alias("release_from"), "words")
@@ -122,9 +129,10 @@ def transcribe(
     asr: audio -> text; emit: audio -> emission (log-probabilities by frame); second: audio -> text of another model, whose
     failures leave a line without an alternative. generate: prompt -> response, asked between the two hypotheses where there
     are two, then about lines that have a reference, then once a file for names to make alike. With a checkpoint, model
-    steps are resumed by file, and the captions before cleaning are kept as a stage of their own.
+    steps are resumed by file (texts are normalised after that, so that other tables count at once), and the captions before cleaning are kept as a stage of their own.
     """
     said = recognise(vad, asr, options.batch, checkpoint)
+    said = said.withColumn("text", profiles.normalise(F.col("text"), config.profile(options.model), options.script, options.variants))
     if second is not None:
         other = recognise(vad, second, options.batch, checkpoint, "second", failed={"text": ""})
         said = ensemble(said, other)

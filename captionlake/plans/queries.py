@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions import boundaries, formatting, rules, steps, text, words
+from captionlake.functions import boundaries, formatting, languages, profiles, rules, steps, text, words
 from captionlake.operators import align, audio, blocks, edit_rate, folds, intervals, metrics, sequence, spectra
 from captionlake.plans import retime, speech, stages
 from captionlake.sources import config, media
@@ -576,6 +576,25 @@ def char_variants(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.translate_chars(F.col("text"), VARIANTS)).alias("plain"))
 
 
+@query(
+    "SELECT doc_id, md5(CASE WHEN lang IN ('de', 'es') THEN translate(t, 'éèüöäñóíáç', 'eeuoanoiac') ELSE t END) AS plain"
+    " FROM (SELECT doc_id, lang, CASE WHEN lang IN ('de', 'fr') THEN replace(replace(text, 'the', 'ze'), 'th', 'z') ELSE text END AS t FROM documents)"
+)
+def profile_text(spark, sf):
+    """The language stands for the model: each has its own profile, others the default one."""
+    known = {"de": {"convert_script": True, "variants": True}, "fr": {"convert_script": True}, "es": {"variants": True}, "en": {}}
+    value = profiles.normalise_by(F.col("text"), F.concat(F.lit("models/"), F.col("lang")), known, steps.LongestMatch({"the": "ze", "th": "z"}), VARIANTS)
+    return table(spark, sf, "documents").select("doc_id", F.md5(value).alias("plain"))
+
+
+@query(
+    "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' WHEN 'zh' THEN 'Chinese' ELSE upper(lang[1]) || lower(lang[2:]) END AS name,"
+    " coalesce(lang NOT IN ('zh', 'ja', 'yue'), true) AS spaced FROM documents"
+)
+def language_names(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", languages.long_name(F.col("lang")).alias("name"), languages.spaced(F.col("lang")).alias("spaced"))
+
+
 @query("SELECT doc_id, len(parts) AS n, parts[1] AS first_part FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents)")
 def split_segments(spark, sf):
     parts = text.split_segments(F.col("text"), ".!?")

@@ -92,8 +92,19 @@ def layered(defaults: DataFrame, *layers: DataFrame) -> DataFrame:
     return out.select("key", F.coalesce(*[F.col(f"v{n}") for n in range(len(layers), -1, -1)]).alias("value"))
 
 
-#: Model profiles by short name; each is a partial config of text normalisation.
-PROFILES: dict[str, dict[str, Any]] = {"default": {"convert_script": False, "variants": False, "spot_checks": {}}}
+#: Characters that may stand for one another, with a bias on their log-probability.
+PARTICLES: dict[str, list[tuple[str, float]]] = {
+    "啊": [("吖", 0.0), ("呀", 0.0)], "吖": [("吖", 0.0), ("呀", 0.0)], "呀": [("吖", 0.0), ("呀", 0.0)],
+    "咯": [("喇", 0.0), ("啦", 0.0), ("囉", 0.0)], "喇": [("喇", 0.0), ("啦", 0.0)], "啦": [("喇", 0.0), ("啦", 0.0)],
+    "咋": [("咋", 0.0), ("啫", 0.0)], "啫": [("咋", 0.0), ("啫", 0.0)], "咁": [("咁", 0.0), ("噉", 0.8)],
+}
+#: Model profiles by short name: how a model's text is normalised (functions/profiles.py) and which characters its alignment
+#: may exchange. A profile may also have split_chars.
+PROFILES: dict[str, dict[str, Any]] = {
+    "default": {"convert_script": False, "variants": False, "spot_checks": {}},
+    "Qwen3-ASR": {"convert_script": True, "variants": True, "spot_checks": PARTICLES},
+    "Qwen3-ASR-0.6B": {"convert_script": True, "variants": True, "spot_checks": PARTICLES},
+}
 
 
 def profile(name: str, profiles: dict[str, dict[str, Any]] | None = None) -> dict[str, Any]:
