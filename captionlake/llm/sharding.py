@@ -50,31 +50,44 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), shards), start, walk, lambda acc: acc["b"].cast("int"))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shard_rows(df: DataFrame, key: Column, shards: int, order: list[Column]) -> DataFrame:
     """Add shard, slot (gapless from 0 in each shard) and grown_shard (with one shard more).
 
     Rows of a shard are first dealt to buckets by a hash of `order`, numbered within their bucket, and moved on by the
     count of rows in earlier buckets: no shard is sorted by one task. The table of counts has at most shards * buckets
     rows, whatever the input. Defined cases: a null key counts as 0; equal keys share a shard; equal rows get different
-    slots; an empty table gives no rows; the input's other columns are kept, but for the four names that are added.
+    slots; an empty table gives no rows; the input's other columns are kept, but for the three names that are added.
     """
     buckets = 4 * partitions(df.sparkSession)
-    put = df.withColumn("shard", jump_hash(key, shards)).withColumn("grown_shard", jump_hash(key, shards + 1))
-    put = put.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = put.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    numbered = put.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*order)) - 1)
-    out = numbered.join(F.broadcast(before), ["shard", "_bucket"])  # at most shards * buckets rows of 20 bytes
-    return out.withColumn("slot", F.col("_before") + F.col("_rank")).drop("_bucket", "_rank", "_before")
+    bucket, rank, count, before = (_free(df, name) for name in ("_bucket", "_rank", "_n", "_before"))
+    # the columns are evaluated together: key and order mean the input's columns, also those called like the added ones
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in ("shard", "grown_shard", "slot")]
+    ordered = [(_free(df, f"_order{k}"), c) for k, c in enumerate(order)]
+    put = df.select(*kept, *[c.alias(name) for name, c in ordered], jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"), F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias(bucket))
+    counts = put.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(count))
+    earlier = counts.select("shard", bucket, (F.sum(count).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(count)).alias(before))
+    numbered = put.withColumn(rank, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*[name for name, _ in ordered])) - 1)
+    out = numbered.join(F.broadcast(earlier), ["shard", bucket])  # at most shards * buckets rows of 20 bytes
+    return out.withColumn("slot", F.col(before) + F.col(rank)).drop(bucket, rank, before, *[name for name, _ in ordered])
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; a null text is empty, a null doc_id counts as 0."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; a null text is empty, a null doc_id counts as 0, and
+    ids may be of any type."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # what is shuffled is narrow: the texts are measured in the scan
     rows = docs.select("doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
     # the key is hashed first, as consecutive ids are no random seeds
-    out = shard_rows(rows, F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0).cast("bigint"))), shards, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(0).cast("bigint"))).otherwise(F.xxhash64("doc_id"))
+    out = shard_rows(rows, key, shards, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

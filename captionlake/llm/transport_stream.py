@@ -204,7 +204,11 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The digest columns of read_media(store_media(docs)): hashes of the stored form and of what is read back from it."""
+    """The digest columns of read_media(store_media(docs)): hashes of the stored form and of what is read back from it.
+
+    Defined cases: a null text is empty, and an empty text is stored as 64 bytes 0; a null doc_id stays null; equal texts give
+    equal values, and repeated rows a row each; no rows give none; other columns are not read.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, n_random_access long, continuity_errors long"
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,24 @@ def test_shards(spark, docs):
     assert sharding.shard_documents(docs.limit(0), 8).count() == 0
 
 
+def test_shards_keep_columns_of_any_name_and_ids_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, k * 10, f"r{k % 3}", k * 2, "x", k % 5) for k in range(50)], "id long, _bucket long, _Rank string, `_before` long, `a.b` string, slot long")
+    rows = sharding.shard_rows(df, F.xxhash64("id"), 4, [F.col("slot"), F.col("_Rank"), F.col("id")]).collect()
+    assert sorted((r["id"], r["_bucket"], r["_Rank"], r["_before"], r["a.b"]) for r in rows) == [(k, k * 10, f"r{k % 3}", k * 2, "x") for k in range(50)]
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(4))
+    named = spark.createDataFrame([("one", "a"), ("two", None), (None, "b"), ("one", "a")], "doc_id string, text string")
+    found = sharding.shard_documents(named, 8).collect()
+    assert sorted((r.doc_id or "", r.size) for r in found) == [("", 2), ("one", 2), ("one", 2), ("two", 1)]
+    assert len({r.shard for r in found if r.doc_id == "one"}) == 1
+
+
+def test_empty_tables(spark, docs, word_bpe):
+    assert transport_stream.media_digest(docs.limit(0)).count() == 0
+    assert token_count.count_tokens(docs.limit(0), word_bpe).count() == 0
+
+
 def test_more_shards_move_only_what_they_must(spark):
     df = sharding.shard_rows(spark.range(20_000), __import__("pyspark").sql.functions.xxhash64("id"), 8, [__import__("pyspark").sql.functions.col("id")])
     rows = df.collect()
