@@ -530,7 +530,7 @@ def aud_labels(spark, sf):
     return lines(spark, sf).select("file_id", "seg_idx", formatting.aud_line(F.col("s"), F.col("e"), F.col("text"), F.col("role")).alias("line"))
 
 
-@query()
+@query(f"WITH {_LINES} SELECT file_id, CAST(to_json({{'segments': list({{'seg_idx': seg_idx, 's': s, 'e': e, 'text': text}} ORDER BY seg_idx, s, e, text), 'language': 'yue'}}) AS VARCHAR) AS result FROM l GROUP BY file_id")
 def json_result(spark, sf):
     rows = lines(spark, sf).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "s", "e", "text"))).alias("segments"))
     return rows.select("file_id", F.to_json(F.struct("segments", F.lit("yue").alias("language"))).alias("result"))
@@ -601,8 +601,11 @@ def split_segments(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(parts).cast("bigint").alias("n"), F.try_element_at(parts, F.lit(1)).alias("first_part"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+')) AS p FROM documents)
+ SELECT doc_id, count(*) FILTER (p LIKE '%.' AND (regexp_matches(p, 'th|ou') OR len(list_filter(range(1, length(p) - 2), lambda i: substr(p, i + 1, 2) = 'on' AND substr(p, i, 1) = substr(p, i + 3, 1) AND NOT regexp_matches(substr(p, i, 1), '[\\n\\r\\x{85}\\x{2028}\\x{2029}]'))) > 0)) AS questions,
+ count(*) AS n FROM p GROUP BY doc_id""")
 def question_class(spark, sf):
+    """Every part of every document."""
     part = F.explode(text.split_segments(F.col("text"), ".!?"))
     rows = table(spark, sf, "documents").select("doc_id", part.alias("part"))
     return rows.groupBy("doc_id").agg(F.count_if(text.is_question(F.col("part"), ".", ("th", "ou"), "on", ".")).alias("questions"), F.count(F.lit(1)).alias("n"))
@@ -621,10 +624,30 @@ def acronyms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(steps.python_step(steps.acronyms)(F.col("text"))).alias("text_md5"))
 
 
-@query()
+#: Letters that stand for digits, units and signs of dates.
+NUMERAL_LETTERS = ("thenrdaiso", "十二年三百月一千零號")
+_DIGITS = "零一二兩两三四五六七八九"
+
+
+def _looked_up(char: str, signs: str, values: str) -> str:
+    """SQL: the value of a character that is one of signs, else null."""
+    return f"([{values}])[nullif(strpos('{signs}', {char}), 0)]"
+
+
+_NUMERALS = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{NUMERAL_LETTERS[0]}', '{NUMERAL_LETTERS[1]}') AS t FROM documents),
+ part AS (SELECT doc_id, i, p, rtrim(p, '月號') AS s, regexp_matches(p, '[月號]$') AS dated FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[{_DIGITS}十百千萬]+[月號]?|[^{_DIGITS}十百千萬]+')) AS p, generate_subscripts(regexp_extract_all(t, '[{_DIGITS}十百千萬]+[月號]?|[^{_DIGITS}十百千萬]+'), 1) AS i FROM d)),
+ summed AS (SELECT *, CASE WHEN regexp_matches(s, '^[{_DIGITS}十]') AND regexp_full_match(s, '[{_DIGITS}十百千萬]+') AND NOT regexp_matches(s, '[{_DIGITS[1:]}][{_DIGITS}]') AND (NOT dated OR regexp_matches(s, '[{_DIGITS}]$'))
+  THEN list_sum(list_transform(range(1, length(s) + 1), lambda k: coalesce({_looked_up("substr(s, k, 1)", _DIGITS, "0, 1, 2, 2, 2, 3, 4, 5, 6, 7, 8, 9")}, 0) * coalesce({_looked_up("nullif(substr(s, k + 1, 1), '')", "十百千萬", "10, 100, 1000, 10000")}, 1))) + CASE WHEN s LIKE '十%' THEN 10 ELSE 0 END END AS n FROM part),
+ fixed AS (SELECT doc_id, string_agg(CASE WHEN n IS NULL OR NOT dated AND (n <= 10 OR n >= 100000 OR n IN (100, 1000) OR n % 10000 = 0) THEN p ELSE CAST(n AS BIGINT) || CASE WHEN dated THEN right(p, 1) ELSE '' END END, '' ORDER BY i) AS t FROM summed GROUP BY doc_id)
+ SELECT d.doc_id, md5(coalesce(array_to_string(list_transform(regexp_extract_all(fixed.t, '[零一二三四五六七八九]{{2,4}}年|[^零一二三四五六七八九]+|[零一二三四五六七八九]'), lambda x: CASE WHEN regexp_full_match(x, '[零一二三四五六七八九]{{2,4}}年') THEN translate(x, '零一二三四五六七八九', '0123456789') ELSE x END), ''), '')) AS text_md5
+ FROM d LEFT JOIN fixed ON d.doc_id = fixed.doc_id"""
+
+
+@query(_NUMERALS)
 def numerals(spark, sf):
-    digits = F.translate(F.format_string("%d月 %d", F.col("turn") + 1, F.col("conv_id")), "0123456789", "零一二三四五六七八九")
-    return table(spark, sf, "conversations").select("conv_id", "turn", steps.python_step(steps.numerals)(digits).alias("numeral"))
+    """Every whole text, of which ten letters stand for digits, units and signs of dates."""
+    value = F.translate(F.coalesce("text", F.lit("")), *NUMERAL_LETTERS)
+    return table(spark, sf, "documents").select("doc_id", F.md5(steps.python_step(steps.numerals)(value)).alias("text_md5"))
 
 
 @query()
