@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows that are Python objects at once on their way in, and out.
+ROWS, OUT_ROWS = 256, 4096
+
+
 class Fold(Protocol):
     """The state of one file. Both give rows without the file_id."""
 
@@ -35,17 +39,27 @@ def fold_rows(rows: DataFrame, columns: list[str], order: list[str], make: Calla
             values = list(zip(*found, strict=True)) or [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
+        found: list[tuple] = []
         for part in batches:
-            found: list[tuple] = []
-            for file_id, *values in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if fold is None or file_id != key:
-                    if fold is not None:
-                        found += ((key, *x) for x in fold.end())
-                    key, fold = file_id, make()
-                found += ((key, *x) for x in fold.row(*values))
-            yield batch(found)
-        if fold is not None:
-            yield batch([(key, *x) for x in fold.end()])
+            for at in range(0, part.num_rows, ROWS):
+                for file_id, *values in zip(*(c.to_pylist() for c in part.slice(at, ROWS).columns), strict=True):
+                    if fold is None or file_id != key:
+                        for x in fold.end() if fold is not None else ():
+                            found.append((key, *x))
+                            if len(found) >= OUT_ROWS:
+                                yield batch(found)
+                                found = []
+                        key, fold = file_id, make()
+                    found += ((key, *x) for x in fold.row(*values))
+                    if len(found) >= OUT_ROWS:
+                        yield batch(found)
+                        found = []
+        for x in fold.end() if fold is not None else ():
+            found.append((key, *x))
+            if len(found) >= OUT_ROWS:
+                yield batch(found)
+                found = []
+        yield batch(found)
 
     sorted_rows = rows.select("file_id", *dict.fromkeys([*columns, *order])).repartition("file_id").sortWithinPartitions("file_id", *order)
     return sorted_rows.select("file_id", *columns).mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import pytest
 
 from captionlake.operators import align
 from captionlake.plans import retime
+from captionlake.sources.work import Work
 
 VOCABULARY = {c: k for k, c in enumerate("abcdef", 1)}
 
@@ -64,3 +65,53 @@ def test_retime_equals_the_loop(spark, shift, slack, threshold):
         want = plain_retime(a, b, threshold=threshold)
         assert sorted((r.seg_idx, r.start, r.end, r.offset, r.matched) for r in got if r.file_id == f) == want
     assert retime.retime(rows.limit(0), sounds, VOCABULARY).count() == 0
+
+
+def drifting(n, step, rng):
+    """A file whose lines are said `step` seconds apart, though they are written 2 seconds apart."""
+    texts = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(n)]
+    lines = [(k, 2.0 * k, 2.0 * k + 1, t) for k, t in enumerate(texts)]
+    return lines, [(k, step * k, step * k + 1.5, random_emission(rng, 12, t)) for k, t in enumerate(texts)]
+
+
+def retimed(spark, lines, heard, **options):
+    rows = spark.createDataFrame([("f", *x) for x in lines], "file_id string, seg_idx int, start double, end double, text string")
+    sounds = spark.createDataFrame([("f", k, s, e, m.tolist()) for k, s, e, m in heard], "file_id string, ref_idx int, start double, end double, emission array<array<double>>")
+    work = Work(spark)
+    return sorted((r.seg_idx, r.start, r.end, r.offset, r.matched) for r in retime.retime(rows, sounds, VOCABULARY, work=work, **options).collect()), len(work.paths) - 1
+
+
+def test_an_offset_that_grows_takes_one_round(spark):
+    lines, heard = drifting(150, 7.0, np.random.default_rng(1))
+    got, rounds = retimed(spark, lines, heard, window=20.0, threshold=0.3, slack=10.0)
+    assert got == plain_retime(lines, heard, window=20.0, threshold=0.3) and got[-1][3] > 500
+    assert rounds == 1
+
+
+def test_lines_that_go_back_take_another_round(spark):
+    lines, heard = drifting(40, 7.0, np.random.default_rng(2))
+    lines = [(k, s - 60.0 * (k >= 20), e - 60.0 * (k >= 20), t) for k, s, e, t in lines]
+    got, rounds = retimed(spark, lines, heard, window=20.0, threshold=0.3, slack=1.0)
+    assert got == plain_retime(lines, heard, window=20.0, threshold=0.3)
+    assert rounds > 1
+
+
+def test_one_line_in_stretches_of_all_lengths():
+    rng = np.random.default_rng(3)
+    heard = [random_emission(rng, int(n)) for n in rng.integers(0, 30, 40)]
+    for line in (rng.integers(0, 7, 5), rng.integers(0, 7, 20), np.array([], dtype=int)):
+        want = [retime.scores(e, [line])[0] for e in heard]
+        assert np.array_equal(retime.scores_among(heard, line), want) and np.array_equal(retime.scores_among(heard, line, cells=200), want)
+
+
+def test_waiting_lines_keep_their_order():
+    q, got = retime._Queue(3), []
+    for k in range(20):
+        q.add(k)
+        if k % 4 == 3:
+            got.append(q.head())
+            q.pop()
+    while q.head() is not None:
+        got.append(q.head())
+        q.pop()
+    assert got == list(range(20)) and q.written
