@@ -73,10 +73,11 @@ def match_references(left: DataFrame, right: DataFrame, limit_us: int = 2_000_00
 def dominant_label(left: DataFrame, turns: DataFrame, fill_nearest: bool = False, bucket_us: int = BUCKET_US) -> DataFrame:
     """file_id, seg_idx, label: the label with most shared time; ties go to the label first seen in start order.
 
+    A segment or turn without length shares no time with what it lies in, but overlaps it; its label counts with 0.
     Segments that no turn overlaps have a null label, or with fill_nearest that of the turn whose midpoint is nearest.
     turns: file_id, ref_idx (in start order), rs, re, label.
     """
-    shared = overlap_pairs(left, turns, bucket_us).withColumn("shared", F.least("e", "re") - F.greatest("s", "rs")).where("shared > 0")
+    shared = overlap_pairs(left, turns, bucket_us).withColumn("shared", F.least("e", "re") - F.greatest("s", "rs"))
     per = shared.groupBy("file_id", "seg_idx", "label").agg(F.sum("shared").alias("total"), F.min("ref_idx").alias("seen"))
     best = per.groupBy("file_id", "seg_idx").agg(F.max_by("label", F.struct(F.col("total"), -F.col("seen"))).alias("label"), F.max("total").alias("total"))
     out = left.select("file_id", "seg_idx", "s", "e").join(best, ["file_id", "seg_idx"], "left")

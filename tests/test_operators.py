@@ -1,6 +1,8 @@
 import itertools
 import random
+from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from captionlake.operators import align, audio, folds, intervals, metrics, sequence
+from captionlake.plans import queries
 
 
 @pytest.mark.parametrize("bucket", [7, 50, 10_000])
@@ -36,6 +39,21 @@ def test_dominant_label_cases(spark):
     assert by(fill_nearest=True) == {0: "b", 1: "b", 2: "b"}
 
 
+@pytest.mark.parametrize("name", ["dominant_label", "word_label"])
+def test_labels_of_rows_without_length_equal_the_sql(spark, tmp_path, name):
+    at = datetime(2024, 1, 1)
+    hours = lambda h: at + timedelta(hours=h)
+    # views of no length inside a turn, at its edge and outside, one under a microsecond, and a turn of no length in a view
+    rows = [(1, hours(0), 1, "click", 60.0), (2, hours(1), 1, "view", 0.0), (3, hours(10), 1, "view", 0.0), (4, hours(11), 1, "view", 0.0), (5, hours(2), 1, "view", 1e-9)]
+    rows += [(6, hours(0), 2, "view", 60.0), (7, hours(5), 2, "error", 0.0), (8, hours(0), 3, "click", 60.0), (9, hours(1), 3, "error", 6.0), (10, hours(1.5), 3, "view", 0.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == want
+    assert any(r[-2] is not None and r[-1] == 0 for r in want)
+
+
 def test_point_in_interval_slack(spark):
     p = spark.createDataFrame([(1, i, t) for i, t in enumerate([994_999, 995_000, 2_000_000, 3_004_999, 3_005_001])], "file_id long, seg_idx long, t long")
     v = spark.createDataFrame([(1, 0, 1_000_000, 2_000_000), (1, 1, 2_500_000, 3_000_000)], "file_id long, ref_idx long, rs long, re long")
