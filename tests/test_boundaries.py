@@ -1,5 +1,6 @@
 """Learnt sentence boundaries against plain counting."""
 
+import time
 import math
 import random
 import re
@@ -103,3 +104,19 @@ def test_spans(spark):
 
 def test_no_texts_teach_nothing(spark):
     assert bd.learn(spark.createDataFrame([], "lang string, text string")) == {}
+
+
+def test_pairs_are_counted_by_spelling_and_only_ends_keep_their_word(spark):
+    texts = spark.createDataFrame([("en", "He said , “Stop.” Then e.g. he said (...) stop"), ("en", None), ("en", ""), (None, "He said")], "lang string, text string")
+    got = {(r.lang, r.a, r.b): r.n for r in bd.token_pairs(texts).collect()}
+    assert {k: n for k, n in got.items() if k[0] == "en" and k[2] is None} == {("en", a, None): n for a, n in (("He", 1), ("said", 2), ("“Stop.”", 1), ("Then", 1), ("e.g.", 1), ("he", 1), ("stop", 1))}
+    assert {k: n for k, n in got.items() if k[0] == "en" and k[2] is not None} == {("en", a, b): 1 if b != "said" else 2 for a, b in (("", "said"), ("", "“Stop.”"), ("“Stop.”", "Then"), ("", "e.g."), ("e.g.", "he"), ("", "stop"))}
+    assert got[None, "He", None] == got[None, "", "said"] == 1
+
+
+def test_long_runs_of_marks_and_long_words_take_linear_time():
+    began = time.perf_counter()
+    plain = bd.Boundaries()
+    assert plain.spans("a" + "!" * 200_000 + "x b") == [(0, 200_004)]
+    assert plain.spans(" a.b" * 1000 + "?! B. ")[-1] == (4003, 4005)
+    assert time.perf_counter() - began < 5
