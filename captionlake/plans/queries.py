@@ -16,6 +16,7 @@ from captionlake.functions import boundaries, formatting, languages, profiles, r
 from captionlake.operators import align, audio, blocks, edit_rate, folds, intervals, metrics, sequence, spectra
 from captionlake.plans import retime, speech, stages
 from captionlake.sources import config, media
+from captionlake.sources.work import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,6 +566,7 @@ def rules_basic(spark, sf):
 
 @query()
 def rules_full(spark, sf):
+    small_batches(spark)
     return table(spark, sf, "documents").select("doc_id", rules.clean(F.col("text"), rules.load_steps(None, steps.builtin_steps(18))).alias("cleaned"))
 
 
@@ -621,6 +623,7 @@ def trailing_particles(spark, sf):
 
 @query()
 def acronyms(spark, sf):
+    small_batches(spark)
     return table(spark, sf, "documents").select("doc_id", F.md5(steps.python_step(steps.acronyms)(F.col("text"))).alias("text_md5"))
 
 
@@ -646,6 +649,7 @@ _NUMERALS = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{NUMERA
 @query(_NUMERALS)
 def numerals(spark, sf):
     """Every whole text, of which ten letters stand for digits, units and signs of dates."""
+    small_batches(spark)
     value = F.translate(F.coalesce("text", F.lit("")), *NUMERAL_LETTERS)
     return table(spark, sf, "documents").select("doc_id", F.md5(steps.python_step(steps.numerals)(value)).alias("text_md5"))
 
@@ -653,6 +657,7 @@ def numerals(spark, sf):
 @query()
 def linebreak(spark, sf):
     """Every caption line of every turn."""
+    small_batches(spark)
     rows = table(spark, sf, "conversations").select("conv_id", "turn", caption_parts("text"))
     return rows.select("conv_id", "turn", "part", steps.python_step(lambda t: steps.break_line(t, 42))(F.trim("line")).alias("broken"))
 

@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from captionlake.functions import rules, steps
 from captionlake.operators import metrics
 from captionlake.plans import queries
+from captionlake.sources.work import BATCH_BYTES
 
 md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
 DOCS = [
@@ -150,3 +153,18 @@ def test_alignment_covers_every_word(spark, sf):
             lines[owner[at]].append(w)
         want += [(c, t, " ".join(x)) for t, x in lines.items()]
     assert found(spark, sf, "reference_word_alignment") == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["numerals", "rules_full", "acronyms", "linebreak"])
+def test_long_texts_pass_python_in_small_batches(spark, sf, name):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    queries.QUERIES[name](spark, sf)
+    assert int(spark.conf.get(setting)) == BATCH_BYTES
+    rows = spark.range(200, numPartitions=1).selectExpr("repeat(char(65 + id % 26), 100000) AS text")
+
+    @F.pandas_udf("long")
+    def together(s: pd.Series) -> pd.Series:
+        return pd.Series([int(s.str.len().sum())] * len(s))
+
+    assert rows.select(F.max(together("text"))).first()[0] <= BATCH_BYTES + 100_000
