@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from captionlake.functions.edits import distance
 
 #: Fixed values of the written-Cantonese conventions.
 SPLIT_CHARS = "，。？！；…"
@@ -131,13 +138,18 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.coalesce(close(8), close(64), F.levenshtein(a, b))
 
 
-def far_apart(a: Column, b: Column, length: Column, ratio: float) -> Column:
-    """Whether the edit distance is over `ratio` of the length. Exact; of long texts only as much is compared as decides it."""
-    out = F.levenshtein(a, b) / length > ratio
-    for most in (512, 64, 8):
-        within = F.levenshtein(a, b, most)
-        out = F.when(within >= 0, within / length > ratio).when((most + 1) / length > ratio, True).otherwise(out)
-    return F.when(F.abs(F.length(a) - F.length(b)) / length > ratio, True).otherwise(out)
+def if_close(a: Column, b: Column, ratio: float) -> Column:
+    """b if its edit distance from a is at most `ratio` of a's length (of 1 for an empty a), else null."""
+
+    @pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def close(x: str, y: str) -> bool:
+            length = max(len(x), 1)
+            return distance(x, y, int(ratio * length) + 1) / length <= ratio
+
+        return pd.Series([y if x is not None and y is not None and close(x, y) else None for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(a, b)
 
 
 def accept_rewrite(primary: Column, response: Column, ratio: float = 2.5) -> Column:
@@ -149,12 +161,14 @@ def accept_rewrite(primary: Column, response: Column, ratio: float = 2.5) -> Col
 
 def accept_reference(primary: Column, response: Column, semantic: bool = False, guarded: str = GUARDED, length_ratio: float = 1.5) -> Column:
     """As accept_rewrite at 1.5; also rejected: an edit distance over 0.4 (semantic: 0.6) of the length, or a lost guarded particle."""
-    line = first_line(response)
-    chars = lambda x: F.array_intersect(F.split(x, ""), F.split(F.lit(guarded), ""))
-    lost = F.size(F.filter(F.array_except(chars(primary), chars(line)), lambda c: c != "")) > 0
-    far = far_apart(primary, line, F.greatest(F.length(primary), F.lit(1)), 0.6 if semantic else 0.4)
-    bad = (line == "") | line.startswith("【") | (F.length(line) > F.length(primary) * length_ratio) | far | lost
-    return F.when(bad, primary).otherwise(line)
+
+    def fits(line: Column) -> Column:
+        kept = [~primary.contains(c) | line.contains(c) for c in guarded]
+        return reduce(and_, kept, (line != "") & ~line.startswith("【") & (F.length(line) <= F.length(primary) * length_ratio))
+
+    # an array of one, so that the line is looked for once; what other reasons reject is not compared
+    line = F.try_element_at(F.filter(F.array(first_line(response)), fits), F.lit(1))
+    return F.coalesce(if_close(primary, line, 0.6 if semantic else 0.4), primary)
 
 
 def parse_substitutions(response: Column, arrow: str = "→", nothing: str = "無需修正") -> Column:
