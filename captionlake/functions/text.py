@@ -132,10 +132,14 @@ def strip_thinking(text: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance. Bands of 8 and 64 edits are tried first: they take time in proportion to the length, the whole
-    table by its square. The result is exact in every case."""
-    close = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
-    return F.coalesce(close(8), close(64), F.levenshtein(a, b))
+    """Levenshtein distance, exact; see edits.distance. Spark's own bounded search goes over all of a string for each of the
+    other's characters, so its time is the square of the length however few the edits are."""
+
+    @pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def if_close(a: Column, b: Column, ratio: float) -> Column:

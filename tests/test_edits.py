@@ -55,3 +55,9 @@ def test_a_long_response_is_judged_in_time(spark):
     rows = spark.createDataFrame([(LONG, EDITED), (LONG, LONG[30_000:]), ("ab", None), (None, "ab"), ("", "")], "a string, b string").coalesce(1)
     got, seconds = timed(lambda: [r[0] for r in rows.select(text.accept_reference(F.col("a"), F.col("b"), guarded="e")).collect()])
     assert got == [EDITED.strip(), LONG, "ab", None, ""] and seconds < 8
+
+
+def test_long_strings_in_time(spark):
+    rows = spark.createDataFrame([(LONG, EDITED), (LONG, LONG[2:]), ("ab", None), (None, "ab"), ("", "é😀")], "a string, b string").coalesce(1)
+    got, seconds = timed(lambda: [r[0] for r in rows.select(text.edit_distance(F.col("a"), F.col("b"))).collect()])
+    assert got == [5, 2, None, None, 2] and seconds < 8
