@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import text
 from captionlake.functions.edits import by_bits, by_diagonals, distance
+from captionlake.operators import metrics
 
 
 def plain(a, b):
@@ -61,3 +62,10 @@ def test_long_strings_in_time(spark):
     rows = spark.createDataFrame([(LONG, EDITED), (LONG, LONG[2:]), ("ab", None), (None, "ab"), ("", "é😀")], "a string, b string").coalesce(1)
     got, seconds = timed(lambda: [r[0] for r in rows.select(text.edit_distance(F.col("a"), F.col("b"))).collect()])
     assert got == [5, 2, None, None, 2] and seconds < 8
+
+
+def test_error_rate_of_long_lines_in_time(spark):
+    rows = spark.createDataFrame([(1, LONG, EDITED), (1, "abc", "abd"), (2, LONG[2:], LONG)], "g int, hypothesis string, reference string").coalesce(1)
+    got, seconds = timed(lambda: sorted(tuple(r) for r in metrics.char_error_rate(rows, by=["g"]).collect()))
+    chars = len(EDITED) + 3
+    assert got == [(1, 6, chars, 6 / chars), (2, 2, 60_000, 2 / 60_000)] and seconds < 8
