@@ -7,9 +7,13 @@ solved when a caption begins that overlaps none of it.
 
 from __future__ import annotations
 
+import re
 import string
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,11 +26,10 @@ from captionlake.operators.stream import fold_rows
 EOL, EOB = "<eol>", "<eob>"
 #: A shift moves at most so many words (fixed value of the translation edit rate), over at most so many.
 LONGEST, FARTHEST = 10, 50
-_PUNCTUATION = str.maketrans("", "", string.punctuation + "，。？！；：、…“”‘’（）「」『』《》·—")
+_PUNCTUATION = re.compile(f"[{re.escape(string.punctuation + '，。？！；：、…“”‘’（）「」『』《》·—')}]+")
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     text: str
     start: float
     end: float
@@ -35,9 +38,12 @@ class Token:
     def is_break(self) -> bool:
         return self.text in (EOL, EOB)
 
+    def matches(self, other: Token) -> bool:
+        return self.text == other.text and self.start < other.end and self.end > other.start
+
 
 def normal(text: str, cased: bool) -> str:
-    return text if cased else text.lower().translate(_PUNCTUATION)
+    return text if cased else _PUNCTUATION.sub("", text.lower())
 
 
 def tokens(start: float, end: float, text: str | None, cased: bool = False) -> list[Token]:
@@ -52,45 +58,78 @@ class Grid:
 
     def __init__(self, reference: list[Token]) -> None:
         self.r = reference
-        self.starts, self.ends = (np.array([getattr(t, k) for t in reference], dtype=float) for k in ("start", "end"))
-        self.breaks = np.array([t.is_break for t in reference], dtype=bool)
-        self.places: dict[str, np.ndarray] = {}
-        for text in {t.text for t in reference}:
-            self.places[text] = np.array([t.text == text for t in reference], dtype=bool)
-        self.none = np.zeros(len(reference), dtype=bool)
-
-    def near(self, t: Token) -> np.ndarray:
-        return (self.breaks == t.is_break) & (t.start < self.ends) & (t.end > self.starts)
-
-    def rows(self, hypothesis: list[Token]) -> np.ndarray:
-        at = np.arange(len(self.r) + 1)
-        out = np.empty((len(hypothesis) + 1, len(self.r) + 1), dtype=np.int64)
-        out[0] = at
-        for i, t in enumerate(hypothesis, 1):
-            above, new = out[i - 1], out[i - 1] + 1
-            price = np.where(self.near(t), (~self.places.get(t.text, self.none)).astype(np.int64), 2)
-            new[1:] = np.minimum(new[1:], above[:-1] + price)
-            out[i] = np.minimum.accumulate(new - at) + at
+        self._prices: dict[Token, np.ndarray] = {}
+
+    @cached_property
+    def _columns(self) -> tuple[np.ndarray, ...]:
+        starts, ends = (np.array([getattr(t, k) for t in self.r], dtype=float) for k in ("start", "end"))
+        return starts, ends, np.array([t.is_break for t in self.r], dtype=bool), np.array([self._names[t.text] for t in self.r], dtype=np.int64)
+
+    @cached_property
+    def _names(self) -> dict[str, int]:
+        return {text: k for k, text in enumerate(dict.fromkeys(t.text for t in self.r))}
+
+    @cached_property
+    def words(self) -> dict[str, list[int]]:
+        """The places of each word."""
+        out: dict[str, list[int]] = {}
+        for j, t in enumerate(self.r):
+            if not t.is_break:
+                out.setdefault(t.text, []).append(j)
+        return out
+
+    def price(self, t: Token) -> np.ndarray:
+        """What it costs that the token stands for each of the reference's: 0 if equal, 1 if it may, 2 (as good as both out) if not."""
+        if (out := self._prices.get(t)) is None:
+            starts, ends, breaks, names = self._columns
+            near = (breaks == t.is_break) & (t.start < ends) & (t.end > starts)
+            out = self._prices[t] = np.where(near, (names != self._names.get(t.text, -1)).astype(np.int64), 2)
         return out
 
+    def rows(self, hypothesis: list[Token], begin: int, end: int) -> Iterator[np.ndarray]:
+        """The rows of the table for the reference's tokens from begin to end."""
+        at = np.arange(end - begin + 1)
+        above = at
+        yield above
+        for t in hypothesis:
+            new = above + 1
+            new[1:] = np.minimum(new[1:], above[:-1] + self.price(t)[begin:end])
+            above = np.minimum.accumulate(new - at) + at
+            yield above
+
+    def _end(self, hypothesis: list[Token]) -> int:
+        """How many tokens match at the end of both: a cheapest way, and the way back, go through all of them."""
+        n = 0
+        for a, b in zip(reversed(hypothesis), reversed(self.r)):
+            if not a.matches(b):
+                break
+            n += 1
+        return n
+
     def cost(self, hypothesis: list[Token]) -> int:
-        return int(self.rows(hypothesis)[-1, -1])
+        end = self._end(hypothesis)
+        i, j, begin = len(hypothesis) - end, len(self.r) - end, 0
+        while begin < i and begin < j and hypothesis[begin].matches(self.r[begin]):
+            begin += 1
+        if begin in (i, j):
+            return max(i, j) - begin
+        for row in self.rows(hypothesis[begin:i], begin, j):
+            pass
+        return int(row[-1])
 
     def alignment(self, hypothesis: list[Token]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hypothesis tokens that match, reference tokens that match, how many hypothesis tokens stand before each place of the reference)."""
-        grid = self.rows(hypothesis)
-        i, j = len(hypothesis), len(self.r)
-        hit_h, hit_r, before = np.zeros(i, dtype=bool), np.zeros(j, dtype=bool), np.zeros(j + 1, dtype=np.int64)
-        before[j] = i
+        end = self._end(hypothesis)
+        i, j = len(hypothesis) - end, len(self.r) - end
+        grid = [x.tolist() for x in self.rows(hypothesis[:i], 0, j)]
+        hit_h, hit_r, before = np.zeros(i + end, dtype=bool), np.zeros(j + end, dtype=bool), np.zeros(j + end + 1, dtype=np.int64)
+        hit_h[i:], hit_r[j:], before[j:] = True, True, np.arange(i, i + end + 1)
         while i or j:
-            if i and j and self.near(hypothesis[i - 1])[j - 1]:
-                same = hypothesis[i - 1].text == self.r[j - 1].text
-                if grid[i, j] == grid[i - 1, j - 1] + (not same):
-                    i, j = i - 1, j - 1
-                    hit_h[i] = hit_r[j] = same
-                    before[j] = i
-                    continue
-            if i and grid[i, j] == grid[i - 1, j] + 1:
+            if i and j and (price := int(self.price(hypothesis[i - 1])[j - 1])) < 2 and grid[i][j] == grid[i - 1][j - 1] + price:
+                i, j = i - 1, j - 1
+                hit_h[i] = hit_r[j] = not price
+                before[j] = i
+            elif i and grid[i][j] == grid[i - 1][j] + 1:
                 i -= 1
             else:
                 j -= 1
@@ -100,21 +139,24 @@ class Grid:
 
 def shifts_of(grid: Grid, hypothesis: list[Token]) -> Iterator[list[Token]]:
     """The hypothesis with a phrase moved to where the reference has it; the phrase and its place both hold an error."""
-    hit_h, hit_r, before = grid.alignment(hypothesis)
-    words = {}
-    for j, t in enumerate(grid.r):
-        if not t.is_break:
-            words.setdefault(t.text, []).append(j)
+    hit_h, hit_r, before = (x.tolist() for x in grid.alignment(hypothesis))
+    # errors before each place; a place without an error in reach begins no phrase
+    wrong_h, wrong_r = ([0, *accumulate(not x for x in hits)] for hits in (hit_h, hit_r))
+    n, m = len(hit_h), len(hit_r)
     for i, t in enumerate(hypothesis):
-        for j in words.get(t.text, ()):
+        if wrong_h[i] == wrong_h[min(i + LONGEST, n)]:
+            continue
+        for j in grid.words.get(t.text, ()):
+            if wrong_r[j] == wrong_r[min(j + LONGEST, m)]:
+                continue
             size = 0
-            while size < LONGEST and i + size < len(hypothesis) and j + size < len(grid.r):
+            while size < LONGEST and i + size < n and j + size < m:
                 a, b = hypothesis[i + size], grid.r[j + size]
-                if a.is_break or a.text != b.text or not (a.start < b.end and a.end > b.start):
+                if a.is_break or not a.matches(b):
                     break
                 size += 1
-                to = int(before[j])
-                if abs(to - i) > FARTHEST or i <= to <= i + size or hit_h[i : i + size].all() or hit_r[j : j + size].all():
+                to = before[j]
+                if abs(to - i) > FARTHEST or i <= to <= i + size or wrong_h[i] == wrong_h[i + size] or wrong_r[j] == wrong_r[j + size]:
                     continue
                 rest = hypothesis[:i] + hypothesis[i + size :]
                 to -= size if to > i else 0
@@ -125,11 +167,21 @@ def edits(hypothesis: list[Token], reference: list[Token]) -> tuple[int, int]:
     """(edits, shifts): phrases are moved one at a time, the one that saves most first, as long as a move saves more than itself."""
     grid, moved = Grid(reference), 0
     cost = grid.cost(hypothesis)
-    while cost > 1:
-        best = min(((grid.cost(h), k, h) for k, h in enumerate(shifts_of(grid, hypothesis))), key=lambda x: x[:2], default=None)
-        if best is None or best[0] + 1 >= cost:
+    if cost <= 1:
+        return cost, moved
+    # moves change no words: what one side has more of stays an edit, so no move comes below this
+    both = Counter(t.text for t in hypothesis) & Counter(t.text for t in reference)
+    least = max(len(hypothesis), len(reference)) - both.total()
+    while cost > least + 1:
+        best, found = cost, hypothesis
+        for h in shifts_of(grid, hypothesis):
+            if (new := grid.cost(h)) < best:
+                best, found = new, h
+                if best == least:
+                    break
+        if best + 1 >= cost:
             break
-        cost, _, hypothesis = best
+        cost, hypothesis = best, found
         moved += 1
     return cost, moved
 

@@ -1,6 +1,7 @@
 """Subtitle edit rate: hand-worked cases, and the grid against a plain table."""
 
 import random
+import time
 
 import pytest
 
@@ -93,3 +94,33 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\nhello\n")
     score.main([str(tmp_path / "a.srt"), str(tmp_path / "a.srt")])
     assert "SubER: 0.0" in capsys.readouterr().out
+
+
+def test_a_long_caption_is_searched_near_its_errors():
+    """Each move's cost was found over the whole caption, and moves were tried after one had left nothing to save."""
+    rng = random.Random(8)
+    said = " ".join(f"w{k}{rng.choice('abc')}" for k in range(3000))
+    words = said.split()
+    for k in (0, 3, 6, 9):
+        words[k], words[k + 1] = words[k + 1], words[k]
+    began = time.perf_counter()
+    assert er.edits(er.tokens(0, 1, " ".join(words)), er.tokens(0, 1, said)) == (0, 4)
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_moves_equal_trying_each_over_the_whole(seed):
+    rng = random.Random(100 + seed)
+    r = [Token(rng.choice("abcde"), k // 6 * 2.0, k // 6 * 2.0 + rng.choice([1.0, 3.0])) for k in range(rng.randint(2, 16))]
+    h = list(r)
+    for _ in range(3):
+        i, j = rng.randrange(len(h)), rng.randrange(len(h))
+        h.insert(j, h.pop(i))
+    left, cost, moved = h, plain_cost(h, r), 0
+    while cost > 1:
+        best = min(((plain_cost(x, r), k, x) for k, x in enumerate(er.shifts_of(er.Grid(r), left))), key=lambda x: x[:2], default=None)
+        if best is None or best[0] + 1 >= cost:
+            break
+        cost, _, left = best
+        moved += 1
+    assert er.edits(h, r) == (cost, moved)
