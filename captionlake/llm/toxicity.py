@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 from os.path import commonprefix
 
 import numpy as np
@@ -31,6 +32,8 @@ KEEP, SUBSTITUTE, DROP_MARK, DROP_REPEAT, BREAK = -0.05, -1.0, -0.3, -0.2, -6.0
 CLASSES = 64
 #: A run of three or more single signs set apart by spaces; else a word.
 _TOKEN = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}|\S+")
+#: Every run has this at its second sign; a text without it has only words.
+_RUN = re.compile(r"[ \t]\S[ \t]+\S(?!\S)")
 #: A letter twice in a row, blanks, and signs that may stand for something else or for nothing: a lattice of several paths.
 _ODD = re.compile(rf"([^\W\d_])\1|[ \t{re.escape(''.join(LEET) + MARKS)}]")
 #: A letter twice in a row; three times or more; words that are counted; addresses, and numbers with a letter after them.
@@ -44,6 +47,10 @@ KNOWN, DOUBTFUL = 5, 4
 COMMIT = 32
 
 
+def tokens_of(text: str) -> list[str]:
+    return _TOKEN.findall(text) if _RUN.search(text) else text.split()
+
+
 def _class_table() -> np.ndarray:
     """Code point -> class: 1 to 26 are a to z, 0 is a boundary, other letters share 27 to 63."""
     table = np.zeros(0x10000, dtype=np.int32)
@@ -89,6 +96,9 @@ WORD_CELLS = 1 << 18
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256), ord("'")]] = True
 _M64 = (1 << 64) - 1
+#: Powers of the hash's base for words of up to 64 bytes, and what the bytes' own ones add to a word of so many bytes.
+_POWERS = tuple(pow(BASE1, k, 1 << 64) for k in range(64))
+_OFFSETS = tuple((sum(_POWERS[:k]) + k * BASE3) & _M64 for k in range(65))
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -117,11 +127,15 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 def word_cell(word: str) -> int:
     """The cell of one word, as word_counts() has it."""
-    x, power, data = 0, 1, word.encode("utf-8", "replace")
-    for b in data:
-        x += (b + 1) * power
-        power = power * BASE1 & _M64
-    x = (x + len(data) * BASE3) & _M64
+    data = word.encode("utf-8", "replace")
+    if len(data) <= 64:
+        x = sum(map(mul, data, _POWERS)) + _OFFSETS[len(data)] & _M64
+    else:
+        x, power = len(data) * BASE3, 1
+        for b in data:
+            x += (b + 1) * power
+            power = power * BASE1 & _M64
+        x &= _M64
     x ^= x >> 30
     x = x * 0xBF58476D1CE4E5B9 & _M64
     x ^= x >> 27
@@ -210,7 +224,11 @@ class Restorer:
 
     def known(self, words: list[str]) -> int:
         """How often the rarest of the words occurs in all documents."""
-        return min((int(self.counts[word_cell(w)]) if _KNOWABLE.match(w) else 0 for w in words), default=0)
+        least = 0
+        for k, w in enumerate(words):
+            n = int(self.counts[word_cell(w)]) if _KNOWABLE.match(w) else 0
+            least = min(least, n) if k else n
+        return least
 
     def _likeliest(self, bare: str) -> list[str]:
         """The search's word, or what it is if letters stay that stand twice, whichever is known better; but the word as it
@@ -237,20 +255,32 @@ class Restorer:
         """
         least, spots = DOUBTFUL * self.known([bare]) + 1, [m.start() for m in _TWICE.finditer(bare)]
         if len(spots) <= 4:
-            ways = ({x for k, x in enumerate(spots) if way >> k & 1} for way in range(1, 1 << len(spots)))
-            if not any(self.known(["".join(c for i, c in enumerate(bare) if i not in gone)]) > least for gone in ways):
+            forms, start = [""], 0
+            for at in spots:
+                forms = [x + bare[start:at] + c for c in (bare[at], "") for x in forms]
+                start = at + 1
+            # the first has lost nothing
+            if not any(self.known([x + bare[start:]]) > least for x in forms[1:]):
                 return [bare]
         best = self._words(self.decode(bare))
         return best if self.known(best) > least else [bare]
 
     def restore(self, text: str) -> str:
-        return " ".join(x for t in _TOKEN.findall(text) for x in self.word(t))
+        return " ".join(x for t in tokens_of(text) for x in self.word(t))
+
+
+def feature(name: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "replace")) - (1 << 63)
+
+
+#: Letters of the beginnings that are features of longer words.
+BEGINNINGS = (4, 5)
 
 
 def word_features(word: str) -> list[int]:
-    """The word and its beginnings of 4 and 5 letters, as signed 64-bit hashes."""
-    names = [f"={word}"] + [f"^{word[:n]}" for n in (4, 5) if len(word) > n]
-    return [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in names]
+    """The word and its beginnings."""
+    return [feature(f"={word}"), *(feature(f"^{word[:n]}") for n in BEGINNINGS if len(word) > n)]
 
 
 @dataclass(frozen=True)
@@ -276,19 +306,36 @@ class Model:
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
 
 
+class Beginnings(Memo):
+    """Beginning of a longer word -> the model's features in it."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__(20_000)
+        self.model = model
+
+    def compute(self, key: str) -> tuple[int, ...]:
+        return tuple(f for n in BEGINNINGS if n <= len(key) and (f := feature(f"^{key[:n]}")) in self.model.features)
+
+
 class Scorer(Memo):
     """token -> the model's features in its restored words, filled as tokens come up."""
 
     def __init__(self, model: Model) -> None:
         super().__init__(100_000)
-        self.model, self.restorer = model, Restorer(model.lm, model.words)
+        self.model, self.restorer, self.beginnings = model, Restorer(model.lm, model.words), Beginnings(model)
 
     def compute(self, key: str) -> tuple[int, ...]:
-        return tuple({f for w in self.restorer.word(key) for f in word_features(w) if f in self.model.features})
+        found: set[int] = set()
+        for w in self.restorer.word(key):
+            if (f := feature(f"={w}")) in self.model.features:
+                found.add(f)
+            if len(w) > BEGINNINGS[0] and (more := self.beginnings[w[: min(len(w) - 1, BEGINNINGS[-1])]]):
+                found.update(more)
+        return tuple(found)
 
     def score(self, text: str) -> float:
         found: set[int] = set()
-        for fs in map(self.__getitem__, set(_TOKEN.findall(text))):
+        for fs in map(self.__getitem__, set(tokens_of(text))):
             if fs:
                 found.update(fs)
         return self.model.score(found)
@@ -354,7 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(lm, words)
         for part in slices(batches):
-            out = [sorted({f for t in set(_TOKEN.findall(text or "")) for w in restorer.word(t) for f in word_features(w)}) for text in part.column(1).to_pylist()]
+            out = [sorted({f for t in set(tokens_of(text or "")) for w in restorer.word(t) for f in word_features(w)}) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "key", "found"])
 
     found = sample.select("doc_id", F.col("text").cast("string"), "toxic", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "doc_id long, toxic int, key long, found array<long>")

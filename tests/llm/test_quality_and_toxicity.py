@@ -8,6 +8,7 @@ import pytest
 
 from captionlake.llm import line_frequency as lf
 from captionlake.llm import toxicity as tox
+from captionlake.llm.common import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -294,3 +295,25 @@ def test_no_labels_no_rows(spark, talk):
     docs, labels, _ = talk
     model = tox.train(docs.limit(0), labels.limit(0))
     assert tox.score(docs.limit(0), model).count() == 0 and 0 <= model.score(set()) <= 1
+
+
+def test_tokens_cells_and_features_by_the_short_way():
+    """Texts without spaced signs are only split, cells are sums of products, and beginnings are looked up; all as written out plainly."""
+    rng = random.Random(4)
+    for _ in range(20_000):
+        said = "".join(rng.choices("ab! \t\n　\x1cé", k=rng.randint(0, 12)))
+        assert tox.tokens_of(said) == tox._TOKEN.findall(said)
+    for n in (0, 1, 5, 63, 64, 65, 80):
+        word = "".join(rng.choices("abé行'9", k=n))
+        counts = np.zeros(tox.WORD_CELLS, dtype=np.int32)
+        data = np.frombuffer(word.encode(), np.uint8)
+        if n:
+            cell = int(word_hashes(data, np.array([0]), np.array([len(data)]))[0]) & (tox.WORD_CELLS - 1)
+            counts[cell] = 3
+            assert tox.word_cell(word) == cell
+    names = ("=annoyed", "^anno", "^annoy", "=annoy", "=anno", "^ann")
+    model = tox.Model(np.zeros((64, 64, 64), np.float32), {tox.feature(x): 1.0 for x in names}, 0.0)
+    scorer = tox.Scorer(model)
+    for word in ("annoyed", "annoy", "anno", "ann", "annoys", "other"):
+        assert set(scorer.compute(word)) == {f for w in scorer.restorer.word(word) for f in tox.word_features(w) if f in model.features}
+    assert scorer.compute("annoys") and not scorer.compute("other")
